@@ -89,3 +89,103 @@ view("fx_folds", "SELECT DISTINCT year AS fold FROM fx_ens")
 view("fx_train", "SELECT f.fold, d.* FROM fx_daily d JOIN fx_folds f ON d.year <> f.fold")
 view("fx_loo", mle_sql("fx_train", "j, i, long, lat, lead_time, fold"))
 view("fx_mle3w", mle_sql("fx_3w", "j, i, long, lat"))
+
+# ---- smoothing: two fixed steps of the (kappa R + D) system ----
+
+KAPPA = {"alpha": 8.0, "beta": 150.0, "tau": 150.0}
+
+view("fx_est", " UNION ALL ".join(
+    f"SELECT fold, lead_time, '{p}' AS par, i, j, long, lat, {p}_hat AS y, 1.0::DOUBLE / var_{p}_hat AS d, {k}::DOUBLE AS k FROM fx_loo"
+    for p, k in KAPPA.items()))
+view("fx_s0", "SELECT *, y AS x, 1.0::DOUBLE / (64.0 * k + max(d) OVER (PARTITION BY fold, lead_time, par)) AS w FROM fx_est")
+
+
+def laplacian_sql(source: str, value: str, groups: str = "fold, lead_time, par") -> str:
+    same = " AND ".join(f"a.{g.strip()} = b.{g.strip()}" for g in groups.split(",")) + " AND " if groups else ""
+    keys = ", ".join([*[f"a.{g.strip()}" for g in groups.split(",") if groups], "a.i", "a.j"])
+    return f"""SELECT {keys}, sum(a.{value} - b.{value}) AS v FROM {source} a JOIN {source} b
+ON {same}abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY {keys}"""
+
+
+for _step in (1, 2):
+    view(f"fx_once{_step}", laplacian_sql(f"fx_s{_step - 1}", "x"))
+    view(f"fx_twice{_step}", laplacian_sql(f"fx_once{_step}", "v"))
+    view(f"fx_s{_step}", f"""
+SELECT s.fold, s.lead_time, s.par, s.i, s.j, s.long, s.lat, s.y, s.d, s.k, s.w,
+  s.x - s.w * (s.k * r.v + s.d * (s.x - s.y)) AS x
+FROM fx_s{_step - 1} s JOIN fx_twice{_step} r
+  ON s.fold = r.fold AND s.lead_time = r.lead_time AND s.par = r.par AND s.i = r.i AND s.j = r.j
+""")
+
+view("fx_cv", "SELECT fold AS year, lead_time, long, lat, i, j, " + ", ".join(
+    f"max(CASE WHEN par = '{p}' THEN y END) AS {p}_hat, max(CASE WHEN par = '{p}' THEN 1.0::DOUBLE / d END) AS var_{p}_hat, "
+    f"max(CASE WHEN par = '{p}' THEN x END) AS {p}_smooth, max(CASE WHEN par = '{p}' THEN 1.0::DOUBLE / d END) AS {p}_smooth_var"
+    for p in KAPPA) + " FROM fx_s2 GROUP BY fold, lead_time, long, lat, i, j")
+
+view("fx_left", """
+SELECT long, lat, year, lead_time, obs,
+  n / nullif(n - 1, 0) * (fcst - mz) AS fcst_anom, n / nullif(n - 1, 0) * (my - obs / n) AS ybar
+FROM (SELECT *, CAST(count(*) OVER w AS DOUBLE) AS n, avg(fcst) OVER w AS mz, avg(obs) OVER w AS my
+  FROM fx_daily WINDOW w AS (PARTITION BY long, lat, lead_time)) c
+""")
+
+view("fx_pred", """
+SELECT c.*, h.obs, h.fcst_anom, h.ybar, cos(c.lat * pi() / 180) AS ww,
+  c.alpha_hat + c.beta_hat * h.fcst_anom AS yhat, c.alpha_smooth + c.beta_smooth * h.fcst_anom AS ystar,
+  c.var_alpha_hat + c.var_beta_hat * h.fcst_anom ** 2 + exp(2 * c.tau_hat) AS yhat_var,
+  c.alpha_smooth_var + c.beta_smooth_var * h.fcst_anom ** 2 + exp(2 * c.tau_smooth) AS ystar_var
+FROM fx_cv c JOIN fx_left h ON c.long = h.long AND c.lat = h.lat AND c.year = h.year AND c.lead_time = h.lead_time
+""")
+
+
+def weighted_mean_sql(x: str) -> str:
+    return f"sum(ww * ({x})) / sum(CASE WHEN ({x}) IS NOT NULL THEN ww END)"
+
+
+def weighted_se_sql(x: str) -> str:
+    return (f"sqrt(greatest(0, {weighted_mean_sql(f'({x}) * ({x})')} - ({weighted_mean_sql(x)}) ** 2)) "
+            f"/ sqrt(count({x}))")
+
+
+view("fx_scores", "SELECT lead_time, " + ", ".join(
+    f"{weighted_mean_sql(f'(obs - {c}) * (obs - {c})')} AS mse_{m}, {weighted_se_sql(f'(obs - {c}) * (obs - {c})')} AS mse_{m}_se"
+    for m, c in (("hat", "yhat"), ("smooth", "ystar"), ("clim", "ybar"))) + " FROM fx_pred GROUP BY lead_time")
+
+# ---- ensembles ----
+
+
+def normal_sql(*keys: str) -> str:
+    text = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    u = lambda start: f"CAST('0x' || substr(md5({text}), {start}, 8) AS BIGINT)"
+    return f"(sqrt(-2.0 * ln(({u(1)} + 1) / 4294967297.0::DOUBLE)) * cos(2 * pi() * {u(9)} / 4294967296.0::DOUBLE))"
+
+
+SAMPLES = 20
+
+view("fx_train3w", "SELECT f.fold, d.* FROM fx_3w d JOIN fx_folds f ON d.year <> f.fold")
+view("fx_loo3w", mle_sql("fx_train3w", "j, i, long, lat, fold"))
+view("fx_draws_long", " UNION ALL ".join(
+    f"SELECT fold, i, j, long, lat, '{p}' AS par, {p}_hat AS hat, var_{p}_hat AS var_hat FROM fx_loo3w" for p in KAPPA))
+for _method, _seed in (("hat", "fold"), ("star", "fold + 1000")):
+    view(f"fx_mle_draws_{_method}", f"""
+SELECT fold, i, j, long, lat, par, sample, hat + sqrt(var_hat) * {normal_sql(_seed, "i", "j", "fold", "par", "sample")} AS value
+FROM fx_draws_long CROSS JOIN (SELECT CAST(unnest(range(1, {SAMPLES + 1})) AS INT) AS sample) n
+""")
+    view(f"fx_params_{_method}", "SELECT fold, i, j, long, lat, sample, " + ", ".join(
+        f"max(CASE WHEN par = '{p}' THEN value END) AS {p}" for p in KAPPA
+    ) + f" FROM fx_mle_draws_{_method} GROUP BY fold, i, j, long, lat, sample")
+view("fx_z3w", """
+SELECT i, j, long, lat, year, obs AS y, n / nullif(n - 1, 0) * (fcst - m) AS z
+FROM (SELECT *, CAST(count(*) OVER w AS DOUBLE) AS n, avg(fcst) OVER w AS m FROM fx_weekly
+  WINDOW w AS (PARTITION BY i, j, long, lat)) c
+""")
+for _method in ("hat", "star"):
+    view(f"fx_ens_{_method}", f"""
+SELECT p.fold AS year, p.i, p.j, p.long, p.lat, p.sample, z.y,
+  p.alpha + p.beta * z.z + exp(p.tau) * {normal_sql("p.fold", "p.i", "p.j", "p.fold", f"'noise{_method}'", "p.sample")} AS y_{_method}
+FROM fx_params_{_method} p JOIN fx_z3w z ON p.i = z.i AND p.j = z.j AND p.fold = z.year
+""")
+    view(f"fx_err_{_method}", f"""
+SELECT year, long, lat, avg(y_{_method}) AS y_{_method}_bar, max(y) AS obs,
+  (avg(y_{_method}) - max(y)) ** 2 AS sqerr_{_method} FROM fx_ens_{_method} GROUP BY year, long, lat
+""")
