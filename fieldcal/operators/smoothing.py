@@ -263,17 +263,14 @@ def cv_table(smoothed: DataFrame, grid: DataFrame, groups: Sequence[str]) -> Dat
 
     The estimates travel with the fields, so nothing is joined back but the coordinates.
     """
-    variance = F.lit(1.0) / nonzero(F.col("weight"))
-    if "smooth_var" not in smoothed.columns:
-        # the fixed-step smoother has no variance of its own
-        smoothed = smoothed.withColumn("smooth_var", variance)
-    rows = smoothed.withColumn("_var", variance)
-    pick = lambda p, c, name: F.max(F.when(F.col("par") == p, F.col(c))).alias(name)
+    variance = "1 / nullif(weight, 0.0D)"
+    # the fixed-step smoother has no variance of its own
+    smooth_variance = "smooth_var" if "smooth_var" in smoothed.columns else variance
     columns = []
     for p in PARAMETERS:
-        columns += [pick(p, "value", f"{p}_hat"), pick(p, "_var", f"var_{p}_hat"),
-                    pick(p, "smooth", f"{p}_smooth"), pick(p, "smooth_var", f"{p}_smooth_var")]
-    wide = rows.groupBy(*groups, "i", "j").agg(*columns)
+        sources = {f"{p}_hat": "value", f"var_{p}_hat": variance, f"{p}_smooth": "smooth", f"{p}_smooth_var": smooth_variance}
+        columns += [F.expr(f"max(CASE WHEN par = '{p}' THEN {c} END) AS {name}") for name, c in sources.items()]
+    wide = smoothed.groupBy(*groups, "i", "j").agg(*columns)
     return wide.join(grid.select("i", "j", "long", "lat"), ["i", "j"]).drop("i", "j")
 
 

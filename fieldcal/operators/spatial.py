@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcal.session import cut_lineage
@@ -64,30 +64,21 @@ def grid_laplacian(
     When the field is already partitioned by (some of) ``groups`` the aggregation needs no further shuffle.
     """
     kept = [value, *[c for c in carry if c != value]]
-    v = F.col(value)
-    mine = F.struct(
-        F.col("i"), F.col("j"), F.lit(1).alias("_mine"), F.lit(None).cast("double").alias("_near"),
-        *[F.col(c).alias(f"_own_{c}") for c in kept],
-    )
-    sent = [
-        F.struct(
-            (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.lit(0).alias("_mine"), v.alias("_near"),
-            *[F.lit(None).cast("double").alias(f"_own_{c}") for c in kept],
-        )
-        for di, dj in OFFSETS
+    own = ", ".join(f"{c} AS _own_{c}" for c in kept)
+    blank = ", ".join(f"CAST(NULL AS DOUBLE) AS _own_{c}" for c in kept)
+    parts = [f"struct(i, j, 1 AS _mine, CAST(NULL AS DOUBLE) AS _near, {own})"] + [
+        f"struct(i + {di} AS i, j + {dj} AS j, 0 AS _mine, {value} AS _near, {blank})" for di, dj in OFFSETS
     ]
-    summed = (
-        field.select(*groups, F.inline(F.array(mine, *sent)))
-        .groupBy(*groups, "i", "j")
-        .agg(
-            F.max("_mine").alias("_mine"),
-            F.coalesce(F.sum("_near"), F.lit(0.0)).alias("_near"),
-            F.count("_near").alias("_count"),
-            *[F.max(f"_own_{c}").alias(c) for c in kept],
-        )
-        .filter("_mine = 1")
+    sent = field.selectExpr(*groups, f"inline(array({', '.join(parts)}))")
+    summed = sent.groupBy(*groups, "i", "j").agg(
+        F.max("_mine").alias("_mine"),
+        F.sum("_near").alias("_near"),
+        F.count("_near").alias("_count"),
+        *[F.max(f"_own_{c}").alias(c) for c in kept],
+    )
+    return summed.filter("_mine = 1").selectExpr(
+        *groups, "i", "j", *kept, f"_count * {value} - coalesce(_near, 0.0D) AS {out}"
     )
-    return summed.withColumn(out, F.col("_count") * v - F.col("_near")).drop("_mine", "_near", "_count")
 
 
 def roughness(field: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -117,15 +108,13 @@ def smooth_fixed_steps(
         *keys, "i", "j", F.col("value").alias("y"), F.col("weight").alias("d"), F.col("value").alias("x"),
         F.try_element_at(by_par, F.col("par")).cast("double").alias("k"),
     )
-    start = start.repartition(*keys)
-    # the largest weight of the field comes from the same partitioning
-    top = start.groupBy(*keys).agg(F.max("d").alias("_top"))
-    now = start.join(top, keys).withColumn("w", F.lit(1.0) / (F.lit(64.0) * F.col("k") + F.col("_top"))).drop("_top")
+    # one field is one grid, so its largest weight is a bounded window on the same partitioning
+    top = F.max("d").over(Window.partitionBy(*keys))
+    now = start.repartition(*keys).withColumn("w", F.lit(1.0) / (F.lit(64.0) * F.col("k") + top))
     for step in range(1, steps + 1):
         once = grid_laplacian(now, "x", keys, "lap", ["y", "d", "k", "w"])
         twice = grid_laplacian(once, "lap", keys, "lap2", ["x", "y", "d", "k", "w"])
-        x, d = F.col("x"), F.col("d")
-        now = twice.withColumn("x", x - F.col("w") * (F.col("k") * F.col("lap2") + d * (x - F.col("y")))).drop("lap", "lap2")
+        now = twice.selectExpr(*keys, "i", "j", "x - w * (k * lap2 + d * (x - y)) AS x", "y", "d", "k", "w")
         if step % checkpoint_every == 0 and step < steps:
             now = cut_lineage(now).repartition(*keys)
     return now.select(*keys, "i", "j", F.col("y").alias("value"), F.col("d").alias("weight"), F.col("x").alias("smooth"))

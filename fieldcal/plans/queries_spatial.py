@@ -5,44 +5,51 @@ from pyspark.sql import functions as F
 
 from fieldcal.functions import expressions as E
 from fieldcal.operators import estimate, predict, reshape, smoothing, spatial, verify
+from fieldcal.operators.joins import leave_one_out
 from fieldcal.plans import fixtures as fx
 from fieldcal.plans.registry import query
 from fieldcal.plans.sql_views import KAPPA, SAMPLES, laplacian_sql, normal_sql
+from fieldcal.session import cut_lineage
 
 CELL_LEAD = ["long", "lat", "lead_time"]
 FOLD_LEAD = ["year", "lead_time"]
 
 
 def daily_columns(spark, sf_dir):
-    return fx.daily(spark, sf_dir).select("long", "lat", "year", "lead_time", "obs", "fcst")
+    """The daily hindcast, stored once: every step after it reads this small table instead of the raw rows."""
+    return cut_lineage(fx.daily(spark, sf_dir).select("long", "lat", "year", "lead_time", "obs", "fcst"))
+
+
+def weekly_columns(spark, sf_dir):
+    return cut_lineage(fx.hindcast_3w(spark, sf_dir).select("long", "lat", "year", "obs", "fcst", "fcst_anom"))
+
+
+def grid_of(hindcast):
+    return cut_lineage(reshape.grid_index(hindcast))
 
 
 def mle_fields(spark, sf_dir):
     """Estimates of every lead time on the grid."""
     daily = daily_columns(spark, sf_dir)
-    return smoothing.estimates_on_grid(estimate.mle(daily, CELL_LEAD), reshape.grid_index(daily), ["lead_time"])
+    return smoothing.estimates_on_grid(estimate.mle(daily, CELL_LEAD), grid_of(daily), ["lead_time"])
 
 
-def loo_fields(spark, sf_dir):
+def loo_fields(daily, grid):
     """Leave-one-year-out estimates of every lead time on the grid."""
-    daily = daily_columns(spark, sf_dir)
-    return smoothing.estimates_on_grid(estimate.loo_mle(daily, CELL_LEAD), reshape.grid_index(daily), FOLD_LEAD)
+    return smoothing.estimates_on_grid(estimate.loo_mle(daily, CELL_LEAD), grid, FOLD_LEAD)
 
 
-def cv_fixed_steps(spark, sf_dir):
+def cv_fixed_steps(daily):
     """Cross-validated parameters, smoothed by two fixed steps."""
-    smooth = spatial.smooth_fixed_steps(loo_fields(spark, sf_dir), KAPPA, FOLD_LEAD, 2)
-    return smoothing.cv_table(smooth, reshape.grid_index(daily_columns(spark, sf_dir)), FOLD_LEAD)
-
-
-def weekly_estimates(spark, sf_dir):
-    return estimate.lm_per_cell(fx.hindcast_3w(spark, sf_dir))
+    grid = grid_of(daily)
+    smooth = spatial.smooth_fixed_steps(loo_fields(daily, grid), KAPPA, FOLD_LEAD, 2)
+    return smoothing.cv_table(smooth, grid, FOLD_LEAD)
 
 
 def weekly_inputs(spark, sf_dir):
     """Week-3 fields, cell moments and hyperprior rates."""
-    weekly = fx.hindcast_3w(spark, sf_dir).select("long", "lat", "year", "obs", "fcst", "fcst_anom")
-    grid = reshape.grid_index(weekly)
+    weekly = weekly_columns(spark, sf_dir)
+    grid = grid_of(weekly)
     est = estimate.lm_per_cell(weekly)
     moments = estimate.moments(weekly, ["long", "lat"], "fcst_anom").join(grid.select("long", "lat", "s"), ["long", "lat"])
     return smoothing.estimates_on_grid(est, grid, []), moments.drop("long", "lat"), est
@@ -126,7 +133,8 @@ def _(spark, sf_dir):
 @query("smooth_fixed_steps", "SELECT fold AS year, lead_time, par, CAST(i + 1 AS INT) AS i, CAST(j + 1 AS INT) AS j, r6(y) AS value, "
        "r6(x) AS smooth FROM fx_s2")
 def _(spark, sf_dir):
-    return spatial.smooth_fixed_steps(loo_fields(spark, sf_dir), KAPPA, FOLD_LEAD, 2).drop("weight")
+    daily = daily_columns(spark, sf_dir)
+    return spatial.smooth_fixed_steps(loo_fields(daily, grid_of(daily)), KAPPA, FOLD_LEAD, 2).drop("weight")
 
 
 @query("smooth_fields")
@@ -138,7 +146,8 @@ def _(spark, sf_dir):
 
 @query("smooth_fields_integrated")
 def _(spark, sf_dir):
-    return smoothing.smooth_integrated(loo_fields(spark, sf_dir), FOLD_LEAD)
+    daily = daily_columns(spark, sf_dir)
+    return smoothing.smooth_integrated(loo_fields(daily, grid_of(daily)), FOLD_LEAD)
 
 
 @query("kappa_marginal")
@@ -250,8 +259,8 @@ def _(spark, sf_dir):
 @query("predictive_ensemble_smoothed")
 def _(spark, sf_dir):
     """From posterior field draws of each fold at fixed precisions."""
-    weekly = fx.hindcast_3w(spark, sf_dir).select("long", "lat", "year", "obs", "fcst", "fcst_anom")
-    grid = reshape.grid_index(weekly)
+    weekly = weekly_columns(spark, sf_dir)
+    grid = grid_of(weekly)
     est = smoothing.estimates_on_grid(estimate.loo_mle(weekly, ["long", "lat"], z="fcst_anom"), grid, ["year"])
     kappas = predict.sample_log_kappa(est.select("year").distinct(), MODE, COV, SAMPLES, 11)
     params = predict.parameters_wide(smoothing.sample_fields(est, kappas, ["year"], 11), ["year", "s"])
@@ -264,10 +273,10 @@ def _(spark, sf_dir):
 
 def predictions(spark, sf_dir):
     """Left-out hindcast rows with parameters, climatology and both predictions."""
-    from fieldcal.operators.joins import leave_one_out
-
-    left = leave_one_out(daily_columns(spark, sf_dir), CELL_LEAD, {"fcst_anom": "fcst"}, {"ybar": "obs"}).drop("fcst")
-    return predict.predict(predict.join_cv_hindcast(left, cv_fixed_steps(spark, sf_dir)))
+    daily = daily_columns(spark, sf_dir)
+    # the hindcast was aggregated to one row per cell, lead time and year, so a group is at most one row per year
+    left = leave_one_out(daily, CELL_LEAD, {"fcst_anom": "fcst"}, {"ybar": "obs"}, bounded=True).drop("fcst")
+    return predict.predict(predict.join_cv_hindcast(left, cut_lineage(cv_fixed_steps(daily))))
 
 
 @query("point_prediction", "SELECT long, lat, year, lead_time, r6(yhat) AS yhat, r6(ystar) AS ystar FROM fx_pred")
