@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldcal.functions.aggregates import correlation
@@ -172,29 +171,25 @@ def loo_mle(
     )
     labels = F.array(*[F.lit(f) for f in folds]) if folds is not None else fold_values(hindcast, fold)
 
-    # deviations from the group mean keep the later subtraction well conditioned; a group has one row per fold
-    group = Window.partitionBy(*keys)
-    k, dy, dz = F.col("k"), F.col("my") - F.col("ybar"), F.col("mz") - F.col("zbar")
-    centred = (
-        per_fold.withColumn("n_all", F.sum("k").over(group))
-        .withColumns({"ybar": F.sum(k * F.col("my")).over(group) / F.col("n_all"),
-                      "zbar": F.sum(k * F.col("mz")).over(group) / F.col("n_all")})
-        .withColumns({"sy": k * dy, "sz": k * dz,
-                      "tyy": k * (F.col("cyy") + dy * dy),
-                      "tzz": k * (F.col("czz") + dz * dz),
-                      "tyz": k * (F.col("cyz") + dy * dz)})
+    totals = per_fold.groupBy(*keys).agg(
+        F.expr("sum(k) AS n_all"),
+        F.expr("sum(k * my) / sum(k) AS ybar_all"),
+        F.expr("sum(k * mz) / sum(k) AS zbar_all"),
+        F.collect_list(F.struct(F.col(fold).alias("label"), "k", "my", "mz", "cyy", "czz", "cyz")).alias("parts"),
     )
-    own_fields = ["k", "sy", "sz", "tyy", "tzz", "tyz"]
-    totals = centred.groupBy(*keys).agg(
-        F.max("ybar").alias("ybar_all"),
-        F.max("n_all").alias("n_all"),
-        *[F.sum(c).alias(f"all_{c}") for c in ("tyy", "tzz", "tyz")],
-        F.map_from_entries(F.collect_list(F.struct(fold, F.struct(*own_fields)))).alias("own"),
+    # deviations from the group mean keep the later subtraction well conditioned; an array holds one entry per fold
+    dy, dz = "(p.my - ybar_all)", "(p.mz - zbar_all)"
+    entry = (
+        f"struct(p.k AS k, p.k * {dy} AS sy, p.k * {dz} AS sz, p.k * (p.cyy + {dy} * {dy}) AS tyy, "
+        f"p.k * (p.czz + {dz} * {dz}) AS tzz, p.k * (p.cyz + {dy} * {dz}) AS tyz)"
     )
+    totals = totals.withColumn("own", F.expr(f"map_from_entries(transform(parts, p -> struct(p.label, {entry})))"))
+    sums = {c: f"aggregate(map_values(own), 0.0D, (acc, o) -> acc + o.{c})" for c in ("tyy", "tzz", "tyz")}
+    totals = totals.selectExpr(*keys, "n_all", "ybar_all", "own", *[f"{e} AS all_{c}" for c, e in sums.items()])
     # a group without rows in a fold still gets that fold: nothing is taken away
     rows = totals.withColumn(fold, F.explode(labels))
-    rows = rows.withColumn("out", F.try_element_at("own", F.col(fold)))
-    own = {c: F.coalesce(F.col(f"out.{c}"), F.lit(0)) for c in own_fields}
+    rows = rows.withColumn("out", F.try_element_at("own", F.col(fold))).drop("own")
+    own = {c: F.coalesce(F.col(f"out.{c}"), F.lit(0)) for c in ("k", "sy", "sz", "tyy", "tzz", "tyz")}
     rows = rows.withColumn("n", F.col("n_all") - own["k"]).filter("n > 0")
     n, a, b = F.col("n"), -own["sy"] / F.col("n"), -own["sz"] / F.col("n")
     left = rows.withColumns(
