@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldcal.functions.expressions import hash_normal
 from fieldcal.operators.joins import join_unique, leave_one_out
@@ -29,19 +30,34 @@ def join_cv_hindcast(hindcast: DataFrame, cv: DataFrame) -> DataFrame:
     return join_unique(hindcast, cv, ["long", "lat", "year", "lead_time"])
 
 
-def sample_log_kappa(groups: DataFrame, mode: Sequence[float], cov: Sequence[Sequence[float]], n: int, seed: int) -> DataFrame:
-    """``n`` draws of the three log precisions for each row of ``groups``, from their normal approximation."""
+def with_normal(groups: DataFrame, mode: Sequence[float], cov: Sequence[Sequence[float]]) -> DataFrame:
+    """Give every row of ``groups`` the same normal approximation (columns ``mode`` and ``root``)."""
     root = np.linalg.cholesky(np.asarray(cov, dtype=float))
-    keys = list(groups.columns)
-    rows = groups.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    numbers = lambda values: F.array(*[F.lit(float(x)) for x in values])
+    return groups.withColumns({"mode": numbers(mode), "root": F.array(*[numbers(row) for row in root])})
+
+
+def modes_table(spark: SparkSession, found: list[dict], keys: DataFrame) -> DataFrame:
+    """The result of ``kappa_mode`` (one entry per group) as a table; ``keys`` gives the group columns their types."""
+    rows = [
+        (*[f[c] for c in keys.columns], [float(x) for x in f["mode"]], np.linalg.cholesky(f["cov"]).tolist()) for f in found
+    ]
+    schema = T.StructType([*keys.schema.fields, *T.StructType.fromDDL("mode array<double>, root array<array<double>>").fields])
+    return spark.createDataFrame(rows, schema)
+
+
+def sample_log_kappa(normals: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` draws of the three log precisions for each row, from the normal approximation in ``mode`` and ``root``."""
+    keys = [c for c in normals.columns if c not in ("mode", "root")]
+    rows = normals.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n))))
     rows = rows.withColumns(
         {f"_z{k}": hash_normal(seed, *[F.col(c) for c in keys], F.col("sample"), F.lit(f"kappa{k}")) for k in range(3)}
     )
     draw = {
-        f"lk_{p}": sum((F.lit(float(root[r, c])) * F.col(f"_z{c}") for c in range(r + 1)), F.lit(float(mode[r])))
+        f"lk_{p}": sum((F.col("root")[r][c] * F.col(f"_z{c}") for c in range(r + 1)), F.col("mode")[r])
         for r, p in enumerate(PARAMETERS)
     }
-    return rows.withColumns(draw).drop("_z0", "_z1", "_z2")
+    return rows.select(*keys, "sample", *[c.alias(name) for name, c in draw.items()])
 
 
 def sample_mle(fields: DataFrame, keys: Sequence[str], n: int, seed: str | int) -> DataFrame:

@@ -15,12 +15,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcal.functions.block_solver import solve
 from fieldcal.functions.expressions import normal_quantile, nonzero
+from fieldcal.operators.joins import fits_broadcast
 from fieldcal.operators.reshape import PARAMETERS, stack_parameters
 from fieldcal.operators.spatial import roughness, with_grid
 from fieldcal.session import cut_lineage
@@ -129,13 +130,14 @@ def _with_kappas(est: DataFrame, kappas: DataFrame, per_task: int) -> DataFrame:
     pairs = F.sort_array(F.collect_list(F.struct("kappa_id", "log_kappa")))
     chunks = kappas.withColumn("_chunk", F.floor(F.col("kappa_id") / per_task)).groupBy(*on, "_chunk").agg(pairs.alias("_k"))
     chunks = chunks.select(*on, "_chunk", F.col("_k.kappa_id").alias("_ids"), F.col("_k.log_kappa").alias("_logs"))
-    return est.join(chunks, on)
+    # joined on few keys, so a shuffle would put the fields into few tasks; the table is small unless groups have many draws
+    return est.join(F.broadcast(chunks) if fits_broadcast(kappas) else chunks, on)
 
 
-def kappa_axis(est: DataFrame, axis: Sequence[float] = LOG_KAPPA_AXIS) -> DataFrame:
+def kappa_axis(spark: SparkSession, axis: Sequence[float] = LOG_KAPPA_AXIS) -> DataFrame:
     """(par, kappa_id, log_kappa) with the same axis for every parameter."""
     points = F.posexplode(F.array(*[F.lit(float(x)) for x in axis])).alias("kappa_id", "log_kappa")
-    return est.select("par").distinct().select("par", points)
+    return spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in PARAMETERS])).alias("par")).select("par", points)
 
 
 def smooth_fields(
@@ -185,17 +187,27 @@ def log_gamma_prior(shape: float = 1.0, rate: float = 5e-5) -> Prior:
     return lambda log_kappa: shape * log_kappa - rate * np.exp(log_kappa)
 
 
-def _log_weights(found: dict, logs: np.ndarray, cells: int, prior: Prior) -> np.ndarray:
-    """Normalised weights of the kappa axis: Gaussian marginal of the estimates times the prior. Failed points get none."""
+def _log_posterior(found: dict, logs: np.ndarray, cells: int, prior: Prior) -> np.ndarray:
+    """Unnormalised log posterior of each axis point: Gaussian marginal of the estimates times the prior.
+
+    R leaves constants free, so its rank is one less than the number of cells. A failed point has no mass.
+    """
     log_post = (
         (cells - 1) / 2 * logs
         - (found["misfit"] + np.exp(logs) * found["roughness"]) / 2
         - found["log_det"] / 2
         + prior(logs)
     )
-    log_post = np.where(np.isfinite(log_post), log_post, -np.inf)
+    return np.where(np.isfinite(log_post), log_post, -np.inf)
+
+
+def _normalised(log_post: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights that sum to 1, and the log of the mass they were divided by."""
     top = log_post.max()
-    return log_post - (top + np.log(np.exp(log_post - top).sum()))
+    if not np.isfinite(top):
+        return np.zeros_like(log_post), -np.inf
+    mass = np.exp(log_post - top)
+    return mass / mass.sum(), float(top + np.log(mass.sum()))
 
 
 def smooth_integrated(
@@ -203,35 +215,53 @@ def smooth_integrated(
     groups: Sequence[str],
     log_kappas: Sequence[float] = LOG_KAPPA_AXIS,
     prior: Prior | None = None,
+    per_task: int | None = None,
 ) -> DataFrame:
     """Posterior mean and variance with the precision integrated out over an even log-kappa axis.
 
-    All points of the axis are solved in the task that holds the field and mixed there, so what leaves it is one row per cell
-    instead of one per cell and kappa.
+    The axis points of a field are solved and mixed in one task, so what leaves it is one row per cell instead of one per
+    cell and kappa. With few large fields, ``per_task`` cuts the axis into slices of that many points that run in
+    parallel; each slice sends its mixture with its total mass, and the mixtures are merged by mass.
     """
-    groups, logs, prior = list(groups), np.asarray(log_kappas, dtype=float), prior or log_gamma_prior()
+    groups, logs, prior = list(groups), [float(x) for x in log_kappas], prior or log_gamma_prior()
+    per_task = per_task or len(logs)
+    slices = [logs[k : k + per_task] for k in range(0, len(logs), per_task)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         value, weight = _field(rows)
-        found = solve(value, weight, np.exp(logs))
-        share = np.exp(_log_weights(found, logs, value.size, prior))[:, None, None]
+        points = np.asarray(slices[int(rows["_slice"].iloc[0])])
+        found = solve(value, weight, np.exp(points))
+        share, log_mass = _normalised(_log_posterior(found, points, value.size, prior))
         used = share > 0
-        mean = np.where(used, share * np.where(used, found["mean"], 0.0), 0.0).sum(axis=0)
-        second = np.where(used, share * np.where(used, found["var"] + (found["mean"] - mean) ** 2, 0.0), 0.0).sum(axis=0)
-        out = pd.DataFrame(_cells(value.shape))
+        shares = share[used][:, None, None]
+        mean = (shares * found["mean"][used]).sum(axis=0)
+        variance = (shares * (found["var"][used] + (found["mean"][used] - mean) ** 2)).sum(axis=0)
         known = weight.ravel() > 0
+        out = pd.DataFrame(_cells(value.shape))
         out["value"], out["weight"] = np.where(known, value.ravel(), np.nan), np.where(known, weight.ravel(), np.nan)
-        out["smooth"], out["smooth_var"] = mean.ravel(), second.ravel()
+        out["smooth"], out["smooth_var"], out["log_mass"] = mean.ravel(), variance.ravel(), log_mass
         for c in [*groups, "par"]:
             out[c] = rows[c].iloc[0]
         return out[[f.name for f in schema.fields]]
 
     schema = _schema(
         est, [*groups, "par"],
-        "i int, j int, s int, value double, weight double, smooth double, smooth_var double",
+        "i int, j int, s int, value double, weight double, smooth double, smooth_var double, log_mass double",
+    )
+    rows = est.select(*groups, *FIELD_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(len(slices) - 1))).alias("_slice"))
+    out = rows.groupBy(*groups, "par", "_slice").applyInPandas(run, schema)
+    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight")})
+    if len(slices) == 1:
+        return out.drop("log_mass")
+    # merge: a cell has one row per slice, so its array is as short as the axis
+    parts = out.groupBy(*groups, "par", "i", "j", "s").agg(
+        F.max("value").alias("value"), F.max("weight").alias("weight"), F.max("log_mass").alias("_top"),
+        F.collect_list(F.struct("log_mass", "smooth", "smooth_var")).alias("_parts"),
     )
-    out = est.select(*groups, *FIELD_COLUMNS).groupBy(*groups, "par").applyInPandas(run, schema)
-    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight")})
+    total = lambda e: f"aggregate(_parts, 0.0D, (acc, p) -> acc + exp(p.log_mass - _top) * ({e}))"
+    mixed = parts.withColumn("smooth", F.expr(f"{total('p.smooth')} / {total('1.0D')}"))
+    spread = F.expr(f"{total('p.smooth_var + (p.smooth - smooth) * (p.smooth - smooth)')} / {total('1.0D')}")
+    return mixed.withColumn("smooth_var", spread).drop("_parts", "_top")
 
 
 def kappa_marginal(
@@ -245,7 +275,8 @@ def kappa_marginal(
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         value, weight = _field(rows)
-        share = np.exp(_log_weights(solve(value, weight, np.exp(logs), variance=False), logs, value.size, prior))
+        found = solve(value, weight, np.exp(logs), variance=False)
+        share, _ = _normalised(_log_posterior(found, logs, value.size, prior))
         kappa = np.exp(logs)
         density = share / kappa
         out = pd.DataFrame({"log_kappa": logs, "kappa": kappa, "probability": share,
@@ -390,7 +421,7 @@ def kappa_mode(
     spark = est.sparkSession
     est, moments = cut_lineage(est), cut_lineage(moments)
     lam = cut_lineage(lam) if lam is not None else None
-    coarse = kappa_log_posterior(est, moments, kappa_axis(est, axis), groups, hyperprior, lam)
+    coarse = kappa_log_posterior(est, moments, kappa_axis(spark, axis), groups, hyperprior, lam)
     best = coarse.groupBy(*groups).agg(F.max_by(F.struct("lk_alpha", "lk_beta", "lk_tau"), "log_post").alias("at")).collect()
     state = {tuple(r[g] for g in groups): [np.array([r["at"][k] for k in range(3)]), 1.0, None, None] for r in best}
     key_schema = [est.schema[g] for g in groups]

@@ -93,6 +93,7 @@ def smooth_fixed_steps(
     groups: Sequence[str],
     steps: int = 2,
     checkpoint_every: int = 5,
+    field_per_task: bool = True,
 ) -> DataFrame:
     """``steps`` gradient steps towards the solution of (kappa R + D) x = D y, for all groups at once.
 
@@ -100,7 +101,8 @@ def smooth_fixed_steps(
     w = 1 / (64 kappa + max D): 64 bounds the largest eigenvalue of R. The result has the column ``smooth``.
 
     The rows are partitioned by (groups, par) once; a field is one grid, so it fits a task, and every Laplacian of every step
-    then runs without a shuffle.
+    then runs without a shuffle. ``field_per_task=False`` is for grids too large for that: cells of a field spread over
+    all tasks and each Laplacian shuffles its partial sums.
     """
     keys = [*groups, "par"]
     by_par = F.create_map(*[F.lit(x) for pair in kappa.items() for x in pair])
@@ -108,13 +110,16 @@ def smooth_fixed_steps(
         *keys, "i", "j", F.col("value").alias("y"), F.col("weight").alias("d"), F.col("value").alias("x"),
         F.try_element_at(by_par, F.col("par")).cast("double").alias("k"),
     )
-    # one field is one grid, so its largest weight is a bounded window on the same partitioning
-    top = F.max("d").over(Window.partitionBy(*keys))
-    now = start.repartition(*keys).withColumn("w", F.lit(1.0) / (F.lit(64.0) * F.col("k") + top))
+    if field_per_task:
+        start = start.repartition(*keys).withColumn("_top", F.max("d").over(Window.partitionBy(*keys)))
+    else:
+        start = start.join(start.groupBy(*keys).agg(F.max("d").alias("_top")), keys)
+    now = start.withColumn("w", F.lit(1.0) / (F.lit(64.0) * F.col("k") + F.col("_top"))).drop("_top")
     for step in range(1, steps + 1):
         once = grid_laplacian(now, "x", keys, "lap", ["y", "d", "k", "w"])
         twice = grid_laplacian(once, "lap", keys, "lap2", ["x", "y", "d", "k", "w"])
         now = twice.selectExpr(*keys, "i", "j", "x - w * (k * lap2 + d * (x - y)) AS x", "y", "d", "k", "w")
         if step % checkpoint_every == 0 and step < steps:
-            now = cut_lineage(now).repartition(*keys)
+            now = cut_lineage(now)
+            now = now.repartition(*keys) if field_per_task else now
     return now.select(*keys, "i", "j", F.col("y").alias("value"), F.col("d").alias("weight"), F.col("x").alias("smooth"))

@@ -7,6 +7,7 @@ from fieldcal.plans import fixtures as fx
 from fieldcal.plans import queries_spatial as chain
 from fieldcal.plans.registry import query
 from fieldcal.plans.sql_views import weighted_mean_sql, weighted_se_sql
+from fieldcal.session import cut_lineage
 
 CELL_LEAD = ["long", "lat", "lead_time"]
 
@@ -78,8 +79,9 @@ def _(spark, sf_dir):
 
 def _errors(spark, sf_dir):
     keys = ["year", "long", "lat"]
-    obs = fx.hindcast_3w(spark, sf_dir).select(*keys, "obs")
-    return [verify.ensemble_errors(chain.ensemble(spark, sf_dir, m), obs, f"y_{m}", m, keys) for m in ("hat", "star")]
+    weekly = cut_lineage(fx.hindcast_3w(spark, sf_dir))
+    obs = weekly.select(*keys, "obs")
+    return [verify.ensemble_errors(chain.ensemble(weekly, m), obs, f"y_{m}", m, keys) for m in ("hat", "star")]
 
 
 MSE_CELLS = """

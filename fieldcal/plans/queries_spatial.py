@@ -140,7 +140,7 @@ def _(spark, sf_dir):
 @query("smooth_fields")
 def _(spark, sf_dir):
     est = mle_fields(spark, sf_dir)
-    kappas = smoothing.kappa_axis(est, [0.0, 2.0, 4.0])
+    kappas = smoothing.kappa_axis(spark, [0.0, 2.0, 4.0])
     return smoothing.smooth_fields(est, kappas, ["lead_time"])
 
 
@@ -159,14 +159,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     est, moments, estimates = weekly_inputs(spark, sf_dir)
     lam = smoothing.lambda_table(estimates, "half_normal")
-    return smoothing.kappa_log_posterior(est, moments, smoothing.kappa_axis(est, [-2.0, 0.0, 2.0]), [], "half_normal", lam)
+    return smoothing.kappa_log_posterior(est, moments, smoothing.kappa_axis(spark, [-2.0, 0.0, 2.0]), [], "half_normal", lam)
 
 
 @query("kappa_grid")
 def _(spark, sf_dir):
     est, moments, estimates = weekly_inputs(spark, sf_dir)
     lam = smoothing.lambda_table(estimates, "exploratory")
-    return smoothing.kappa_log_posterior(est, moments, smoothing.kappa_axis(est), [], "exploratory", lam)
+    return smoothing.kappa_log_posterior(est, moments, smoothing.kappa_axis(spark), [], "exploratory", lam)
 
 
 def _mode(spark, sf_dir):
@@ -186,7 +186,7 @@ def _(spark, sf_dir):
 @query("sample_fields")
 def _(spark, sf_dir):
     est, mode, cov = _mode(spark, sf_dir)
-    draws = predict.sample_log_kappa(est.select(F.lit(1).alias("chain")).limit(1), mode, cov, 50, 7).drop("chain")
+    draws = predict.sample_log_kappa(predict.with_normal(spark.range(1), mode, cov), 50, 7).drop("id")
     return smoothing.sample_fields(est, draws, [], 7)
 
 
@@ -215,21 +215,19 @@ def _draw_sql(row: int) -> str:
     + " FROM (SELECT DISTINCT year, lead_time FROM fx_ens) g CROSS JOIN (SELECT CAST(unnest(range(1, 101)) AS INT) AS sample) n) d")
 def _(spark, sf_dir):
     groups = fx.daily(spark, sf_dir).select("year", "lead_time").distinct()
-    return predict.sample_log_kappa(groups, MODE, COV, 100, 11)
+    return predict.sample_log_kappa(predict.with_normal(groups, MODE, COV), 100, 11)
 
 
-def _draws(spark, sf_dir, shift):
-    weekly = fx.hindcast_3w(spark, sf_dir)
-    cv = estimate.loo_mle(weekly, ["j", "i", "long", "lat"], z="fcst_anom")
-    fields = reshape.stack_parameters(cv, ["i", "j", "long", "lat", "year"], ["{}_hat", "var_{}_hat"])
+def _draws(weekly, shift):
+    cv = estimate.loo_mle(weekly, ["j", "i"], z="fcst_anom")
     keys = ["i", "j", "year"]
-    fields = fields.withColumn("seed", F.col("year") + shift).select(*keys, "seed", "par", "hat", "var_hat")
+    fields = reshape.stack_parameters(cv, keys, ["{}_hat", "var_{}_hat"]).withColumn("seed", F.col("year") + shift)
     return predict.sample_mle(fields, keys, SAMPLES, "seed")
 
 
 @query("sample_mle", "SELECT i, j, fold AS year, par, sample, r6(value) AS value FROM fx_mle_draws_hat")
 def _(spark, sf_dir):
-    return _draws(spark, sf_dir, 0)
+    return _draws(cut_lineage(fx.hindcast_3w(spark, sf_dir)), 0)
 
 
 @query("sample_summary", """
@@ -237,14 +235,14 @@ SELECT i, j, fold AS year, par, r6(avg(value)) AS mean, r6(stddev_samp(value)) A
 FROM fx_mle_draws_hat GROUP BY i, j, fold, par
 """)
 def _(spark, sf_dir):
-    return verify.sample_summary(_draws(spark, sf_dir, 0), ["i", "j", "year", "par"])
+    return verify.sample_summary(_draws(cut_lineage(fx.hindcast_3w(spark, sf_dir)), 0), ["i", "j", "year", "par"])
 
 
-def ensemble(spark, sf_dir, method):
+def ensemble(weekly, method):
     """Predictive draws from estimates; ``star`` repeats ``hat`` with other draws, so both stay checkable."""
     keys = ["i", "j", "year"]
-    params = predict.parameters_wide(_draws(spark, sf_dir, {"hat": 0, "star": 1000}[method]), keys)
-    z = predict.left_out_anomaly(fx.hindcast_3w(spark, sf_dir), ["i", "j", "long", "lat"])
+    params = predict.parameters_wide(_draws(weekly, {"hat": 0, "star": 1000}[method]), keys)
+    z = predict.left_out_anomaly(weekly, ["i", "j", "long", "lat"])
     return predict.predictive_ensemble(params, z, keys, "year", f"y_{method}", label=method)
 
 
@@ -253,7 +251,7 @@ ENSEMBLE = "SELECT year, i, j, long, lat, sample, r6(y_hat) AS y_hat, r6(y) AS y
 
 @query("predictive_ensemble", ENSEMBLE)
 def _(spark, sf_dir):
-    return ensemble(spark, sf_dir, "hat").select("year", "i", "j", "long", "lat", "sample", "y_hat", "y")
+    return ensemble(cut_lineage(fx.hindcast_3w(spark, sf_dir)), "hat").select("year", "i", "j", "long", "lat", "sample", "y_hat", "y")
 
 
 @query("predictive_ensemble_smoothed")
@@ -262,7 +260,7 @@ def _(spark, sf_dir):
     weekly = weekly_columns(spark, sf_dir)
     grid = grid_of(weekly)
     est = smoothing.estimates_on_grid(estimate.loo_mle(weekly, ["long", "lat"], z="fcst_anom"), grid, ["year"])
-    kappas = predict.sample_log_kappa(est.select("year").distinct(), MODE, COV, SAMPLES, 11)
+    kappas = predict.sample_log_kappa(predict.with_normal(weekly.select("year").distinct(), MODE, COV), SAMPLES, 11)
     params = predict.parameters_wide(smoothing.sample_fields(est, kappas, ["year"], 11), ["year", "s"])
     z = predict.left_out_anomaly(weekly, ["long", "lat"]).join(grid.select("long", "lat", "s"), ["long", "lat"])
     return predict.predictive_ensemble(params, z, ["year", "s"], "year", "y_star", label="star")

@@ -101,7 +101,7 @@ def test_failed_kappa_is_nan_and_spares_the_others():
 
 def test_smooth_fields_residual_in_dataframe_form(spark, est):
     """(kappa R + D) x - D y evaluated with two grid Laplacians, independently of the solver."""
-    smooth = smoothing.smooth_fields(est, smoothing.kappa_axis(est, [0.0, 3.0]), ["g"], per_task=1)
+    smooth = smoothing.smooth_fields(est, smoothing.kappa_axis(spark, [0.0, 3.0]), ["g"], per_task=1)
     assert smooth.count() == 2 * 3 * N_I * N_J
     keys = ["g", "par", "kappa_id"]
     rows = smooth.join(est.select("g", "par", "s", "value", "weight"), ["g", "par", "s"])
@@ -119,6 +119,8 @@ def test_fixed_steps_converge_to_the_solve(spark, est):
     kappa = {"alpha": 2.0, "beta": 2.0, "tau": 2.0}
     steps = spatial.smooth_fixed_steps(est.filter("par = 'alpha'"), kappa, ["g"], steps=6, checkpoint_every=2)
     few = grid_values(steps.collect(), "smooth")
+    spread = spatial.smooth_fixed_steps(est.filter("par = 'alpha'"), kappa, ["g"], steps=6, field_per_task=False)
+    assert np.allclose(grid_values(spread.collect(), "smooth"), few)
     value = grid_values(est.filter("par = 'alpha'").collect(), "value")
     weight = grid_values(est.filter("par = 'alpha'").collect(), "weight")
     x, w = value.copy(), 1 / (64 * 2.0 + weight.max())
@@ -143,6 +145,9 @@ def test_integrated_equals_mixture_of_fixed(spark, est, fields):
     var = np.tensordot(share, found["var"] + found["mean"] ** 2, 1) - mean**2
     assert np.allclose(grid_values(got, "smooth"), mean)
     assert np.allclose(grid_values(got, "smooth_var"), var)
+    sliced = smoothing.smooth_integrated(est, ["g"], axis, per_task=3).filter("par = 'beta'").collect()
+    assert np.allclose(grid_values(sliced, "smooth"), mean) and np.allclose(grid_values(sliced, "smooth_var"), var)
+    assert np.allclose(grid_values(sliced, "value"), value["beta"])
     one = smoothing.smooth_integrated(est, ["g"], [1.0]).filter("par = 'tau'").collect()
     assert np.allclose(grid_values(one, "smooth"), solve(value["tau"], weight["tau"], [np.e])["mean"][0])
     weights = smoothing.kappa_marginal(est, ["g"], axis).filter("par = 'beta'").orderBy("log_kappa").collect()
@@ -173,7 +178,7 @@ def joint_log_posterior(lk, fields):
 @pytest.mark.parametrize("groups", [["g"], []])
 def test_separable_posterior_equals_joint(spark, est, moments, fields, groups):
     source, table = (est, moments) if groups else (est.drop("g"), moments.drop("g"))
-    got = smoothing.kappa_log_posterior(source, table, smoothing.kappa_axis(source, [-1.0, 1.0, 3.0]), groups, None).collect()
+    got = smoothing.kappa_log_posterior(source, table, smoothing.kappa_axis(spark, [-1.0, 1.0, 3.0]), groups, None).collect()
     assert len(got) == 27
     for r in got[::5]:
         assert np.isclose(r.log_post, joint_log_posterior([r.lk_alpha, r.lk_beta, r.lk_tau], fields), rtol=1e-10)
