@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldcal.operators import estimate, figures, filters, predict, reshape, verify
 from fieldcal.plans import fixtures as fx
+from fieldcal.plans import workflows
 from fieldcal.plans import queries_spatial as chain
 from fieldcal.plans.registry import query
 from fieldcal.plans.sql_views import weighted_mean_sql, weighted_se_sql
@@ -207,3 +208,34 @@ def _(spark, sf_dir):
         {"par": "variable", "var_hat": "likelihood", "smooth_var": "posterior"})
     long_rows = rows.unpivot([*keys, "variable"], ["likelihood", "posterior"], "method", "variance")
     return figures.sd_by_method(long_rows, [*keys, "variable"])
+
+
+# ---- whole workflows ----
+
+
+@query("ingest_control_hindcast", """
+SELECT c.long, c.lat, c.date, CAST(year(c.date) AS INT) AS year, CAST(c.date - c.start_date AS INT) AS lead_time,
+  r6(o.t2m) AS obs, r6(c.fcst) AS fcst
+FROM fx_control c JOIN (
+  SELECT CASE WHEN x > 180 THEN x - 360 ELSE x END AS long, y AS lat, date, avg(t2m) - 273.15 AS t2m
+  FROM fx_analysis_raw GROUP BY x, y, date) o
+ON c.long = o.long AND c.lat = o.lat AND c.date = o.date
+""")
+def _(spark, sf_dir):
+    return workflows.ingest_control(fx.analysis_raw(spark, sf_dir), fx.wide(spark, sf_dir), fx.band_meta(spark, sf_dir))
+
+
+@query("week3_hindcast", "SELECT long, lat, year, r6(obs) AS obs, r6(fcst) AS fcst, r6(fcst_anom) AS fcst_anom FROM fx_3w "
+       "WHERE long BETWEEN -15 AND 30 AND lat BETWEEN 30 AND 70")
+def _(spark, sf_dir):
+    return workflows.week3(fx.hindcast_control(spark, sf_dir))
+
+
+@query("daily_verification_integrated")
+def _(spark, sf_dir):
+    return workflows.daily_verification(fx.daily(spark, sf_dir)).tables()["mse_by_lead"]
+
+
+@query("week3_verification")
+def _(spark, sf_dir):
+    return workflows.week3_verification(workflows.week3(fx.hindcast_control(spark, sf_dir)), samples=40).tables["ensemble_mse_map"]

@@ -144,6 +144,28 @@ def _(spark, sf_dir):
     return smoothing.smooth_fields(est, kappas, ["lead_time"])
 
 
+@query("smooth_fields_residual", "SELECT lead_time, par, log_kappa, 0.0::DOUBLE AS residual FROM (" + " UNION ALL ".join(
+    f"SELECT DISTINCT lead_time, '{p}' AS par FROM fx_mle" for p in KAPPA) + ") g CROSS JOIN (VALUES (0.0::DOUBLE), (3.0)) k(log_kappa)")
+def _(spark, sf_dir):
+    """Largest entry of (kappa R + D) x - D y, with R applied as two grid Laplacians: zero to six decimals for a right solve."""
+    est = cut_lineage(mle_fields(spark, sf_dir))
+    keys = ["lead_time", "par", "log_kappa"]
+    solved = smoothing.smooth_fields(est, smoothing.kappa_axis(spark, [0.0, 3.0]), ["lead_time"], variance=False)
+    rows = solved.join(est.select("lead_time", "par", "s", "value", "weight"), ["lead_time", "par", "s"], "left").na.fill(
+        0.0, ["value", "weight"])
+    once = spatial.grid_laplacian(rows, "mean", keys, "lap", ["value", "weight"])
+    twice = spatial.grid_laplacian(once, "lap", keys, "lap2", ["mean", "value", "weight"])
+    rest = F.exp("log_kappa") * F.col("lap2") + F.col("weight") * (F.col("mean") - F.col("value"))
+    return twice.groupBy(*keys).agg(F.max(F.abs(rest)).alias("residual"))
+
+
+@query("kappa_marginal_total", "SELECT lead_time, par, 16::BIGINT AS points, 1.0::DOUBLE AS probability FROM (" + " UNION ALL ".join(
+    f"SELECT DISTINCT lead_time, '{p}' AS par FROM fx_mle" for p in KAPPA) + ") g")
+def _(spark, sf_dir):
+    marginal = smoothing.kappa_marginal(mle_fields(spark, sf_dir), ["lead_time"])
+    return marginal.groupBy("lead_time", "par").agg(F.count("*").alias("points"), F.sum("probability").alias("probability"))
+
+
 @query("smooth_fields_integrated")
 def _(spark, sf_dir):
     daily = daily_columns(spark, sf_dir)
