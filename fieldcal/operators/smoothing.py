@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -326,48 +326,33 @@ def kappa_log_posterior(
     groups = list(groups)
     fields = cut_lineage(smooth_fields(est, kappas, groups, variance=False))
 
-    ordered = lambda p: F.sort_array(
-        F.collect_list(F.when(F.col("par") == p, F.struct("kappa_id", "mean")))
-    ).alias(p)
-    cells = fields.groupBy(*groups, "s").agg(*[ordered(p) for p in PARAMETERS]).join(moments, [*groups, "s"])
-    half, w = F.col("n") / F.lit(2.0), F.exp(F.lit(-2.0) * F.col("t.mean"))
-    cells = cells.select("*", F.explode("tau").alias("t")).withColumn("_hw", half * w)
-    mean = F.col("e.mean")
-    labelled = F.concat(
-        F.array(F.struct(F.lit("tau").alias("kind"), F.struct(F.col("t.kappa_id").alias("kappa_id"), F.col("t.mean").alias("mean")).alias("e"))),
-        F.transform("alpha", lambda e: F.struct(F.lit("alpha").alias("kind"), e.alias("e"))),
-        F.transform("beta", lambda e: F.struct(F.lit("beta").alias("kind"), e.alias("e"))),
+    # K entries per parameter and cell
+    solved = [F.expr(f"collect_list(CASE WHEN par = '{p}' THEN struct('{p}' AS kind, kappa_id, mean) END) AS {p}") for p in PARAMETERS]
+    cells = fields.groupBy(*groups, "s").agg(*solved).join(moments, [*groups, "s"])
+    cells = cells.selectExpr("*", "inline(tau) AS (_kind, tau_id, tau_mean)").selectExpr(
+        *groups, "n", "vyy", "vzz", "vyz", "ybar", "tau_id", "n / 2 * exp(-2 * tau_mean) AS half",
+        "inline(concat(array(struct('tau' AS kind, tau_id AS kappa_id, tau_mean AS mean)), alpha, beta))",
     )
-    offset = mean - F.col("ybar")
     term = (
-        F.when(F.col("kind") == "tau", -F.col("n") * mean - F.col("_hw") * F.col("vyy"))
-        .when(F.col("kind") == "alpha", -F.col("_hw") * offset * offset)
-        .otherwise(-F.col("_hw") * (mean * mean * F.col("vzz") - F.lit(2.0) * mean * F.col("vyz")))
+        "CASE kind WHEN 'tau' THEN -n * mean - half * vyy WHEN 'alpha' THEN -half * (mean - ybar) * (mean - ybar) "
+        "ELSE -half * (mean * mean * vzz - 2 * mean * vyz) END"
     )
     tables = (
-        cells.select(*groups, "n", "vyy", "vzz", "vyz", "ybar", "_hw", F.col("t.kappa_id").alias("tau_id"), F.inline(labelled))
-        .select(*groups, "tau_id", "kind", F.col("e.kappa_id").alias("kappa_id"), term.alias("term"))
-        .groupBy(*groups, "tau_id", "kind", "kappa_id")
+        cells.selectExpr(*groups, "tau_id", "kind AS par", "kappa_id", f"{term} AS term")
+        .groupBy(*groups, "tau_id", "par", "kappa_id")
         # a null cell (failed solve) makes the whole point null
-        .agg(F.when(F.count("term") == F.count("*"), F.sum("term")).alias("term"))
+        .agg(F.expr("CASE WHEN count(term) = count(*) THEN sum(term) END AS term"))
     )
     scalar = fields.groupBy(*groups, "par", "kappa_id").agg(
-        F.max("log_kappa").alias("log_kappa"),
-        (F.count("*") / F.lit(2.0) * F.max("log_kappa")
-         - F.exp(F.max("log_kappa")) * F.max("roughness") / F.lit(2.0)
-         - F.max("log_det") / F.lit(2.0)).alias("own"),
+        F.expr("max(log_kappa) AS lk"),
+        F.expr("count(*) / 2 * max(log_kappa) - exp(max(log_kappa)) * max(roughness) / 2 - max(log_det) / 2 AS own"),
     )
-    side = lambda p: scalar.filter(F.col("par") == p).select(
-        *groups, F.col("kappa_id").alias(f"{p}_id"), F.col("log_kappa").alias(f"lk_{p}"), F.col("own").alias(f"own_{p}")
-    )
-    part = lambda p: tables.filter(F.col("kind") == p).select(
-        *groups, "tau_id", F.col("kappa_id").alias(f"{p}_id"), F.col("term").alias(f"term_{p}")
-    )
-    points = part("tau").join(side("tau"), [*groups, "tau_id"])
-    for p in ("alpha", "beta"):
-        points = points.join(part(p).join(side(p), [*groups, f"{p}_id"]), [*groups, "tau_id"])
-    total = sum((F.col(f"term_{p}") + F.col(f"own_{p}") for p in PARAMETERS), F.lit(0.0))
-    out = points.withColumn("log_post_y", total)
+    scored = tables.join(scalar, [*groups, "par", "kappa_id"])
+    sides = [F.expr(f"collect_list(CASE WHEN par = '{p}' THEN struct(lk AS lk_{p}, term + own AS score_{p}) END) AS {p}") for p in PARAMETERS]
+    points = scored.groupBy(*groups, "tau_id").agg(*sides)
+    for p in ("tau", "alpha", "beta"):
+        points = points.selectExpr(*[c for c in points.columns if c != p], f"inline({p})")
+    out = points.withColumn("log_post_y", F.expr("score_tau + score_alpha + score_beta"))
     if hyperprior is not None:
         out = out.join(lam, groups) if groups else out.withColumn(
             "_lam", lam.select(F.struct(*[f"lambda_{p}" for p in PARAMETERS])).scalar()
@@ -403,6 +388,11 @@ def _stencil_quadratic(values: dict[tuple, float], h: float) -> tuple[np.ndarray
     return gradient, hessian
 
 
+# Spacing of the search axes of ``kappa_mode`` after the coarse grid, and their reach in steps to either side.
+SEARCH_STEPS = (0.5, 0.125)
+REACH = 4
+
+
 def kappa_mode(
     est: DataFrame,
     moments: DataFrame,
@@ -410,49 +400,67 @@ def kappa_mode(
     hyperprior: str | None = "half_normal",
     lam: DataFrame | None = None,
     axis: Sequence[float] = LOG_KAPPA_AXIS,
-    smallest_step: float = 0.1,
+    max_rounds: int = 40,
 ) -> list[dict]:
-    """Normal approximation of the log-kappa posterior of every group: [{groups..., mode, cov}].
+    """Normal approximation of the log-kappa posterior of every group: [{groups..., mode, cov, gradient}].
 
-    Starts at the best point of a coarse grid and moves on a 27-point stencil. Each round is one Spark job over all groups;
-    only the 27 values per group come to the driver, for algebra on 3 x 3 matrices.
+    Starts at the best point of a coarse grid and looks at ever finer cubes of points around the best so far; a cube whose best
+    point lies on its surface is moved, not refined. Solves grow with the edge of the cube, not with its volume. Each round
+    is one pass over all groups; the 27 points around each group's best come to the driver, for algebra on 3 x 3 matrices.
     """
     groups = list(groups)
     spark = est.sparkSession
     est, moments = cut_lineage(est), cut_lineage(moments)
     lam = cut_lineage(lam) if lam is not None else None
+    names = [f"lk_{p}" for p in PARAMETERS]
     coarse = kappa_log_posterior(est, moments, kappa_axis(spark, axis), groups, hyperprior, lam)
-    best = coarse.groupBy(*groups).agg(F.max_by(F.struct("lk_alpha", "lk_beta", "lk_tau"), "log_post").alias("at")).collect()
-    state = {tuple(r[g] for g in groups): [np.array([r["at"][k] for k in range(3)]), 1.0, None, None] for r in best}
-    key_schema = [est.schema[g] for g in groups]
-    schema = T.StructType([*key_schema, *T.StructType.fromDDL("par string, kappa_id int, log_kappa double").fields])
-
-    for _ in range(60):
-        open_groups = {g: s for g, s in state.items() if s[1] >= smallest_step}
-        if not open_groups:
+    best = coarse.filter("log_post is not null").groupBy(*groups).agg(F.max_by(F.struct(*names), "log_post").alias("at")).collect()
+    # group -> [centre, index of the current step, covariance, gradient]
+    state = {tuple(r[g] for g in groups): [np.array(list(r["at"])), 0, None, None] for r in best}
+    schema = T.StructType(
+        [*[est.schema[g] for g in groups], *T.StructType.fromDDL("par string, kappa_id int, log_kappa double, step double").fields]
+    )
+
+    for _ in range(max_rounds):
+        active = {g: s for g, s in state.items() if s[1] < len(SEARCH_STEPS)}
+        if not active:
             break
-        rows = [
-            (*g, p, k + 1, float(s[0][n] + k * s[1]))
-            for g, s in open_groups.items() for n, p in enumerate(PARAMETERS) for k in (-1, 0, 1)
-        ]
-        kappas = spark.createDataFrame(rows, schema)
-        active = est.join(kappas.select(*groups).distinct(), groups, "left_semi") if groups else est
-        found: dict[tuple, dict] = {g: {} for g in open_groups}
-        for r in kappa_log_posterior(active, moments, kappas, groups, hyperprior, lam).collect():
+        cubes = spark.createDataFrame(
+            [
+                (*g, p, k + REACH, float(s[0][n] + k * SEARCH_STEPS[s[1]]), SEARCH_STEPS[s[1]])
+                for g, s in active.items() for n, p in enumerate(PARAMETERS) for k in range(-REACH, REACH + 1)
+            ],
+            schema,
+        )
+        steps = cubes.select(*groups, "step").distinct()
+        rest = est.join(F.broadcast(steps.select(*groups)), groups, "left_semi") if groups else est
+        points = kappa_log_posterior(rest, moments, cubes.drop("step"), groups, hyperprior, lam)
+        points = points.join(F.broadcast(steps), groups) if groups else points.withColumn("step", steps.scalar())
+        # a cube has (2 REACH + 1)^3 points, so the window is small
+        top = F.max_by(F.struct(*names), "log_post").over(Window.partitionBy(*(groups or [F.lit(1)])))
+        near = points.withColumn("top", top).filter(
+            " and ".join(f"abs({c} - top.{c}) < 1.5 * step" for c in names)
+        ).withColumns({f"_at{n}": F.round((F.col(c) - F.col(f"top.{c}")) / F.col("step")).cast("int") for n, c in enumerate(names)})
+        found: dict[tuple, dict] = {g: {} for g in active}
+        tops: dict[tuple, np.ndarray] = {}
+        for r in near.collect():
             g = tuple(r[c] for c in groups)
-            s = open_groups[g]
-            place = tuple(int(round((r[f"lk_{p}"] - s[0][n]) / s[1])) for n, p in enumerate(PARAMETERS))
-            found[g][place] = r["log_post"] if r["log_post"] is not None else -np.inf
-        for g, s in open_groups.items():
-            top = max(found[g], key=found[g].get)
-            if top != (0, 0, 0):
-                s[0] = s[0] + s[1] * np.array(top)
+            value = r["log_post"]
+            found[g][(r["_at0"], r["_at1"], r["_at2"])] = value if value is not None else -np.inf
+            tops[g] = np.array(list(r["top"]))
+        for g, s in active.items():
+            s[0] = tops[g]
+            if len(found[g]) < 27:
                 continue
-            gradient, hessian = _stencil_quadratic(found[g], s[1])
-            if np.all(np.linalg.eigvalsh(-hessian) > 0):
-                s[2], s[3] = np.linalg.inv(-hessian), gradient
-                s[0] = s[0] + np.clip(s[2] @ gradient, -s[1], s[1])
-            s[1] /= 2
+            if s[1] == len(SEARCH_STEPS) - 1:
+                gradient, hessian = _stencil_quadratic(found[g], SEARCH_STEPS[s[1]])
+                if np.all(np.isfinite(hessian)) and np.all(np.linalg.eigvalsh(-hessian) > 0):
+                    s[2], s[3] = np.linalg.inv(-hessian), gradient
+                    s[0] = s[0] + np.clip(s[2] @ gradient, -SEARCH_STEPS[s[1]], SEARCH_STEPS[s[1]])
+            s[1] += 1
+    lost = [g for g, s in state.items() if s[2] is None]
+    if lost:
+        raise ValueError(f"no interior maximum of the precision posterior for {lost}")
     return [{**dict(zip(groups, g)), "mode": s[0], "cov": s[2], "gradient": s[3]} for g, s in state.items()]
 
 
