@@ -177,19 +177,24 @@ def loo_mle(
         F.expr("sum(k * mz) / sum(k) AS zbar_all"),
         F.collect_list(F.struct(F.col(fold).alias("label"), "k", "my", "mz", "cyy", "czz", "cyz")).alias("parts"),
     )
-    # deviations from the group mean keep the later subtraction well conditioned; an array holds one entry per fold
+    # deviations from the group mean keep the later subtraction well conditioned; an array holds one entry per fold, and a
+    # group without rows in a fold still gets that fold: nothing is taken away
     dy, dz = "(p.my - ybar_all)", "(p.mz - zbar_all)"
-    entry = (
-        f"struct(p.k AS k, p.k * {dy} AS sy, p.k * {dz} AS sz, p.k * (p.cyy + {dy} * {dy}) AS tyy, "
-        f"p.k * (p.czz + {dz} * {dz}) AS tzz, p.k * (p.cyz + {dy} * {dz}) AS tyz)"
+    present = (
+        f"transform(parts, p -> struct(p.label AS {fold}, p.k AS k, p.k * {dy} AS sy, p.k * {dz} AS sz, "
+        f"p.k * (p.cyy + {dy} * {dy}) AS tyy, p.k * (p.czz + {dz} * {dz}) AS tzz, p.k * (p.cyz + {dy} * {dz}) AS tyz))"
     )
-    totals = totals.withColumn("own", F.expr(f"map_from_entries(transform(parts, p -> struct(p.label, {entry})))"))
-    sums = {c: f"aggregate(map_values(own), 0.0D, (acc, o) -> acc + o.{c})" for c in ("tyy", "tzz", "tyz")}
-    totals = totals.selectExpr(*keys, "n_all", "ybar_all", "own", *[f"{e} AS all_{c}" for c, e in sums.items()])
-    # a group without rows in a fold still gets that fold: nothing is taken away
-    rows = totals.withColumn(fold, F.explode(labels))
-    rows = rows.withColumn("out", F.try_element_at("own", F.col(fold))).drop("own")
-    own = {c: F.coalesce(F.col(f"out.{c}"), F.lit(0)) for c in ("k", "sy", "sz", "tyy", "tzz", "tyz")}
+    absent = (
+        f"transform(array_except(labels, parts.label), l -> struct(l AS {fold}, 0L AS k, 0.0D AS sy, 0.0D AS sz, "
+        "0.0D AS tyy, 0.0D AS tzz, 0.0D AS tyz))"
+    )
+    entries = totals.withColumn("labels", labels).withColumn("entries", F.expr(f"concat({present}, {absent})"))
+    sums = {c: f"aggregate(entries, 0.0D, (acc, e) -> acc + e.{c})" for c in ("tyy", "tzz", "tyz")}
+    rows = entries.selectExpr(*keys, "n_all", "ybar_all", "labels", "entries", *[f"{e} AS all_{c}" for c, e in sums.items()])
+    rows = rows.selectExpr(*[c for c in rows.columns if c != "entries"], "inline(entries)")
+    if folds is not None:
+        rows = rows.filter(F.array_contains("labels", F.col(fold)))
+    own = {c: F.col(c) for c in ("k", "sy", "sz", "tyy", "tzz", "tyz")}
     rows = rows.withColumn("n", F.col("n_all") - own["k"]).filter("n > 0")
     n, a, b = F.col("n"), -own["sy"] / F.col("n"), -own["sz"] / F.col("n")
     left = rows.withColumns(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldcal.functions import aggregates as A
 from fieldcal.functions import expressions as E
-from fieldcal.operators import estimate, filters, joins, reshape, smoothing, spatial, verify
+from fieldcal.operators import estimate, filters, joins, predict, reshape, smoothing, spatial, verify
 from fieldcal.plans import fixtures as fx
 from fieldcal.plans.registry import query
 from fieldcal.plans.sql_views import weighted_mean_sql
@@ -36,11 +36,9 @@ SELECT l.long, l.lat, l.fold AS year, l.lead_time, r6(l.alpha_hat) AS alpha_hat,
 FROM fx_loo l JOIN fx_daily d ON l.long = d.long AND l.lat = d.lat AND l.fold = d.year AND l.lead_time = d.lead_time
 """)
 def _(spark, sf_dir):
-    from fieldcal.operators.predict import join_cv_hindcast
-
     daily = fx.daily(spark, sf_dir).select("long", "lat", "year", "lead_time", "obs", "fcst")
     cv = estimate.loo_mle(daily, CELL_LEAD).select("long", "lat", "year", "lead_time", "alpha_hat", "beta_hat")
-    return join_cv_hindcast(daily.drop("fcst"), cv)
+    return predict.join_cv_hindcast(daily.drop("fcst"), cv)
 
 
 @query("join_params_xbar", """
