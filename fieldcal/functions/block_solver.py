@@ -72,9 +72,9 @@ def _solve_batch(y: np.ndarray, weight: np.ndarray, kappa: np.ndarray, noise: np
             pivot = pivot - coupling @ gain[-1]
             vector = vector - np.einsum("kji,kj->ki", gain[-1], carried[-1])
         root = np.linalg.cholesky(pivot)
-        root_inverse = np.linalg.inv(root)
-        inverse.append(np.swapaxes(root_inverse, 1, 2) @ root_inverse)
-        lower.append(root_inverse if noise is not None else None)
+        dense = np.linalg.inv(pivot)
+        inverse.append((dense + np.swapaxes(dense, 1, 2)) / 2)
+        lower.append(root if noise is not None else None)
         carried.append(vector)
         log_det = log_det + 2 * np.log(np.diagonal(root, axis1=1, axis2=2)).sum(axis=1)
         if k + 1 < len(diagonal):
@@ -87,7 +87,7 @@ def _solve_batch(y: np.ndarray, weight: np.ndarray, kappa: np.ndarray, noise: np
         mean[k] = np.einsum("kij,kj->ki", inverse[k], carried[k])
         if noise is not None:
             z = part(noise, k) / np.sqrt(size)[:, None]
-            draw[k] = np.einsum("kji,kj->ki", lower[k], z)
+            draw[k] = np.linalg.solve(np.swapaxes(lower[k], 1, 2), z[..., None])[..., 0]
         if k + 1 < count:
             mean[k] = mean[k] - np.einsum("kij,kj->ki", gain[k], mean[k + 1])
             if noise is not None:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,17 @@ def _schema(df: DataFrame, kept: Sequence[str], added: str) -> T.StructType:
     return T.StructType(head.fields + T.StructType.fromDDL(added).fields)
 
 
+def _by_field(rows: DataFrame, keys: Sequence[str]) -> GroupedData:
+    """Group rows by field, over a fixed number of tasks.
+
+    Fields are few bytes and much work: left alone, adaptive execution would merge them into one task by their size. A
+    partition number given here is kept, and the grouping reuses the partitioning.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys).groupBy(*keys)
+
+
 def _with_kappas(est: DataFrame, kappas: DataFrame, per_task: int) -> DataFrame:
     """Field rows with arrays of the kappas to solve for; each array holds at most ``per_task``."""
     on = [c for c in kappas.columns if c not in ("kappa_id", "log_kappa")]
@@ -174,7 +185,7 @@ def smooth_fields(
         "log_det double, roughness double, misfit double",
     )
     rows = _with_kappas(est.select(*groups, *FIELD_COLUMNS), kappas, per_task)
-    out = rows.groupBy(*groups, "par", "_chunk").applyInPandas(run, schema)
+    out = _by_field(rows, [*groups, "par", "_chunk"]).applyInPandas(run, schema)
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in
                             ("mean", "var", "log_det", "roughness", "misfit")})
 
@@ -249,7 +260,7 @@ def smooth_integrated(
         "i int, j int, s int, value double, weight double, smooth double, smooth_var double, log_mass double",
     )
     rows = est.select(*groups, *FIELD_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(len(slices) - 1))).alias("_slice"))
-    out = rows.groupBy(*groups, "par", "_slice").applyInPandas(run, schema)
+    out = _by_field(rows, [*groups, "par", "_slice"]).applyInPandas(run, schema)
     out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight")})
     if len(slices) == 1:
         return out.drop("log_mass")
@@ -286,7 +297,7 @@ def kappa_marginal(
         return out[[f.name for f in schema.fields]]
 
     schema = _schema(est, [*groups, "par"], "log_kappa double, kappa double, probability double, density double")
-    return est.select(*groups, *FIELD_COLUMNS).groupBy(*groups, "par").applyInPandas(run, schema)
+    return _by_field(est.select(*groups, *FIELD_COLUMNS), [*groups, "par"]).applyInPandas(run, schema)
 
 
 def cv_table(smoothed: DataFrame, grid: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -496,4 +507,4 @@ def sample_fields(
 
     schema = _schema(est, [*groups, "par"], "sample int, s int, value double")
     rows = _with_kappas(est.select(*groups, *FIELD_COLUMNS), kappas, per_task)
-    return rows.groupBy(*groups, "par", "_chunk").applyInPandas(run, schema)
+    return _by_field(rows, [*groups, "par", "_chunk"]).applyInPandas(run, schema)
