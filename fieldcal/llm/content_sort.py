@@ -52,25 +52,27 @@ def content_sort(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         F.row_number().over(block).alias("place"),
         F.first("doc_id").over(block).alias("block_id"),
         F.first("chars").over(block).alias("block_chars"),
+        F.count("*").over(Window.partitionBy("head", "digest", "salt", "norm")).alias("block_size"),
         F.sha2("norm", 256).alias("text_sha256"),
         F.when(F.col("salt") >= 0, F.col("norm")).alias("norm"),
     )
     # the texts of hot groups are needed for the best row of each block only
     slim = cut_lineage(placed.withColumn("norm", F.when(F.col("place") == 1, F.col("norm"))))
 
+    # at most 2 * blocks rows
     heads = slim.where((F.col("place") == 1) & (F.col("salt") >= 0))
-    group = Window.partitionBy("norm").orderBy(F.col("block_chars").desc(), F.col("block_id").asc_nulls_last(), "salt")
+    whole = Window.partitionBy("norm")
+    group = whole.orderBy(F.col("block_chars").desc(), F.col("block_id").asc_nulls_last(), "salt")
     merged = heads.select(
-        "text_sha256", "salt", F.first("block_id").over(group).alias("hot_id"), F.first("salt").over(group).alias("hot_salt")
+        "text_sha256", "salt", F.first("block_id").over(group).alias("hot_id"), F.first("salt").over(group).alias("hot_salt"),
+        F.sum("block_size").over(whole).alias("hot_size"),
     )
-    rows = slim.drop("norm", "block_chars").join(merged, ["text_sha256", "salt"], "left")
-    rows = rows.select(
-        "doc_id", "text_sha256",
-        F.when(F.col("salt") >= 0, F.col("hot_id")).otherwise(F.col("block_id")).alias("keep_id"),
-        ((F.col("place") == 1) & ((F.col("salt") < 0) | (F.col("salt") == F.col("hot_salt")))).alias("kept"),
+    rows = slim.drop("norm", "block_chars").join(F.broadcast(merged), ["text_sha256", "salt"], "left")
+    best = F.when(F.col("salt") >= 0, F.col("salt") == F.col("hot_salt")).otherwise(F.lit(True))
+    return rows.select(
+        "doc_id", F.when(F.col("salt") >= 0, F.col("hot_id")).otherwise(F.col("block_id")).alias("keep_id"),
+        F.coalesce("hot_size", "block_size").alias("group_size"), ((F.col("place") == 1) & best).alias("kept"), "text_sha256",
     )
-    sizes = rows.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
-    return rows.join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = r"""

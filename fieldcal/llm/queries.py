@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from fieldcal.llm import content_sort, fair_queue
+import public_tokenizers
+
+from fieldcal.llm import content_sort, fair_queue, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_store(spark, sf_dir):
+    path = token_store.write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_store(spark, path, digest_only=True)
+
+
 def op8_weighted_fair_queue(spark, sf_dir):
     return fair_queue.mixed(documents(spark, sf_dir))
 
@@ -17,6 +24,7 @@ def op9_content_sort(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
     "op8_weighted_fair_queue": op8_weighted_fair_queue,
     "op9_content_sort": op9_content_sort,
 }
