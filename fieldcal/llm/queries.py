@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import content_sort, fair_queue, token_store
+from fieldcal.llm import content_sort, cutting_stock, fair_queue, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,10 +23,15 @@ def op9_content_sort(spark, sf_dir):
     return content_sort.content_sort(documents(spark, sf_dir))
 
 
+def op10_cutting_stock(spark, sf_dir):
+    return cutting_stock.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op8_weighted_fair_queue": op8_weighted_fair_queue,
     "op9_content_sort": op9_content_sort,
+    "op10_cutting_stock": op10_cutting_stock,
 }
 ORACLES = {
     "op8_weighted_fair_queue": fair_queue.ORACLE,
