@@ -108,23 +108,26 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     basis = np.array(columns).T.astype(float)
     inverse = np.linalg.inv(basis)
     cost = padded_length(lengths @ basis.astype(np.int64), capacity).astype(float)
+    dual = np.einsum("i,ij->j", cost, inverse)
     demand = float((lengths * counts).sum())
     levels = np.arange(capacity + 1)
     price = padded_length(levels, capacity).astype(float)
     for step in range(max_columns):
         if cost @ x <= demand * (1 + gap):
             break
-        if step % 100 == 99:  # rounding errors of the updates
+        if step % 200 == 199:  # rounding errors of the updates
             inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ counts, 0.0)
-        best, last = _knapsack(cost @ inverse, lengths, capacity)
+            x = np.maximum(np.einsum("ij,j->i", inverse, counts.astype(float)), 0.0)
+            dual = np.einsum("i,ij->j", cost, inverse)
+        best, last = _knapsack(dual, lengths, capacity)
         gain = best - price
         gain[0] = -np.inf
         level = int(np.argmax(gain))
         if gain[level] <= 1e-7 * capacity:
             break
         pattern = _column(last, lengths, level)
-        direction = inverse @ pattern
+        held = np.flatnonzero(pattern)  # a pattern holds few lengths; a whole matrix product would cost more
+        direction = (inverse[:, held] * pattern[held]).sum(axis=1)
         up = direction > 1e-9
         if not up.any():
             break
@@ -133,6 +136,7 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
         x = np.maximum(x - ratio[out] * direction, 0.0)
         x[out] = ratio[out]
         row = inverse[out] / direction[out]
+        dual = dual + (price[level] - dual[held] @ pattern[held]) * row
         inverse -= np.outer(direction, row)
         inverse[out] = row
         basis[:, out], cost[out], columns[out] = pattern, price[level], pattern

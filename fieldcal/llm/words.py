@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+SLICE_BYTES = 6 << 20
+PLAIN = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -77,7 +77,7 @@ class PieceEncoder:
     passed, pieces seen in one batch only are forgotten.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,10 +96,10 @@ class PieceEncoder:
         """Plain pieces (letters, then perhaps a full stop or comma) go to the BPE model itself, which saves the alignment work of a
         full encoding. Only when that gives the same ids on probes for one of the two byte-level layouts."""
         self.plain = None
-        probes = ["abc", "Straße", "ÉTÉ.", "señor,", "x", "THE", "ing.", "naïveté", "Øre,"]
+        probes = ["abc", "Straße", "ÉTÉ.", "señor,", "x", "THE", "ing.", "naïveté", "Øre,", "\nThe", "\nétat.", "\nx,"]
         for space, lower in (("\u0120", False), ("", True)):
             self.plain = (space, lower)
-            if [self._plain_ids(p) for p in probes] == self._ids([" " + p for p in probes]):
+            if [self._plain_ids(p) for p in probes] == self._ids([_spaced(p) for p in probes]):
                 return
         self.plain = None
 
@@ -107,11 +107,16 @@ class PieceEncoder:
         space, lower = self.plain
         end = piece[-1] if piece[-1] in ".," else ""
         word = piece[:-1] if end else piece
+        before = []
+        if word[0] == "\n":
+            word = word[1:]
+            if space:
+                space, before = "", self._tokenize(BYTE_LETTERS[10])
         if lower:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self._tokenize(space + word)]
+        ids = [t.id for t in (before + self._tokenize(space + word))]
         if end:
             ids += [t.id for t in self._tokenize(end)]
         return ids
@@ -136,8 +141,7 @@ class PieceEncoder:
         rest = [p for p, simple in zip(pieces, plain) if not simple]
         full = []
         for at in range(0, len(rest), 8192):
-            # a piece that begins with a line feed had no space before it
-            full += self._ids([p if p[:1] == "\n" else " " + p for p in rest[at : at + 8192]])
+            full += self._ids([_spaced(p) for p in rest[at : at + 8192]])
         others = iter(full)
         lists = [self._plain_ids(p) if simple else next(others) for p, simple in zip(pieces, plain)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -180,6 +184,11 @@ class PieceEncoder:
         return pool[ranges(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
 
+def _spaced(piece: str) -> str:
+    """The piece with what was before it in its text; one that begins with a line feed had no space."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
 def _odd(piece: str) -> bool:
     piece = piece[1:] if piece[:1] == "\n" else piece
     return not piece or piece[0].isspace() or piece[-1].isspace()
