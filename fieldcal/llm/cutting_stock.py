@@ -75,11 +75,12 @@ def greedy_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> l
     return out
 
 
-def _start(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """A first basis with its solution: largest tails first, each pattern used (in fractions) until one length is used up.
+def _start(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A first basis with its solution and inverse: largest tails first, each pattern used (in fractions) until one length is used up.
 
-    Later patterns do not hold that length, so the basis is triangular. ``x`` is in the order of ``lengths``.
+    Later patterns do not hold that length, so the basis is triangular in this order and its inverse comes row by row.
     """
+    order = []
     left = counts.astype(float)
     columns, x = [np.zeros(0)] * len(lengths), np.zeros(len(lengths))
     open_ = np.ones(len(lengths), bool)
@@ -96,7 +97,17 @@ def _start(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list
         columns[k], x[k] = pattern, ratio.min()
         left = np.maximum(left - ratio.min() * pattern, 0.0)
         left[k], open_[k] = 0.0, False
-    return columns, x
+        order.append(k)
+    inverse = np.zeros((len(lengths), len(lengths)))
+    basis = np.array(columns)
+    for k in order:
+        row = np.zeros(len(lengths))
+        row[k] = 1.0
+        for j in np.flatnonzero(basis[:, k]):
+            if j != k:
+                row -= basis[j, k] * inverse[j]
+        inverse[k] = row / basis[k, k]
+    return columns, x, inverse
 
 
 def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, gap: float = GAP,
@@ -104,21 +115,15 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     """Patterns with their numbers of sequences, which together hold ``counts`` tails of ``lengths`` (ascending) exactly."""
     if not len(lengths):
         return []
-    columns, x = _start(lengths, counts, capacity)
-    basis = np.array(columns).T.astype(float)
-    inverse = np.linalg.inv(basis)
-    cost = padded_length(lengths @ basis.astype(np.int64), capacity).astype(float)
+    columns, x, inverse = _start(lengths, counts, capacity)
+    cost = padded_length((np.array(columns) * lengths).sum(axis=1), capacity).astype(float)
     dual = np.einsum("i,ij->j", cost, inverse)
     demand = float((lengths * counts).sum())
     levels = np.arange(capacity + 1)
     price = padded_length(levels, capacity).astype(float)
-    for step in range(max_columns):
+    for _ in range(max_columns):
         if cost @ x <= demand * (1 + gap):
             break
-        if step % 200 == 199:  # rounding errors of the updates
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(np.einsum("ij,j->i", inverse, counts.astype(float)), 0.0)
-            dual = np.einsum("i,ij->j", cost, inverse)
         best, last = _knapsack(dual, lengths, capacity)
         gain = best - price
         gain[0] = -np.inf
@@ -139,7 +144,7 @@ def solve_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
         dual = dual + (price[level] - dual[held] @ pattern[held]) * row
         inverse -= np.outer(direction, row)
         inverse[out] = row
-        basis[:, out], cost[out], columns[out] = pattern, price[level], pattern
+        cost[out], columns[out] = price[level], pattern
     left = counts.copy()
     solved = []
     for k in np.argsort(-x):
