@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import content_sort, cutting_stock, fair_queue, token_store
+from fieldcal.llm import content_sort, cutting_stock, fair_queue, line_chunks, site_quality, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -15,6 +15,14 @@ def op1_token_store(spark, sf_dir):
     return token_store.read_store(spark, path, digest_only=True)
 
 
+def op4_line_chunks(spark, sf_dir):
+    return line_chunks.line_dedup(documents(spark, sf_dir))
+
+
+def op5_site_quality(spark, sf_dir):
+    return site_quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_weighted_fair_queue(spark, sf_dir):
     return fair_queue.mixed(documents(spark, sf_dir))
 
@@ -29,6 +37,8 @@ def op10_cutting_stock(spark, sf_dir):
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op4_line_chunks": op4_line_chunks,
+    "op5_site_quality": op5_site_quality,
     "op8_weighted_fair_queue": op8_weighted_fair_queue,
     "op9_content_sort": op9_content_sort,
     "op10_cutting_stock": op10_cutting_stock,
