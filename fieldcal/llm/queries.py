@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import content_sort, cutting_stock, fair_queue, line_chunks, site_quality, token_store
+from fieldcal.llm import content_sort, cutting_stock, fair_queue, line_chunks, probminhash, site_quality, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,6 +23,10 @@ def op5_site_quality(spark, sf_dir):
     return site_quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_probminhash(spark, sf_dir):
+    return probminhash.near_classes(documents(spark, sf_dir))
+
+
 def op8_weighted_fair_queue(spark, sf_dir):
     return fair_queue.mixed(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op4_line_chunks": op4_line_chunks,
     "op5_site_quality": op5_site_quality,
+    "op7_probminhash": op7_probminhash,
     "op8_weighted_fair_queue": op8_weighted_fair_queue,
     "op9_content_sort": op9_content_sort,
     "op10_cutting_stock": op10_cutting_stock,
