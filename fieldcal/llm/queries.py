@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import content_sort, cutting_stock, fair_queue, learned_partitions, line_chunks, probminhash, site_quality, token_store
+from fieldcal.llm import content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, probminhash, site_quality, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,6 +19,10 @@ def op2_learned_partitions(spark, sf_dir):
     return learned_partitions.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0")
 
 
+def op3_maxent_lm(spark, sf_dir):
+    return language_model.score_documents(documents(spark, sf_dir))
+
+
 def op4_line_chunks(spark, sf_dir):
     return line_chunks.line_dedup(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_cutting_stock(spark, sf_dir):
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_learned_partitions": op2_learned_partitions,
+    "op3_maxent_lm": op3_maxent_lm,
     "op4_line_chunks": op4_line_chunks,
     "op5_site_quality": op5_site_quality,
     "op7_probminhash": op7_probminhash,
