@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, probminhash, site_quality, token_store
+from fieldcal.llm import content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, probminhash, site_quality, suffix_dedup, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -31,6 +31,10 @@ def op5_site_quality(spark, sf_dir):
     return site_quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_probminhash(spark, sf_dir):
     return probminhash.near_classes(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_maxent_lm": op3_maxent_lm,
     "op4_line_chunks": op4_line_chunks,
     "op5_site_quality": op5_site_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_probminhash": op7_probminhash,
     "op8_weighted_fair_queue": op8_weighted_fair_queue,
     "op9_content_sort": op9_content_sort,
