@@ -50,10 +50,28 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _byte_table(lower: bool) -> np.ndarray:
+    """Every white space byte becomes a space, and with ``lower`` A-Z become a-z; bytes of longer characters stay."""
+    table = np.arange(256, dtype=np.uint8)
+    table[9:14] = 32
+    if lower:
+        table[65:91] += 32
+    return table
+
+
+BYTES = {lower: _byte_table(lower) for lower in (False, True)}
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words between white space ``[\\x20\\x09-\\x0D]``: index into the distinct words of each word, the distinct words, and the
-    bounds of each text's words (one more entry than texts)."""
-    parts = pc.ascii_split_whitespace(texts)
+    bounds of each text's words (one more entry than texts). ``lower`` puts A-Z in lower case."""
+    texts = pa.concat_arrays([texts])  # without an offset into shared buffers
+    offsets, data = texts.buffers()[1:]
+    if data is not None and len(texts):
+        mapped = BYTES[lower][np.frombuffer(data, np.uint8)]
+        first = texts.offset
+        texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, pa.py_buffer(mapped)], offset=first)
+    parts = pc.split_pattern(texts, " ")
     offsets = parts.offsets.to_numpy().astype(np.int64)
     flat = parts.flatten()
     base = offsets[0] if len(offsets) else 0
