@@ -37,7 +37,9 @@ LENGTH = 50
 KEY = 24
 SPAN = LENGTH - KEY + 1
 CONTEXT = 2 * LENGTH - KEY
-ANCHOR_BLOCKS = 64
+#: bytes of text whose anchors make up a block of hashes; anchors whose contexts are made at once
+BLOCK_BYTES = 4 << 20
+CHUNK = 32_768
 BUCKET_CONTEXTS = 65_536
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -100,25 +102,26 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(bounds, at, side="right") - 1, at, h[at]
 
 
-def _emit_anchors(batches):
-    """Packed anchors of a slice: key hashes, rows and places, sorted by row, for each block of hashes."""
-    for batch in slices(batches):
-        data, bounds = _bytes(batch)
-        doc, at, h = anchors(data, bounds)
-        row = batch.column("row").to_numpy()[doc]
-        place = (at - bounds[doc]).astype(np.int32)
-        block = (h >> np.uint64(58)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[order], np.arange(ANCHOR_BLOCKS + 1))
-        parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-        held = [k for k, p in enumerate(parts) if len(p)]
-        # six bytes of hash besides the block are enough to drop what is met once; contexts are compared in full later
-        yield pa.record_batch({
-            "block": pa.array(held, pa.int32()),
-            "keys": pa.array([np.ascontiguousarray(h[parts[k]].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for k in held], pa.binary()),
-            "rows": pa.array([row[parts[k]].tobytes() for k in held], pa.binary()),
-            "places": pa.array([place[parts[k]].tobytes() for k in held], pa.binary()),
-        })
+def _emit_anchors(blocks: int):
+    """Packed anchors of a slice for each block of hashes: key hashes, rows and places."""
+    def run(batches):
+        for batch in slices(batches):
+            data, bounds = _bytes(batch)
+            doc, at, h = anchors(data, bounds)
+            row = batch.column("row").to_numpy()[doc]
+            place = (at - bounds[doc]).astype(np.int32)
+            block = (h % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            held, cuts = np.unique(block[order], return_index=True)
+            parts = np.split(order, cuts[1:]) if len(held) else []
+            # six bytes of hash are enough to drop what is met once; contexts are compared in full later
+            yield pa.record_batch({
+                "block": pa.array(held, pa.int64()),
+                "keys": pa.array([np.ascontiguousarray(h[p].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for p in parts], pa.binary()),
+                "rows": pa.array([row[p].tobytes() for p in parts], pa.binary()),
+                "places": pa.array([place[p].tobytes() for p in parts], pa.binary()),
+            })
+    return run
 
 
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,25 +144,25 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": row[cuts], "places": [p.tobytes() for p in np.split(place, cuts[1:])] if len(cuts) else []})
 
 
-def _contexts(batch: pa.RecordBatch):
-    """Document (in the batch), place and context of its candidate anchors; beyond a text's ends a context holds numbers over 255."""
-    data, bounds = _bytes(batch)
-    places = [np.frombuffer(b"".join(x.as_py()), np.int32).astype(np.int64) for x in batch.column("places")]
-    doc = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    place = np.concatenate(places) if places else np.empty(0, np.int64)
-    spots = place[:, None] + np.arange(-(SPAN - 1), LENGTH)[None]
-    inside = (spots >= 0) & (spots < np.diff(bounds)[doc][:, None])
-    context = data[np.where(inside, spots + bounds[:-1][doc][:, None], 0)]
-    context[~inside] = 0
-    left, right = np.minimum(place, SPAN - 1), np.minimum(np.diff(bounds)[doc] - place, LENGTH)
-    # the two counts of real bytes make contexts at a text's ends differ from those that hold zero bytes
-    return doc, place, np.column_stack([context, left.astype(np.uint8), right.astype(np.uint8)])
+def _contexts(batches):
+    """Per chunk of candidate anchors: the batch, their documents in it, places and contexts.
 
-
-def _small(batches):
-    """Slices with few enough anchors for their contexts to fit a task."""
-    for batch in slices(batches, limit=1 << 20):
-        yield batch
+    A context is the bytes that windows around an anchor can cover, zero beyond the text's ends, and the two counts of real bytes.
+    """
+    for batch in slices(batches):
+        data, bounds = _bytes(batch)
+        places = [np.frombuffer(b"".join(x.as_py()), np.int32).astype(np.int64) for x in batch.column("places")]
+        docs = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        every = np.concatenate(places)
+        for at in range(0, len(every), CHUNK):
+            doc, place = docs[at : at + CHUNK], every[at : at + CHUNK]
+            size = np.diff(bounds)[doc]
+            spots = place[:, None] + np.arange(-(SPAN - 1), LENGTH)[None]
+            inside = (spots >= 0) & (spots < size[:, None])
+            context = data[np.where(inside, spots + bounds[:-1][doc][:, None], 0)]
+            context[~inside] = 0
+            left, right = np.minimum(place, SPAN - 1), np.minimum(size - place, LENGTH)
+            yield batch, doc, place, np.column_stack([context, left.astype(np.uint8), right.astype(np.uint8)])
 
 
 def _digests(context: np.ndarray) -> np.ndarray:
@@ -178,10 +181,7 @@ def _digests(context: np.ndarray) -> np.ndarray:
 
 def _emit_contexts(buckets: int):
     def run(batches):
-        for batch in _small(batches):
-            doc, _, context = _contexts(batch)
-            if not len(doc):
-                continue
+        for batch, doc, _, context in _contexts(batches):
             digest = _digests(context)
             owner = batch.column("doc_id").to_numpy()[doc]
             order = np.lexsort((owner, digest[:, 1], digest[:, 0]))
@@ -196,8 +196,7 @@ def _emit_contexts(buckets: int):
 
 
 def _emit_records(batches):
-    for batch in _small(batches):
-        doc, place, context = _contexts(batch)
+    for batch, doc, place, context in _contexts(batches):
         digest = _digests(context)
         yield pa.record_batch({
             "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1]), "row": batch.column("row").take(pa.array(doc)),
@@ -284,7 +283,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     # later copies of whole texts, by digest
-    slim = cut_lineage(rows.where("doc_id is not null").select("row", "doc_id", F.sha2("text", 256).alias("sha")))
+    slim = cut_lineage(rows.where("doc_id is not null").select(
+        "row", "doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")))
+    blocks = (slim.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES + 1
     firsts = slim.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = slim.join(firsts, "sha").where("doc_id > first").select("row").distinct().withColumn("copy", F.lit(True))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -295,7 +296,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = spark.table(name)
 
     packed = texts.where("not copy and doc_id is not null").select("row", "text").mapInArrow(
-        _emit_anchors, "block int, keys binary, rows binary, places binary")
+        _emit_anchors(blocks), "block long, keys binary, rows binary, places binary")
     repeated = packed.groupBy("block").applyInPandas(_repeated, "row long, places binary")
     # a document's places come from all blocks
     wanted = cut_lineage(repeated.groupBy("row").agg(F.collect_list("places").alias("places"), F.sum(F.length("places") / 4).alias("n")))
