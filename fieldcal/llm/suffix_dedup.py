@@ -114,10 +114,10 @@ def _emit_anchors(blocks: int):
             order = np.argsort(block, kind="stable")
             held, cuts = np.unique(block[order], return_index=True)
             parts = np.split(order, cuts[1:]) if len(held) else []
-            # six bytes of hash are enough to drop what is met once; contexts are compared in full later
+            # five bytes besides the block are enough to drop what is met once; contexts are compared in full later
             yield pa.record_batch({
                 "block": pa.array(held, pa.int64()),
-                "keys": pa.array([np.ascontiguousarray(h[p].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for p in parts], pa.binary()),
+                "keys": pa.array([np.ascontiguousarray(h[p].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes() for p in parts], pa.binary()),
                 "rows": pa.array([row[p].tobytes() for p in parts], pa.binary()),
                 "places": pa.array([place[p].tobytes() for p in parts], pa.binary()),
             })
@@ -126,9 +126,9 @@ def _emit_anchors(blocks: int):
 
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     """Per document the places whose key is also met in another document."""
-    raw = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 6) for b in rows["keys"]])
+    raw = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 5) for b in rows["keys"]])
     wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
+    wide[:, :5] = raw
     key = wide.view("<u8").ravel()
     row = np.concatenate([np.frombuffer(b, np.int64) for b in rows["rows"]])
     place = np.concatenate([np.frombuffer(b, np.int32) for b in rows["places"]])
@@ -189,7 +189,7 @@ def _emit_contexts(buckets: int):
             chosen = order[np.r_[True, ~same]]  # the smallest document of each context
             key = _digests(np.ascontiguousarray(context[chosen, SPAN - 1 : SPAN - 1 + KEY]))[:, 0].view(np.uint64)
             yield pa.record_batch({
-                "bucket": pa.array((key % np.uint64(buckets)).astype(np.int64)), "d1": pa.array(digest[chosen, 0]), "d2": pa.array(digest[chosen, 1]),
+                "bucket": pa.array((key % np.uint64(buckets)).astype(np.int64)),
                 "context": pa.array([c.tobytes() for c in context[chosen]], pa.binary()), "owner": pa.array(owner[chosen]),
             })
     return run
@@ -223,8 +223,9 @@ def _previous_factors(rows: pd.DataFrame) -> pd.DataFrame:
         first[real[order], back] = np.repeat(least, np.diff(np.r_[runs, len(real)]))
     changes = np.column_stack([np.ones(len(rows), bool), first[:, 1:] != first[:, :-1]])
     at = [np.flatnonzero(c) for c in changes]
+    digest = _digests(context)
     return pd.DataFrame({
-        "d1": rows["d1"], "d2": rows["d2"], "run_at": at, "run_doc": [f[a] for f, a in zip(first, at)],
+        "d1": digest[:, 0], "d2": digest[:, 1], "run_at": at, "run_doc": [f[a] for f, a in zip(first, at)],
     }).drop_duplicates(["d1", "d2"])
 
 
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     number = max(1, int(total // BUCKET_CONTEXTS) + 1)
     held = texts.where("not copy and doc_id is not null").select("row", "doc_id", "text").join(wanted.select("row", "places"), "row").select(
         "row", "doc_id", "text", "places")
-    contexts = held.mapInArrow(_emit_contexts(number), "bucket long, d1 long, d2 long, context binary, owner long")
+    contexts = held.mapInArrow(_emit_contexts(number), "bucket long, context binary, owner long")
     factors = contexts.groupBy("bucket").applyInPandas(_previous_factors, "d1 long, d2 long, run_at array<int>, run_doc array<long>")
     records = held.mapInArrow(_emit_records, "d1 long, d2 long, row long, doc_id long, place long")
     spans = records.join(factors, ["d1", "d2"]).select("row", "doc_id", "place", "run_at", "run_doc").mapInArrow(_spans, "row long, start long, end long")
