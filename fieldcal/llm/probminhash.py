@@ -7,10 +7,10 @@ are one text; texts that share a band of registers are compared exactly, and tho
 connected components.
 
 Within a band's bucket up to ``ALL_PAIRS`` texts are all compared. In a larger bucket every text is compared with the bucket's leader (its smallest
-text); texts that are not like the leader meet the next leader among themselves in a further round, until none is left.
+text); texts that are not like it meet the next ``LEADERS`` leaders among themselves in a further round, until none is left.
 
 Defined results: a null text counts as empty; a text of 1 to ``SHINGLE`` words has all its words as its one shingle, and all texts without words are
-equal; words are white-space separated and compared in lower case; rows that repeat a doc_id are one node of the graph; rows without a doc_id
+equal; words are white-space separated and compared in lower case; rows that repeat a doc_id and text are one member; rows without a doc_id
 are classes of their own and always stay; other columns are kept by ``drop_near_duplicates``.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcal.llm.components import components
@@ -31,7 +31,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 128
 BANDS = 32
-ALL_PAIRS = 24
+ALL_PAIRS = 48
+LEADERS = 16
 SEED = 0x5EED
 
 
@@ -162,27 +163,30 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     reps = signed.groupBy("content").agg(F.min("doc_id").alias("rep"))
     members = cut_lineage(signed.join(reps, "content").select("doc_id", "rep", "bands"))
     entries = members.where("doc_id = rep").select(F.col("rep"), F.explode("bands").alias("band")).distinct()
-    sizes = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
+    sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut_lineage(entries.join(sizes, "band"))
     small = buckets.where(F.col("n") <= ALL_PAIRS).select("band", "rep")
-    pairs = small.alias("x").join(small.alias("y"), "band").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    open_ = buckets.where(F.col("n") > ALL_PAIRS).select("band", "rep", "leader")
-    pairs = pairs.unionByName(open_.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))).distinct()
-    texts = rows
-    compared = None
+    first = small.alias("x").join(small.alias("y"), "band").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    open_ = buckets.where(F.col("n") > ALL_PAIRS).select("band", "rep")
+    compared, take = None, 1
     while True:
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        found = _compare(pairs, texts, threshold)
-        compared = found if compared is None else cut_lineage(compared.unionByName(found))
-        # in large buckets, those that are unlike the leader form the next round's bucket
-        unlike = compared.where("not linked").select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        rest = cut_lineage(open_.join(unlike, ["leader", "rep"]).select("band", "rep"))
-        leaders = rest.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        open_ = cut_lineage(rest.join(leaders, "band").select("band", "rep", "leader"))
-        pairs = open_.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        # a limit per bucket is applied before the shuffle
+        place = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
+        leaders = cut_lineage(open_.withColumn("place", place).where(F.col("place") <= take).select("band", F.col("rep").alias("leader")))
+        met = open_.join(leaders, "band").where("leader < rep")
+        pairs = met.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+        if compared is None:
+            compared = _compare(pairs.unionByName(first).distinct(), rows, threshold)
+        else:
+            pairs = pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+            compared = cut_lineage(compared.unionByName(_compare(pairs, rows, threshold)))
+        # leaders have met all of their bucket; those like none of them form the next round's bucket
+        like = compared.where("linked").select(F.col("a").alias("leader"), F.col("b").alias("rep"))
+        settled = met.join(like, ["leader", "rep"]).select("band", "rep").unionByName(leaders.select("band", F.col("leader").alias("rep")))
+        open_ = cut_lineage(open_.join(settled.distinct(), ["band", "rep"], "left_anti"))
         if open_.isEmpty():
             break
+        take = LEADERS
     return members.select("doc_id", "rep").distinct(), compared.where("linked").select("a", "b", "similarity")
 
 
