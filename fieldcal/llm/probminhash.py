@@ -7,7 +7,7 @@ are one text; texts that share a band of registers are compared exactly, and tho
 connected components.
 
 Within a band's bucket up to ``ALL_PAIRS`` texts are all compared. In a larger bucket every text is compared with the bucket's leader (its smallest
-text); texts that are not like it meet the next ``LEADERS`` leaders among themselves in a further round, until none is left.
+text); texts that are not like it meet twice as many leaders among themselves in each further round, until none is left.
 
 Defined results: a null text counts as empty; a text of 1 to ``SHINGLE`` words has all its words as its one shingle, and all texts without words are
 equal; words are white-space separated and compared in lower case; rows that repeat a doc_id and text are one member; rows without a doc_id
@@ -32,7 +32,6 @@ THRESHOLD = 0.8
 REGISTERS = 128
 BANDS = 32
 ALL_PAIRS = 48
-LEADERS = 16
 SEED = 0x5EED
 
 
@@ -186,7 +185,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
         open_ = cut_lineage(open_.join(settled.distinct(), ["band", "rep"], "left_anti"))
         if open_.isEmpty():
             break
-        take = LEADERS
+        take *= 2  # work is that of one leader at a time in the worst case, rounds are logarithmic
     return members.select("doc_id", "rep").distinct(), compared.where("linked").select("a", "b", "similarity")
 
 
