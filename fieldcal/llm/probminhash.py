@@ -3,11 +3,13 @@
 A document is the multiset of its ``SHINGLE``-word shingles; a shingle's weight is its count. For every shingle a Poisson process with the weight as
 rate sends arrivals to random registers; a register keeps the shingle of its earliest arrival, and a shingle stops once its next arrival
 is later than all registers. Two registers agree with probability equal to the probability Jaccard similarity. Documents with equal shingles
-are one text; texts that share a band of registers are compared exactly, and those at ``THRESHOLD`` or more are linked. Classes are the
+are one text; texts that share a band of registers and at least ``FLOOR`` of all registers are compared exactly, and those at ``THRESHOLD`` or more are linked. Classes are the
 connected components.
 
-Within a band's bucket up to ``ALL_PAIRS`` texts are all compared. In a larger bucket every text is compared with the bucket's leader (its smallest
-text); texts that are not like it meet twice as many leaders among themselves in each further round, until none is left.
+Within a band's bucket up to ``ALL_PAIRS`` texts are all compared. A larger bucket works in rounds: some of its texts, taken from outside the
+class that is largest in the bucket, meet every text of the bucket that is not yet in their class; links found merge classes before the next
+round. It is done when all texts outside its largest class have had their turn, so two texts of a bucket either share a class or have been
+compared: no link is lost, and a large group of copies costs one comparison per text and leader instead of all pairs.
 
 Defined results: a null text counts as empty; a text of 1 to ``SHINGLE`` words has all its words as its one shingle, and all texts without words are
 equal; words are white-space separated and compared in lower case; rows that repeat a doc_id and text are one member; rows without a doc_id
@@ -33,6 +35,11 @@ REGISTERS = 128
 BANDS = 32
 ALL_PAIRS = 48
 SEED = 0x5EED
+#: leaders of a large bucket in the first two rounds; each further round takes ``GROWTH`` times as many
+LEADERS, GROWTH = (1, 16), 8
+#: a pair with fewer equal registers than this share is not compared exactly; with 128 registers a pair at 0.8 falls below it with probability
+#: 2e-7, of the order of the 4e-8 with which it shares no band
+FLOOR = 0.6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +131,7 @@ def _sign(bands: int):
                 band.append([xxhash.xxh3_64_intdigest(keys[i, k].tobytes(), k) - 2**63 for k in range(bands)] if b > a else [])
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").cast(pa.int64()), "content": pa.array(content, pa.binary()),
-                "bands": pa.array(band, pa.list_(pa.int64())),
+                "bands": pa.array(band, pa.list_(pa.int64())), "registers": pa.array([row.tobytes() for row in table.astype("<u4")], pa.binary()),
             })
     return run
 
@@ -133,32 +140,58 @@ def _verify(threshold: float):
     def run(batches):
         for batch in batches:
             for part in slices([batch], "text_a"):
-                sets = []
-                for name in ("text_a", "text_b"):
-                    doc, value, weight = shingles(texts_of(part, name))
-                    at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                    sets.append([(value[i:j], weight[i:j]) for i, j in zip(at, at[1:])])
-                like = [probability_jaccard(*x, *y) for x, y in zip(*sets)]
-                yield pa.record_batch({
-                    "a": part.column("a"), "b": part.column("b"), "similarity": pa.array(like, pa.float64()),
-                    "linked": pa.array([x >= threshold - 1e-12 for x in like]),
-                })
+                # a leader's text comes many times
+                both = pa.concat_arrays([texts_of(part, "text_a"), texts_of(part, "text_b")]).dictionary_encode()
+                doc, value, weight = shingles(both.dictionary)
+                at = np.searchsorted(doc, np.arange(len(both.dictionary) + 1))
+                sets = [(value[i:j], weight[i:j]) for i, j in zip(at, at[1:])]
+                index = both.indices.to_numpy().reshape(2, -1)
+                like = [probability_jaccard(*sets[x], *sets[y]) for x, y in zip(*index)]
+                found = pa.record_batch({"a": part.column("a"), "b": part.column("b"), "similarity": pa.array(like, pa.float64())})
+                yield found.filter(pa.array([x >= threshold - 1e-12 for x in like], pa.bool_()))
     return run
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity, linked of the pairs. ``texts`` has one row per node."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    # many pairs share a leader (a); adaptive execution splits that side
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return cut_lineage(rows.mapInArrow(_verify(threshold), "a long, b long, similarity double, linked boolean"))
+def _alike(batches):
+    """Pairs whose registers agree often enough."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("x", "y"))
+        yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= FLOOR, pa.bool_()))
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, rep: the smallest doc_id with the same shingles) and links between reps (a < b, similarity)."""
+def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of the pairs at the threshold or above. ``signed`` and ``texts`` have one row per node."""
+    # many pairs share a leader; adaptive execution splits that side
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(signed.select(F.col("doc_id").alias(end), F.col("registers").alias(name)), end)
+    pairs = pairs.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+    for end in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    rows = pairs.select("a", "b", "text_a", "text_b")
+    return cut_lineage(rows.mapInArrow(_verify(threshold), "a long, b long, similarity double"))
+
+
+def _merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """rep, class_id (smallest rep) of all reps with a link, after the links (a, b) joined the classes found so far."""
+    if classes is None:
+        return components(links).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        known = classes.select(F.col("rep").alias(end), "class_id")
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("class_id", end)).drop("class_id")
+    # the new links run between classes, so this graph is much smaller than the first
+    roots = cut_lineage(components(ends))
+    reps = classes.unionByName(links.select(F.explode(F.array("a", "b")).alias("rep")).join(classes, "rep", "left_anti").distinct().select(
+        "rep", F.col("rep").alias("class_id")))
+    merged = reps.join(roots, F.col("class_id") == F.col("node"), "left")
+    return cut_lineage(merged.select("rep", F.coalesce("root", "class_id").alias("class_id")))
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, rep: the smallest doc_id with the same shingles), links that formed the classes (a < b: reps, similarity), and the
+    class of each linked rep (rep, class_id)."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut_lineage(rows.mapInArrow(_sign(bands), "doc_id long, content binary, bands array<long>"))
+    signed = cut_lineage(rows.mapInArrow(_sign(bands), "doc_id long, content binary, bands array<long>, registers binary"))
     reps = signed.groupBy("content").agg(F.min("doc_id").alias("rep"))
     members = cut_lineage(signed.join(reps, "content").select("doc_id", "rep", "bands"))
     entries = members.where("doc_id = rep").select(F.col("rep"), F.explode("bands").alias("band")).distinct()
@@ -166,38 +199,52 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     buckets = cut_lineage(entries.join(sizes, "band"))
     small = buckets.where(F.col("n") <= ALL_PAIRS).select("band", "rep")
     first = small.alias("x").join(small.alias("y"), "band").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    open_ = buckets.where(F.col("n") > ALL_PAIRS).select("band", "rep")
-    compared, take = None, 1
+    large = buckets.where(F.col("n") > ALL_PAIRS).select("band", "rep")
+    classes, links, seen, asked, turn = None, None, None, None, 0
     while True:
+        if classes is None:
+            placed = large.withColumn("class_id", F.col("rep"))
+        else:
+            placed = large.join(classes, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+        main = placed.groupBy("band", "class_id").agg(F.count("*").alias("n")).groupBy("band").agg(
+            F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.count("*").alias("classes"))
+        # a bucket of one class is done
+        placed = cut_lineage(placed.join(main.where("classes > 1"), "band"))
+        waiting = placed.where("class_id != main")
+        if asked is not None:
+            waiting = waiting.join(asked, ["band", "rep"], "left_anti")
+        take = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * GROWTH ** (turn - len(LEADERS) + 1)
         # a limit per bucket is applied before the shuffle
         place = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-        leaders = cut_lineage(open_.withColumn("place", place).where(F.col("place") <= take).select("band", F.col("rep").alias("leader")))
-        met = open_.join(leaders, "band").where("leader < rep")
-        pairs = met.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        if compared is None:
-            compared = _compare(pairs.unionByName(first).distinct(), rows, threshold)
-        else:
-            pairs = pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-            compared = cut_lineage(compared.unionByName(_compare(pairs, rows, threshold)))
-        # leaders have met all of their bucket; those like none of them form the next round's bucket
-        like = compared.where("linked").select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        settled = met.join(like, ["leader", "rep"]).select("band", "rep").unionByName(leaders.select("band", F.col("leader").alias("rep")))
-        open_ = cut_lineage(open_.join(settled.distinct(), ["band", "rep"], "left_anti"))
-        if open_.isEmpty():
+        leaders = cut_lineage(waiting.withColumn("place", place).where(F.col("place") <= take).select(
+            "band", F.col("rep").alias("leader"), F.col("class_id").alias("own")))
+        done = leaders.isEmpty()
+        if done and turn:
+            break
+        met = placed.join(leaders, "band").where("class_id != own")
+        pairs = met.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+        pairs = cut_lineage((pairs.unionByName(first) if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).distinct())
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        fresh = _linked(pairs, signed, rows, threshold)
+        links = fresh if links is None else links.unionByName(fresh)
+        classes = _merged(classes, fresh)
+        if done:
             break
-        take *= 2  # work is that of one leader at a time in the worst case, rounds are logarithmic
-    return members.select("doc_id", "rep").distinct(), compared.where("linked").select("a", "b", "similarity")
+        took = leaders.select("band", F.col("leader").alias("rep"))
+        asked = took if asked is None else asked.unionByName(took)
+        turn += 1
+    return members.select("doc_id", "rep").distinct(), links, classes
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per doc_id: doc_id, class_id (smallest doc_id of its class), rep, n_links (links of its shingles to different ones)."""
-    members, links = near_links(docs, threshold)
-    roots = components(links.select("a", "b"))
+    """One row per doc_id: doc_id, class_id (smallest doc_id of its class), rep, n_links (links of its rep among those that formed the
+    classes; inside a class that was known already no further ones are looked for)."""
+    members, links, classes = near_links(docs, threshold)
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     degrees = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
-    # smallest member ids are reps, so a component's smallest rep is its smallest doc_id
-    info = members.select("rep").distinct().join(roots, F.col("rep") == F.col("node"), "left").join(degrees, "rep", "left").select(
-        F.col("rep"), F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # smallest member ids are reps, so a class's smallest rep is its smallest doc_id
+    info = members.select("rep").distinct().join(classes, "rep", "left").join(degrees, "rep", "left").select(
+        F.col("rep"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return members.join(info, "rep").select("doc_id", "class_id", "rep", "n_links")
 
 
