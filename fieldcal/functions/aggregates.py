@@ -25,5 +25,7 @@ def weighted_se(x: Column, w: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation, null where either side is constant."""
+    """Pearson correlation over the rows that have both sides, null where either side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
     return F.covar_pop(x, y) / nonzero(F.stddev_pop(x) * F.stddev_pop(y))

@@ -14,6 +14,12 @@ from fieldcal.operators.joins import expand_folds, fold_values
 ESTIMATES = ("alpha_hat", "beta_hat", "tau_hat", "n", "var_alpha_hat", "var_beta_hat", "var_tau_hat")
 
 
+def complete_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Both columns null where either is, so that all moments of a group come from the same rows. Groups keep their rows."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return df.withColumns({x: F.when(both, F.col(x)), y: F.when(both, F.col(y))})
+
+
 def daily_mean(df: DataFrame, keys: Sequence[str], ts_col: str, value_col: str) -> DataFrame:
     """Mean of sub-daily values per key and calendar date."""
     return df.groupBy(*keys, F.to_date(ts_col).alias("date")).agg(F.avg(value_col).alias(value_col))
@@ -34,17 +40,17 @@ def correlation_bias(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, keys: Sequence[str], z: str = "fcst") -> DataFrame:
-    """Population moments (vyy, vzz, vyz), the mean observation and the row number of each group.
+    """Population moments (vyy, vzz, vyz), the mean observation and the number of rows with both values of each group.
 
     ``var_pop`` and ``covar_pop`` centre while they merge, so one map-side-combined pass is enough and no row
     has to see its group's mean first.
     """
-    return df.groupBy(*keys).agg(
+    return complete_pairs(df, "obs", z).groupBy(*keys).agg(
         F.var_pop("obs").alias("vyy"),
         F.var_pop(z).alias("vzz"),
         F.covar_pop("obs", z).alias("vyz"),
         F.avg("obs").alias("ybar"),
-        F.count("*").alias("n"),
+        F.count("obs").alias("n"),
     )
 
 
@@ -56,7 +62,7 @@ def _residual_variance(vyy: Column, vzz: Column, vyz: Column) -> Column:
 
 def _with_estimates(m: DataFrame) -> DataFrame:
     """alpha, beta, tau = ln(sigma) and their asymptotic variances from the moment columns."""
-    vzz, n = F.col("vzz"), F.col("n")
+    vzz, n = F.col("vzz"), nonzero(F.col("n"))
     s2 = _residual_variance(F.col("vyy"), vzz, F.col("vyz"))
     return m.withColumns(
         {
@@ -77,14 +83,14 @@ def mle(df: DataFrame, keys: Sequence[str], z: str = "fcst") -> DataFrame:
 
 def lm_per_cell(df: DataFrame, keys: Sequence[str] = ("long", "lat"), z: str = "fcst_anom") -> DataFrame:
     """Regression on a forecast anomaly: intercept at z = 0, slope, residual sd, sxx = mean(z^2), n, variances."""
-    m = df.groupBy(*keys).agg(
+    m = complete_pairs(df, "obs", z).groupBy(*keys).agg(
         F.var_pop("obs").alias("vyy"),
         F.var_pop(z).alias("vzz"),
         F.covar_pop("obs", z).alias("vyz"),
         F.avg("obs").alias("ybar"),
         F.avg(z).alias("zbar"),
         F.avg(F.col(z) * F.col(z)).alias("sxx"),
-        F.count("*").alias("n"),
+        F.count("obs").alias("n"),
     )
     return (
         _with_estimates(m)
@@ -102,7 +108,7 @@ def lm_per_cell(df: DataFrame, keys: Sequence[str] = ("long", "lat"), z: str = "
 
 def cov_var_slope(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """alpha, slope = sample covariance over sample variance, and tau."""
-    m = df.groupBy(*keys).agg(
+    m = complete_pairs(df, "obs", "fcst").groupBy(*keys).agg(
         F.avg("obs").alias("alpha_hat"),
         (F.covar_samp("fcst", "obs") / nonzero(F.var_samp("fcst"))).alias("beta_hat"),
         F.var_pop("obs").alias("_vyy"),
@@ -115,20 +121,20 @@ def cov_var_slope(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def mos_coefficients(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means, sums of squares and products, intercept at the mean, slope and residual sd."""
-    m = df.groupBy(*keys).agg(
+    m = complete_pairs(df, "obs", "fcst").groupBy(*keys).agg(
         F.avg("obs").alias("ybar"),
         F.avg("fcst").alias("xbar"),
         F.regr_sxx("obs", "fcst").alias("sxx"),
         F.regr_sxy("obs", "fcst").alias("sxy"),
         F.regr_syy("obs", "fcst").alias("_syy"),
-        F.count("*").alias("_n"),
+        F.count("obs").alias("_n"),
     )
     rest = F.col("_syy") - F.col("sxy") * F.col("sxy") / nonzero(F.col("sxx"))
     return m.select(
         *keys, "ybar", "xbar", "sxx", "sxy",
         F.col("ybar").alias("beta0_hat"),
         (F.col("sxy") / nonzero(F.col("sxx"))).alias("beta1_hat"),
-        F.sqrt(F.greatest(rest, F.lit(0.0)) / F.col("_n")).alias("sigma_hat"),
+        F.sqrt(F.greatest(rest, F.lit(0.0)) / nonzero(F.col("_n"))).alias("sigma_hat"),
     )
 
 
@@ -151,8 +157,9 @@ def loo_mle(
     """``mle`` of every group with each fold left out in turn; the fold is in column ``fold``.
 
     ``method="downdate"``: rows are reduced to one moment row per (group, fold) on the map side; a group is then at
-    most one row per fold, its totals are formed once, and leaving a fold out is a subtraction. The hindcast is read
-    and shuffled once, however many folds there are.
+    most one row per fold, its totals are formed once, and leaving a fold out is a subtraction. The hindcast is shuffled
+    once, however many folds there are, and read a second time for the labels of the folds unless ``folds`` names them.
+    A group with no complete pair left has no row.
     ``method="join"``: every row is repeated for each fold it trains and aggregated; the direct definition.
     """
     keys = list(keys)
@@ -161,14 +168,14 @@ def loo_mle(
     if method != "downdate":
         raise ValueError("method must be downdate or join")
 
-    per_fold = hindcast.groupBy(*keys, fold).agg(
-        F.count("*").alias("k"),
+    per_fold = complete_pairs(hindcast, "obs", z).groupBy(*keys, fold).agg(
+        F.count("obs").alias("k"),
         F.avg("obs").alias("my"),
         F.avg(z).alias("mz"),
         F.var_pop("obs").alias("cyy"),
         F.var_pop(z).alias("czz"),
         F.covar_pop("obs", z).alias("cyz"),
-    )
+    ).filter("k > 0")  # a fold without a complete pair takes nothing away
     labels = F.array(*[F.lit(f) for f in folds]) if folds is not None else fold_values(hindcast, fold)
 
     totals = per_fold.groupBy(*keys).agg(

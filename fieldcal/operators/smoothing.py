@@ -233,6 +233,7 @@ def smooth_integrated(
     The axis points of a field are solved and mixed in one task, so what leaves it is one row per cell instead of one per
     cell and kappa. With few large fields, ``per_task`` cuts the axis into slices of that many points that run in
     parallel; each slice sends its mixture with its total mass, and the mixtures are merged by mass.
+    A field without a positive weight, or without a finite point on the axis, has null in ``smooth`` and ``smooth_var``.
     """
     groups, logs, prior = list(groups), [float(x) for x in log_kappas], prior or log_gamma_prior()
     per_task = per_task or len(logs)
@@ -242,7 +243,9 @@ def smooth_integrated(
         value, weight = _field(rows)
         points = np.asarray(slices[int(rows["_slice"].iloc[0])])
         found = solve(value, weight, np.exp(points))
-        share, log_mass = _normalised(_log_posterior(found, points, value.size, prior))
+        log_post = _log_posterior(found, points, value.size, prior)
+        # round-off can let the factorisation of a field without weights through
+        share, log_mass = _normalised(log_post if (weight > 0).any() else np.full_like(log_post, -np.inf))
         used = share > 0
         shares = share[used][:, None, None]
         mean = (shares * found["mean"][used]).sum(axis=0)
@@ -250,6 +253,8 @@ def smooth_integrated(
         known = weight.ravel() > 0
         out = pd.DataFrame(_cells(value.shape))
         out["value"], out["weight"] = np.where(known, value.ravel(), np.nan), np.where(known, weight.ravel(), np.nan)
+        if not used.any():
+            mean = variance = np.full(value.shape, np.nan)
         out["smooth"], out["smooth_var"], out["log_mass"] = mean.ravel(), variance.ravel(), log_mass
         for c in [*groups, "par"]:
             out[c] = rows[c].iloc[0]
@@ -261,7 +266,7 @@ def smooth_integrated(
     )
     rows = est.select(*groups, *FIELD_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(len(slices) - 1))).alias("_slice"))
     out = _by_field(rows, [*groups, "par", "_slice"]).applyInPandas(run, schema)
-    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight")})
+    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight", "smooth", "smooth_var")})
     if len(slices) == 1:
         return out.drop("log_mass")
     # merge: a cell has one row per slice, so its array is as short as the axis
@@ -269,9 +274,12 @@ def smooth_integrated(
         F.max("value").alias("value"), F.max("weight").alias("weight"), F.max("log_mass").alias("_top"),
         F.collect_list(F.struct("log_mass", "smooth", "smooth_var")).alias("_parts"),
     )
-    total = lambda e: f"aggregate(_parts, 0.0D, (acc, p) -> acc + exp(p.log_mass - _top) * ({e}))"
-    mixed = parts.withColumn("smooth", F.expr(f"{total('p.smooth')} / {total('1.0D')}"))
-    spread = F.expr(f"{total('p.smooth_var + (p.smooth - smooth) * (p.smooth - smooth)')} / {total('1.0D')}")
+    # a slice without mass adds nothing
+    share = "CASE WHEN p.smooth IS NULL THEN 0.0D ELSE exp(p.log_mass - _top) END"
+    total = lambda e: f"aggregate(_parts, 0.0D, (acc, p) -> acc + {share} * coalesce({e}, 0.0D))"
+    mass = f"nullif({total('1.0D')}, 0.0D)"
+    mixed = parts.withColumn("smooth", F.expr(f"{total('p.smooth')} / {mass}"))
+    spread = F.expr(f"{total('p.smooth_var + (p.smooth - smooth) * (p.smooth - smooth)')} / {mass}")
     return mixed.withColumn("smooth_var", spread).drop("_parts", "_top")
 
 
@@ -281,13 +289,16 @@ def kappa_marginal(
     log_kappas: Sequence[float] = LOG_KAPPA_AXIS,
     prior: Prior | None = None,
 ) -> DataFrame:
-    """Posterior of each precision on the axis: the weight of the point, and the density in kappa (trapezoid rule)."""
+    """Posterior of each precision on the axis: the weight of the point, and the density in kappa (trapezoid rule); both are null
+    for a field without a positive weight or without a finite point."""
     groups, logs, prior = list(groups), np.asarray(log_kappas, dtype=float), prior or log_gamma_prior()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         value, weight = _field(rows)
         found = solve(value, weight, np.exp(logs), variance=False)
         share, _ = _normalised(_log_posterior(found, logs, value.size, prior))
+        if not share.any() or not (weight > 0).any():
+            share = np.full_like(share, np.nan)
         kappa = np.exp(logs)
         density = share / kappa
         out = pd.DataFrame({"log_kappa": logs, "kappa": kappa, "probability": share,
@@ -297,7 +308,8 @@ def kappa_marginal(
         return out[[f.name for f in schema.fields]]
 
     schema = _schema(est, [*groups, "par"], "log_kappa double, kappa double, probability double, density double")
-    return _by_field(est.select(*groups, *FIELD_COLUMNS), [*groups, "par"]).applyInPandas(run, schema)
+    out = _by_field(est.select(*groups, *FIELD_COLUMNS), [*groups, "par"]).applyInPandas(run, schema)
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("probability", "density")})
 
 
 def cv_table(smoothed: DataFrame, grid: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -66,3 +66,31 @@ def test_lm_uses_the_anomaly_origin(hindcast):
     part = hindcast.toPandas().query("long == 2")
     slope, intercept = np.polyfit(part.fcst - 279.0, part.obs, 1)
     assert np.allclose([got[2.0].alpha_hat, got[2.0].beta_hat, got[2.0].sxx], [intercept, slope, np.mean((part.fcst - 279.0) ** 2)])
+
+
+def test_incomplete_pairs_count_nowhere(spark, hindcast):
+    """Nulls on either side, and a cell without any pair: all estimates are those of the complete pairs."""
+    hole = F.crc32(F.concat_ws("|", "year", "obs").cast("binary")) % 5
+    gaps = hindcast.withColumns({
+        "obs": F.when((hole != 0) & (F.col("long") != 4), F.col("obs")), "fcst": F.when(hole != 1, F.col("fcst")),
+    }).cache()
+    whole = gaps.dropna(subset=["obs", "fcst"])
+    assert 0 < whole.count() < gaps.count()
+    keys = ["long", "lat", "lead_time"]
+    for run in (estimate.mle, lambda d, k: estimate.lm_per_cell(d, k, "fcst"), estimate.mos_coefficients, estimate.cov_var_slope,
+                estimate.correlation_bias):
+        got = {r.long: r for r in run(gaps, keys).collect()}
+        want = {r.long: r for r in run(whole, keys).collect()}
+        assert set(got) == set(want) | {4.0}
+        assert all(got[4.0][c] is None for c in got[4.0].asDict() if c not in [*keys, "n"] and not c.startswith("var_tau"))
+        for long, row in want.items():
+            for c, x in row.asDict().items():
+                assert got[long][c] == pytest.approx(x, rel=1e-6, abs=1e-9) if x is not None else got[long][c] is None
+    for method in ("downdate", "join"):
+        got = by_key(estimate.loo_mle(gaps, keys, method=method).filter("n > 0"))
+        want = by_key(estimate.loo_mle(whole, keys, method=method))
+        assert set(got) >= set(want)
+        for key, row in want.items():
+            assert got[key].n == row.n and got[key].alpha_hat == pytest.approx(row.alpha_hat, rel=1e-9)
+            if key[0] != 5 and row.beta_hat is not None:  # the forecast of cell 5 is constant
+                assert got[key].beta_hat == pytest.approx(row.beta_hat, rel=1e-6)

@@ -217,3 +217,16 @@ def test_legacy_half_tau(spark):
     full = predict.predictive_ensemble(samples, z, ["s"], 1).first().y_hat - 4.0
     half = predict.predictive_ensemble(samples, z, ["s"], 1, legacy_half_tau=True).first().y_hat - 4.0
     assert np.isclose(full / half, np.exp(0.5))
+
+
+@pytest.mark.parametrize("per_task", [None, 2])
+def test_field_without_weights_is_null(spark, est, per_task):
+    empty = est.withColumn("weight", F.when(F.col("par") != "tau", F.col("weight")).otherwise(F.lit(0.0)))
+    got = smoothing.smooth_integrated(empty, ["g"], [0.0, 1.0, 2.0, 3.0], per_task=per_task)
+    whole = smoothing.smooth_integrated(est, ["g"], [0.0, 1.0, 2.0, 3.0], per_task=per_task)
+    lost = got.filter("par = 'tau'").collect()
+    assert len(lost) == N_J * N_I and all(r.smooth is None and r.smooth_var is None for r in lost)
+    want = {(r.par, r.s): r.smooth for r in whole.filter("par != 'tau'").collect()}
+    assert all(r.smooth == pytest.approx(want[r.par, r.s]) for r in got.filter("par != 'tau'").collect())
+    points = smoothing.kappa_marginal(empty, ["g"], [0.0, 1.0, 2.0, 3.0]).collect()
+    assert all((r.probability is None) == (r.par == "tau") for r in points)
