@@ -38,7 +38,7 @@ SEED = 0x5EED
 #: leaders of a large bucket in the first two rounds; each further round takes ``GROWTH`` times as many
 LEADERS, GROWTH = (1, 16), 8
 #: a pair with fewer equal registers than this share is not compared exactly; with 128 registers a pair at 0.8 falls below it with probability
-#: 2e-7, of the order of the 4e-8 with which it shares no band
+#: 8e-8, of the order of the 5e-8 with which it shares no band
 FLOOR = 0.6
 
 
