@@ -6,10 +6,11 @@ is later than all registers. Two registers agree with probability equal to the p
 are one text; texts that share a band of registers and at least ``FLOOR`` of all registers are compared exactly, and those at ``THRESHOLD`` or more are linked. Classes are the
 connected components.
 
-Within a band's bucket up to ``ALL_PAIRS`` texts are all compared. A larger bucket works in rounds: some of its texts, taken from outside the
+Within a band's bucket up to ``ALL_PAIRS`` texts are all paired. A larger bucket works in rounds: some of its texts, taken from outside the
 class that is largest in the bucket, meet every text of the bucket that is not yet in their class; links found merge classes before the next
 round. It is done when all texts outside its largest class have had their turn, so two texts of a bucket either share a class or have been
-compared: no link is lost, and a large group of copies costs one comparison per text and leader instead of all pairs.
+compared: no link is lost. Leaders and members meet as tiles of bounded size, in which whole shingle sets are compared; a tile returns only the
+links that join classes it still saw apart, so neither copies nor texts that are merely alike become one row per pair.
 
 Defined results: a null text counts as empty; a text of 1 to ``SHINGLE`` words has all its words as its one shingle, and all texts without words are
 equal; words are white-space separated and compared in lower case; rows that repeat a doc_id and text are one member; rows without a doc_id
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.llm.components import components
@@ -35,8 +36,10 @@ REGISTERS = 128
 BANDS = 32
 ALL_PAIRS = 48
 SEED = 0x5EED
-#: leaders of a large bucket in the first two rounds; each further round takes ``GROWTH`` times as many
-LEADERS, GROWTH = (1, 16), 8
+#: leaders of a large bucket in the first round; each further round takes ``GROWTH`` times as many
+LEADERS, GROWTH = 32, 16
+#: a tile has about so many leaders and members at most, or so many bytes of shingles of each (or a single longer text)
+TILE, TILE_BYTES = 512, 4 << 20
 #: a pair with fewer equal registers than this share is not compared exactly; with 128 registers a pair at 0.8 falls below it with probability
 #: 8e-8, of the order of the 5e-8 with which it shares no band
 FLOOR = 0.6
@@ -161,7 +164,6 @@ def _alike(batches):
 
 def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of the pairs at the threshold or above. ``signed`` and ``texts`` have one row per node."""
-    # many pairs share a leader; adaptive execution splits that side
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(signed.select(F.col("doc_id").alias(end), F.col("registers").alias(name)), end)
     pairs = pairs.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
@@ -171,6 +173,118 @@ def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: fl
     return cut_lineage(rows.mapInArrow(_verify(threshold), "a long, b long, similarity double"))
 
 
+def _sets(batches):
+    """Shingles of each text as 64-bit numbers in ascending order, each as often as it occurs."""
+    for batch in slices(batches):
+        doc, value, weight = shingles(texts_of(batch))
+        at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        yield pa.record_batch({
+            "rep": batch.column("rep"),
+            "shingles": pa.array([np.repeat(value[i:j], weight[i:j]).astype("<u8").tobytes() for i, j in zip(at, at[1:])], pa.binary()),
+        })
+
+
+def tile_links(lead: np.ndarray, rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a < b, similarity) between leaders and the other rows that join labels; after them, no leader has a text at the threshold
+    under another label."""
+    if not len(sets):
+        return []
+    size = np.array([len(x) for x in sets])
+    distinct, element = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (element[1:] != element[:-1])
+    runs = np.flatnonzero(first)
+    weight = np.diff(np.append(runs, len(row))).astype(float)
+    row, element = row[runs], element[runs]
+    starts = np.searchsorted(row, np.arange(len(sets) + 1))
+    label, found, own = label.copy(), [], np.zeros(len(distinct))
+    for k in np.flatnonzero(lead):
+        mine = slice(starts[k], starts[k + 1])
+        others = np.flatnonzero(~lead & (label != label[k]) & (size > 0))
+        if not len(others) or not size[k]:
+            continue
+        own[element[mine]] = weight[mine]
+        length = np.diff(starts)[others]
+        at = ranges(starts[others], length)
+        here, theirs = own[element[at]], weight[at]
+        cuts = np.cumsum(length) - length
+        common = np.add.reduceat(np.minimum(here, theirs), cuts)
+        like = common / (size[k] + size[others] - common)
+        # with unequal counts of common shingles: at most the overlap of the shares, and exactly only where that is enough
+        uneven = np.add.reduceat(((here > 0) & (here != theirs)).astype(float), cuts) > 0
+        most = np.add.reduceat(np.minimum(here / size[k], theirs / np.repeat(size[others], length)), cuts)
+        own[element[mine]] = 0
+        for i in np.flatnonzero(np.where(uneven, most, like) >= threshold - 1e-12):
+            j = others[i]
+            if label[j] == label[k]:
+                continue
+            other = slice(starts[j], starts[j + 1])
+            exact = probability_jaccard(element[mine], weight[mine], element[other], weight[other]) if uneven[i] else float(like[i])
+            if exact >= threshold - 1e-12:
+                found.append((int(min(rep[k], rep[j])), int(max(rep[k], rep[j])), exact))
+                label[label == label[j]] = label[k]
+    return found
+
+
+def _meet(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        lead, rep, label = (table.column(c).to_numpy() for c in ("lead", "rep", "class_id"))
+        sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
+        found = tile_links(lead, rep, label, sets, threshold) if lead.any() else []
+        a, b, like = zip(*found) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(like, pa.float64())})
+    return run
+
+
+def _placed(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
+    if classes is None:
+        return entries.withColumn("class_id", F.col("rep"))
+    return entries.join(classes, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+
+
+def _large_links(large: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links and classes of buckets with many texts (band, rep)."""
+    wanted = large.select("rep").distinct()
+    sets = cut_lineage(texts.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInArrow(_sets, "rep long, shingles binary"))
+    large = cut_lineage(large.join(sets.groupBy("rep").agg(F.sum(F.length("shingles")).alias("bytes")), "rep"))
+    links = classes = asked = None
+    take = LEADERS
+    while True:
+        placed = _placed(large, classes)
+        main = placed.groupBy("band", "class_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).groupBy("band").agg(
+            F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n"),
+            F.sum("all_bytes").alias("all_bytes"))
+        # a bucket of one class is done
+        placed = cut_lineage(placed.join(main.where("classes > 1"), "band"))
+        waiting = placed.where("class_id != main").select("band", "rep", "bytes")
+        if asked is not None:
+            waiting = waiting.join(asked, ["band", "rep"], "left_anti")
+        waiting = cut_lineage(waiting)
+        turns = cut_lineage(waiting.groupBy("band").agg(F.count("*").alias("waiting"), F.sum("bytes").alias("waiting_bytes")))
+        if turns.isEmpty():
+            return links, classes
+        # a share of the waiting by hash: no order within a bucket is needed, and buckets choose the same texts
+        share = F.least(F.lit(1.0), F.lit(take) / F.col("waiting"))
+        drawn = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30)
+        leaders = cut_lineage(waiting.join(turns, "band").where(drawn < share).select("band", "rep"))
+        tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES, F.lit(1.0))).cast("int")
+        at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        sized = placed.join(turns, "band").select(
+            "band", "rep", "class_id", tiles(F.col("n"), F.col("all_bytes")).alias("rows"),
+            tiles(share * F.col("waiting"), share * F.col("waiting_bytes")).alias("columns"))
+        members = sized.select("band", "rep", "class_id", F.lit(False).alias("lead"), at(1, "rows").alias("row"), every("columns").alias("column"))
+        led = sized.join(leaders, ["band", "rep"]).select(
+            "band", "rep", "class_id", F.lit(True).alias("lead"), at(2, "columns").alias("column"), every("rows").alias("row"))
+        fresh = cut_lineage(members.unionByName(led).join(sets, "rep").groupBy("band", "row", "column").applyInArrow(
+            _meet(threshold), "a long, b long, similarity double"))
+        links = fresh if links is None else links.unionByName(fresh)
+        classes = _merged(classes, fresh)
+        asked = leaders if asked is None else asked.unionByName(leaders)
+        take *= GROWTH
+
+
 def _merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     """rep, class_id (smallest rep) of all reps with a link, after the links (a, b) joined the classes found so far."""
     if classes is None:
@@ -200,39 +314,13 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     small = buckets.where(F.col("n") <= ALL_PAIRS).select("band", "rep")
     first = small.alias("x").join(small.alias("y"), "band").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     large = buckets.where(F.col("n") > ALL_PAIRS).select("band", "rep")
-    classes, links, seen, asked, turn = None, None, None, None, 0
-    while True:
-        if classes is None:
-            placed = large.withColumn("class_id", F.col("rep"))
-        else:
-            placed = large.join(classes, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
-        main = placed.groupBy("band", "class_id").agg(F.count("*").alias("n")).groupBy("band").agg(
-            F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.count("*").alias("classes"))
-        # a bucket of one class is done
-        placed = cut_lineage(placed.join(main.where("classes > 1"), "band"))
-        waiting = placed.where("class_id != main")
-        if asked is not None:
-            waiting = waiting.join(asked, ["band", "rep"], "left_anti")
-        take = LEADERS[turn] if turn < len(LEADERS) else LEADERS[-1] * GROWTH ** (turn - len(LEADERS) + 1)
-        # a limit per bucket is applied before the shuffle
-        place = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-        leaders = cut_lineage(waiting.withColumn("place", place).where(F.col("place") <= take).select(
-            "band", F.col("rep").alias("leader"), F.col("class_id").alias("own")))
-        done = leaders.isEmpty()
-        if done and turn:
-            break
-        met = placed.join(leaders, "band").where("class_id != own")
-        pairs = met.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
-        pairs = cut_lineage((pairs.unionByName(first) if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).distinct())
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        fresh = _linked(pairs, signed, rows, threshold)
-        links = fresh if links is None else links.unionByName(fresh)
-        classes = _merged(classes, fresh)
-        if done:
-            break
-        took = leaders.select("band", F.col("leader").alias("rep"))
-        asked = took if asked is None else asked.unionByName(took)
-        turn += 1
+    links, classes = (None, None) if large.isEmpty() else _large_links(large, rows, threshold)
+    if classes is not None:
+        for end in ("a", "b"):
+            first = first.join(classes.select(F.col("rep").alias(end), F.col("class_id").alias(f"class_{end}")), end, "left")
+        first = first.where("coalesce(class_a, a) != coalesce(class_b, b)").select("a", "b")
+    fresh = _linked(cut_lineage(first.distinct()), signed, rows, threshold)
+    links, classes = fresh if links is None else links.unionByName(fresh), _merged(classes, fresh)
     return members.select("doc_id", "rep").distinct(), links, classes
 
 

@@ -170,6 +170,58 @@ def test_near_classes(spark, sf_dir, docs, nothing):
     assert probminhash.near_classes(nothing).count() == 0
 
 
+def _variants(n, base, share, seed):
+    """Texts in which a few words of a base text are replaced; some are repeated whole, so that weights differ."""
+    rng = np.random.default_rng(seed)
+    found = []
+    for i in range(n):
+        words_ = [w if x > share else f"w{x:.6f}" for w, x in zip(base, rng.random(len(base)))]
+        found.append(" ".join(words_ * (2 if i % 17 == 0 else 1)))
+    return found
+
+
+def _weighted(texts):
+    doc, value, weight = probminhash.shingles(pa.array(texts, pa.large_string()))
+    return [(value[doc == i], weight[doc == i]) for i in range(len(texts))]
+
+
+def _roots(n, links):
+    root = list(range(n))
+    for a, b in links:
+        a, b = root[a], root[b]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_tile_links_join_what_all_pairs_join():
+    texts = _variants(60, [f"a{i}" for i in range(90)], 0.03, 1) + ["x y", "x y z x y z x y z"]
+    sets = _weighted(texts)
+    rng = np.random.default_rng(2)
+    lead = np.arange(len(texts)) % 3 == 0
+    label = np.arange(len(texts))
+    label[rng.choice(len(texts), 8, replace=False)] = 5
+    known = [(5, i) for i in np.flatnonzero(label == 5)]
+    found = probminhash.tile_links(lead, np.arange(len(texts)), label, [np.repeat(v, w) for v, w in sets], 0.8)
+    alike = {(i, j) for i in np.flatnonzero(lead) for j in np.flatnonzero(~lead) if probminhash.probability_jaccard(*sets[i], *sets[j]) >= 0.8}
+    assert 0 < len(found) < len(alike)
+    assert _roots(len(texts), [*known, *alike]) == _roots(len(texts), [*known, *((a, b) for a, b, _ in found)])
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(probminhash, "TILE", 16)
+    monkeypatch.setattr(probminhash, "LEADERS", 3)
+    monkeypatch.setattr(probminhash, "GROWTH", 4)
+    monkeypatch.setattr(probminhash, "ALL_PAIRS", 12)
+    base = [f"a{i}" for i in range(80)]
+    texts = [*_variants(70, base, 0.02, 3), *_variants(40, base[:60] + [f"b{i}" for i in range(30)], 0.03, 4)]
+    texts += texts[:5]
+    sets = _weighted(texts)
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if probminhash.probability_jaccard(*sets[i], *sets[j]) >= 0.8]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in probminhash.near_classes(docs).collect()}
+    assert [classes[i] for i in range(len(texts))] == _roots(len(texts), alike)
+
+
 def test_signature_estimates_similarity():
     texts = pa.array([PROSE, PROSE + " some more words at the end of it", "x " * 12, "x " * 9 + "y y"], pa.large_string())
     doc, value, weight = probminhash.shingles(texts)
