@@ -1,17 +1,19 @@
 """Line dedup by content-defined chunks of lines.
 
-Every line is hashed; a rolling hash over the last ``WINDOW`` line hashes that is divisible by ``MEAN_LINES`` ends a chunk, so boundaries
-move with the content. Chunks are grouped by hash and bytes; a hash whose members all hold the same bytes, in more than one place, is a
-repeated chunk. Of a repeated chunk with at least two lines that hold words, the first place (smallest doc_id, then line) stays and the others
-are removed.
+A chunk goes from a line that holds words to the next such line, with the blank lines between them; one begins at every line with words, so
+chunks overlap and every boundary depends on content only. Chunks are grouped by hash and bytes; a hash whose members all hold the same bytes, in
+more than one place, is a repeated chunk. The first place (smallest doc_id, then line) of a chunk is not removed on its account, all other
+places are. A run of lines that starts and ends with words, holds at least two such lines and was met in an earlier place is the union of its
+chunks, each met in an earlier place; so what goes is exactly the union of all repeated runs of two lines or more. Every line that goes still
+stands in an earlier place: going from a place to the first place of its chunk leads to a line that stays.
 
 Defined results: a null text stays null; an empty text has one empty line and is not changed; a null doc_id sorts last; rows that repeat
-both doc_id and text count as one document and are treated alike; a document that loses all its lines keeps its row with an empty text.
+both doc_id and text count as one document and are treated alike; a document that loses lines and has only white space left loses that too
+and keeps its row with an empty text.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,37 +22,12 @@ from pyspark.sql import functions as F
 from fieldcal.llm.words import slices, texts_of
 from fieldcal.session import cut_lineage
 
-WINDOW = 2
-MEAN_LINES = 3
-MIN_LINES = 2
-#: odd multiplier of the rolling polynomial
-BASE = 0x9E3779B97F4A7C15
-
-
-def boundaries(lines: list[str], window: int = WINDOW, mean_lines: int = MEAN_LINES) -> np.ndarray:
-    """Line numbers at which chunks end (exclusive); the last is the number of lines."""
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-    rolled = np.zeros(len(lines), np.uint64)
-    weight = 1
-    for back in range(window):
-        rolled[back:] += hashes[: len(lines) - back] * np.uint64(weight)
-        weight = weight * BASE % 2**64
-    # the low bits of a product depend on low bits only
-    cut = (rolled >> np.uint64(33)) % np.uint64(mean_lines) == 0
-    cut[: window - 1] = False
-    cut[-1] = True
-    return np.flatnonzero(cut) + 1
-
 
 def chunks_of(text: str) -> list[tuple[int, int, str]]:
     """(first line, number of lines, content) of the chunks that may be removed."""
     lines = text.split("\n")
-    out, start = [], 0
-    for end in boundaries(lines).tolist():
-        if end - start >= MIN_LINES and sum(1 for x in lines[start:end] if x.strip()) >= MIN_LINES:
-            out.append((start, end - start, "\n".join(lines[start:end])))
-        start = end
-    return out
+    worded = [i for i, line in enumerate(lines) if line.strip()]
+    return [(a, b - a + 1, "\n".join(lines[a : b + 1])) for a, b in zip(worded, worded[1:])]
 
 
 def _emit(with_body: bool):
@@ -75,8 +52,25 @@ def _emit(with_body: bool):
     return run
 
 
+def _runs(batches):
+    """The chunks of a document joined to runs of lines."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            found = sorted((s["at"], s["at"] + s["n"]) for s in spans)
+            runs = [list(found[0])]
+            for at, end in found[1:]:
+                if at <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], end)
+                else:
+                    runs.append([at, end])
+            out.append([{"at": at, "n": end - at} for at, end in runs])
+        spans = pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "twin": batch.column("twin"), "spans": spans})
+
+
 def removed_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, twin (hash of the text), spans (array of first line and number of lines) of the documents that lose chunks."""
+    """doc_id, twin (hash of the text), spans (array of first line and number of lines, ascending and apart) of the documents that lose lines."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
     schema = "doc_id long, twin long, at int, n int, digest binary"
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "twin", "at")
@@ -87,17 +81,25 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
     members = rows.mapInArrow(_emit(False), schema)
     later = members.join(repeated, "digest").where(~place.eqNullSafe(F.col("first")))
     # a row that repeats another row repeats its spans
-    return later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    spans = later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    return spans.mapInArrow(_runs, "doc_id long, twin long, spans array<struct<at:int,n:int>>")
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated chunks, with ``line_spans`` (removed chunks, null where nothing was removed)."""
+    """``docs`` without the repeated chunks, with ``line_spans`` (removed runs of lines, null where nothing was removed)."""
     spans = removed_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin"), F.col("spans").alias("line_spans"))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__twin"))
     joined = docs.join(spans, match, "left").drop("__id", "__twin")
-    inside = lambda i: F.exists("line_spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["n"]))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~inside(i)), "\n")
-    return joined.withColumn("text", F.when(F.col("line_spans").isNull(), F.col("text")).otherwise(kept))
+    lines = F.split("text", "\n", -1)
+    # what stays is before, between and after the runs
+    starts = F.concat(F.array(F.lit(0)), F.transform("line_spans", lambda s: s["at"] + s["n"]))
+    ends = F.concat(F.transform("line_spans", lambda s: s["at"]), F.array(F.size(lines)))
+    kept = F.array_join(F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(lines, s["a"] + 1, s["b"] - s["a"]))), "\n")
+    joined = joined.withColumn("__kept", F.when(F.col("line_spans").isNotNull(), kept))
+    blank = F.col("__kept").isNotNull() & ~F.col("__kept").rlike(r"\S")
+    every = F.array(F.struct(F.lit(0).alias("at"), F.size(lines).alias("n")))
+    return joined.withColumn("line_spans", F.when(blank, every).otherwise(F.col("line_spans"))).withColumn(
+        "text", F.when(blank, F.lit("")).otherwise(F.coalesce("__kept", "text"))).drop("__kept")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -240,6 +240,44 @@ def test_line_chunks(spark, docs, nothing):
     assert line_chunks.line_dedup(docs).count() == docs.count() and line_chunks.line_dedup(nothing).count() == 0
 
 
+def _lines_left(texts):
+    """Lines that stay when every run of lines goes that starts and ends with words, holds two such lines and was met in an earlier place."""
+    first, out = {}, {}
+    runs = []
+    for i, text in texts:
+        lines = text.split("\n")
+        worded = [k for k, x in enumerate(lines) if x.strip()]
+        for n, a in enumerate(worded):
+            for b in worded[n + 1 : n + 12]:
+                run = tuple(lines[a : b + 1])
+                first.setdefault(run, (i, a))
+                runs.append((run, i, a))
+    gone = {}
+    for run, i, a in runs:
+        if first[run] != (i, a):
+            gone.setdefault(i, set()).update(range(a, a + len(run)))
+    for i, text in texts:
+        left = [x for k, x in enumerate(text.split("\n")) if k not in gone.get(i, ())]
+        out[i] = [] if i in gone and not "".join(left).strip() else left
+    return out
+
+
+def test_line_chunks_take_every_repeated_run(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = ["own\nfirst shared\nsecond shared\nend", "x\ny\nfirst shared\nsecond shared", "a\n\nb\nq\n", "r\na\n\nb", "a\nb", "s\ns\ns\ns", "\na\n\nb\n "]
+    made = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
+    docs = table.unionByName(made)
+    texts = sorted((r.doc_id, r.text) for r in docs.collect() if r.text is not None)
+    want = _lines_left(texts)
+    assert want[10**6 + 1] == ["x", "y"] and want[10**6 + 3] == ["r"] and want[10**6 + 4] == ["a", "b"] and want[10**6 + 6] == []
+    got = {r.doc_id: r for r in line_chunks.line_dedup(docs).collect()}
+    assert len(got) == docs.count()
+    for i, text in texts:
+        assert got[i].n_lines == len(text.split("\n")) and got[i].n_removed == len(text.split("\n")) - len(want[i]), i
+        assert got[i].kept_sha256 == hashlib.sha256("\n".join(want[i]).encode()).hexdigest(), i
+    assert sum(r.n_removed for r in got.values()) > 100
+
+
 def test_site_quality(spark, sf_dir, docs, nothing):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = site_quality.quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels).join(labels, "doc_id").collect()
