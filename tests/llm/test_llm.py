@@ -303,6 +303,23 @@ def test_language_model(spark, docs, nothing):
     assert language_model.score_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [10**6, 13, 8, 4])
+def test_language_model_probabilities_sum_to_one(spark, monkeypatch, frequent):
+    """Without weights the class depends on no word before it: 13 words (with the end) of which 8 come twice or more, and an unknown one."""
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(400) if i not in held][:3]
+    often = {f"often{k}": n for k, n in enumerate((40, 17, 9, 5, 3, 2, 2))}
+    once = [f"once{k}" for k in range(5)]
+    texts = [" ".join(w for w, n in often.items() for _ in range(n)), " ".join(once), ""]
+    probes = [*often, *once, "never", ""]
+    rows = spark.createDataFrame([*zip(train, texts), *zip(held, probes)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in language_model.score_documents(rows, rounds=0).collect()}
+    of = {w: score[i] for i, w in zip(held, probes)}
+    assert sum(10 ** (of[w] - of[""]) for w in probes if w) + 10 ** of[""] == pytest.approx(1.0, abs=1e-5)
+    assert all(of[w] < of[""] for w in probes if w)
+
+
 def test_model_beats_base_on_held_out(spark):
     rows = [r for r in queries.QUERIES["op3_maxent_lm"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
