@@ -6,9 +6,11 @@ longest previous factor of a position is its longest common prefix with the prev
 ordered:
 
 1. Every ``LENGTH``-byte window has an anchor, the ``KEY``-byte string in it with the smallest hash, so equal windows have equal anchors. Hashes of
-   all anchors are dealt out in packed blocks, and those met in one document only are dropped.
+   all anchors are dealt out in packed blocks, and those met in one document only are dropped. Anchors of one key at even distances (a
+   periodic stretch) are dealt out as one entry.
 2. For each anchor that is left, the bytes that windows around it can cover (its context) are taken, equal contexts once per slice of input, and
    sent to the bucket of its key. There, for each distance from window to anchor, the suffixes are sorted and runs get their smallest document.
+   A key met more than ``HEAVY`` times has no bucket: its windows are grouped one by one by distance and bytes, combined before the shuffle.
 3. Each document gets the windows whose smallest document is smaller than itself; their union is cut out.
 
 Later copies of a whole text need no suffixes: all of a copy of at least ``LENGTH`` bytes goes. Texts are stored in buckets by document once, so steps
@@ -41,6 +43,7 @@ CONTEXT = 2 * LENGTH - KEY
 BLOCK_BYTES = 4 << 20
 CHUNK = 32_768
 BUCKET_CONTEXTS = 65_536
+HEAVY = 65_536
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -102,56 +105,96 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(bounds, at, side="right") - 1, at, h[at]
 
 
+def stretches(doc: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First anchor, distance and number of each run of neighbouring anchors with one key at even distances in a document."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    same = np.r_[False, (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])]
+    gap = np.r_[0, np.diff(at)]
+    first = np.flatnonzero(~same | (np.r_[False, same[:-1]] & (gap != np.r_[0, gap[:-1]])))
+    number = np.diff(np.r_[first, len(at)])
+    return first, np.where(number > 1, gap[np.minimum(first + 1, len(at) - 1)], 0), number
+
+
 def _emit_anchors(blocks: int):
-    """Packed anchors of a slice for each block of hashes: key hashes, rows and places."""
+    """Packed anchors of a slice for each block of hashes: key hashes, rows and places; a stretch has place, distance and number."""
     def run(batches):
         for batch in slices(batches):
             data, bounds = _bytes(batch)
             doc, at, h = anchors(data, bounds)
+            first, gap, number = stretches(doc, at, h)
+            doc, at, h = doc[first], at[first], h[first]
             row = batch.column("row").to_numpy()[doc]
-            place = (at - bounds[doc]).astype(np.int32)
+            place = np.column_stack([at - bounds[doc], gap, number]).astype(np.int32)
             block = (h % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            held, cuts = np.unique(block[order], return_index=True)
-            parts = np.split(order, cuts[1:]) if len(held) else []
-            # five bytes besides the block are enough to drop what is met once; contexts are compared in full later
-            yield pa.record_batch({
-                "block": pa.array(held, pa.int64()),
-                "keys": pa.array([np.ascontiguousarray(h[p].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes() for p in parts], pa.binary()),
-                "rows": pa.array([row[p].tobytes() for p in parts], pa.binary()),
-                "places": pa.array([place[p].tobytes() for p in parts], pa.binary()),
-            })
+            for long in (False, True):
+                order = np.flatnonzero((number > 1) == long)
+                order = order[np.argsort(block[order], kind="stable")]
+                held, cuts = np.unique(block[order], return_index=True)
+                parts = np.split(order, cuts[1:]) if len(held) else []
+                # five bytes besides the block are enough to drop what is met once; contexts are compared in full later
+                yield pa.record_batch({
+                    "block": pa.array(held, pa.int64()), "long": pa.array(np.full(len(held), long)),
+                    "keys": pa.array([np.ascontiguousarray(h[p].view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes() for p in parts], pa.binary()),
+                    "rows": pa.array([row[p].tobytes() for p in parts], pa.binary()),
+                    "places": pa.array([(place[p] if long else place[p, 0]).tobytes() for p in parts], pa.binary()),
+                })
+    return run
+
+
+def _repeated(heavy: int):
+    """Per document the places whose key is also met in another document; apart if the key has more than ``heavy`` entries."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        raw = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 5) for b in rows["keys"]])
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        key = wide.view("<u8").ravel()
+        row = np.concatenate([np.frombuffer(b, np.int64) for b in rows["rows"]])
+        parts = []
+        for b, long in zip(rows["places"], rows["long"]):
+            found = np.frombuffer(b, np.int32)
+            parts.append(found.reshape(-1, 3) if long else np.column_stack([found, np.zeros_like(found), np.ones_like(found)]))
+        place = np.concatenate(parts)
+        order = np.argsort(key, kind="stable")
+        key, row, place = key[order], row[order], place[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        keep = np.repeat(np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts), sizes)
+        kind = 2 * np.repeat(sizes > heavy, sizes) + (place[:, 2] > 1)
+        row, place, kind = row[keep], place[keep], kind[keep]
+        order = np.lexsort((kind, row))
+        row, place, kind = row[order], place[order], kind[order]
+        cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])]) if len(row) else np.empty(0, np.int64)
+        lists = np.split(place, cuts[1:]) if len(cuts) else []
+        return pd.DataFrame({
+            "row": row[cuts], "kind": kind[cuts].astype(np.int32),
+            "places": [(p if k % 2 else p[:, 0]).tobytes() for p, k in zip(lists, kind[cuts])],
+            "n": np.array([int(p[:, 2].sum()) for p in lists], np.int64),
+        })
     return run
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per document the places whose key is also met in another document."""
-    raw = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 5) for b in rows["keys"]])
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    key = wide.view("<u8").ravel()
-    row = np.concatenate([np.frombuffer(b, np.int64) for b in rows["rows"]])
-    place = np.concatenate([np.frombuffer(b, np.int32) for b in rows["places"]])
-    order = np.argsort(key, kind="stable")
-    key, row, place = key[order], row[order], place[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    several = np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts)
-    keep = np.repeat(several, np.diff(np.r_[starts, len(key)]))
-    row, place = row[keep], place[keep]
-    order = np.argsort(row, kind="stable")
-    row, place = row[order], place[order]
-    cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-    return pd.DataFrame({"row": row[cuts], "places": [p.tobytes() for p in np.split(place, cuts[1:])] if len(cuts) else []})
-
-
-def _contexts(batches):
-    """Per chunk of candidate anchors: the batch, their documents in it, places and contexts.
+def _places(batch: pa.RecordBatch, heavy: bool) -> list[np.ndarray]:
+    """The places of each document, stretches written out."""
+    out = []
+    single, long = (batch.column(f"places{2 * heavy + k}") for k in (0, 1))
+    for one, many in zip(single, long):
+        runs = np.frombuffer(b"".join(many.as_py() or []), np.int32).reshape(-1, 3).astype(np.int64)
+        at = np.repeat(runs[:, 0], runs[:, 2]) + ranges(np.zeros(len(runs), np.int64), runs[:, 2]) * np.repeat(runs[:, 1], runs[:, 2])
+        out.append(np.concatenate([np.frombuffer(b"".join(one.as_py() or []), np.int32).astype(np.int64), at]))
+    return out
+
+
+def _contexts(batches, heavy: bool):
+    """Per chunk of candidate anchors (of heavy or of other keys): the batch, their documents in it, places and contexts.
 
     A context is the bytes that windows around an anchor can cover, zero beyond the text's ends, and the two counts of real bytes.
     """
     for batch in slices(batches):
+        places = _places(batch, heavy)
+        if not any(len(p) for p in places):
+            continue
         data, bounds = _bytes(batch)
-        places = [np.frombuffer(b"".join(x.as_py()), np.int32).astype(np.int64) for x in batch.column("places")]
         docs = np.repeat(np.arange(len(places)), [len(p) for p in places])
         every = np.concatenate(places)
         for at in range(0, len(every), CHUNK):
@@ -179,14 +222,19 @@ def _digests(context: np.ndarray) -> np.ndarray:
     return np.column_stack(out)
 
 
+def _chosen(owner: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """For each different context the place with the smallest document."""
+    order = np.lexsort((owner, digest[:, 1], digest[:, 0]))
+    same = np.all(digest[order][1:] == digest[order][:-1], axis=1)
+    return order[np.r_[True, ~same]]
+
+
 def _emit_contexts(buckets: int):
     def run(batches):
-        for batch, doc, _, context in _contexts(batches):
+        for batch, doc, _, context in _contexts(batches, False):
             digest = _digests(context)
             owner = batch.column("doc_id").to_numpy()[doc]
-            order = np.lexsort((owner, digest[:, 1], digest[:, 0]))
-            same = np.all(digest[order][1:] == digest[order][:-1], axis=1)
-            chosen = order[np.r_[True, ~same]]  # the smallest document of each context
+            chosen = _chosen(owner, digest)
             key = _digests(np.ascontiguousarray(context[chosen, SPAN - 1 : SPAN - 1 + KEY]))[:, 0].view(np.uint64)
             yield pa.record_batch({
                 "bucket": pa.array((key % np.uint64(buckets)).astype(np.int64)),
@@ -195,8 +243,41 @@ def _emit_contexts(buckets: int):
     return run
 
 
+def _emit_windows(batches):
+    """The windows around anchors of heavy keys: context, distance from window to anchor, bytes, document."""
+    for batch, doc, _, context in _contexts(batches, True):
+        digest = _digests(context)
+        owner = batch.column("doc_id").to_numpy()[doc]
+        chosen = _chosen(owner, digest)
+        digest, owner, context = digest[chosen], owner[chosen], context[chosen]
+        for back in range(SPAN):
+            real = np.flatnonzero((context[:, -2] >= back) & (context[:, -1] >= LENGTH - back))
+            start = SPAN - 1 - back
+            yield pa.record_batch({
+                "d1": pa.array(digest[real, 0]), "d2": pa.array(digest[real, 1]), "back": pa.array(np.full(len(real), back, np.int32)),
+                "window": pa.array([c.tobytes() for c in context[real, start : start + LENGTH]], pa.binary()), "owner": pa.array(owner[real]),
+            })
+
+
+def _factors_of_windows(batches):
+    """The smallest documents of a context's windows as runs, as from ``_previous_factors``."""
+    for batch in batches:
+        run_at, run_doc = [], []
+        for found in batch.column("found").to_pylist():
+            first = np.full(SPAN, np.iinfo(np.int64).max)
+            for f in found:
+                first[f["back"]] = f["least"]
+            at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+            run_at.append(at.tolist())
+            run_doc.append(first[at].tolist())
+        yield pa.record_batch({
+            "d1": batch.column("d1"), "d2": batch.column("d2"),
+            "run_at": pa.array(run_at, pa.list_(pa.int32())), "run_doc": pa.array(run_doc, pa.list_(pa.int64())),
+        })
+
+
 def _emit_records(batches):
-    for batch, doc, place, context in _contexts(batches):
+    for batch, doc, place, context in (found for held in batches for heavy in (False, True) for found in _contexts([held], heavy)):
         digest = _digests(context)
         yield pa.record_batch({
             "d1": pa.array(digest[:, 0]), "d2": pa.array(digest[:, 1]), "row": batch.column("row").take(pa.array(doc)),
@@ -297,16 +378,22 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = spark.table(name)
 
     packed = texts.where("not copy and doc_id is not null").select("row", "text").mapInArrow(
-        _emit_anchors(blocks), "block long, keys binary, rows binary, places binary")
-    repeated = packed.groupBy("block").applyInPandas(_repeated, "row long, places binary")
-    # a document's places come from all blocks
-    wanted = cut_lineage(repeated.groupBy("row").agg(F.collect_list("places").alias("places"), F.sum(F.length("places") / 4).alias("n")))
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    number = max(1, int(total // BUCKET_CONTEXTS) + 1)
-    held = texts.where("not copy and doc_id is not null").select("row", "doc_id", "text").join(wanted.select("row", "places"), "row").select(
-        "row", "doc_id", "text", "places")
+        _emit_anchors(blocks), "block long, long boolean, keys binary, rows binary, places binary")
+    repeated = packed.groupBy("block").applyInPandas(_repeated(HEAVY), "row long, kind int, places binary, n long")
+    # a document's places come from all blocks; kinds: places and stretches of other keys, then of heavy keys
+    lists = [F.collect_list(F.when(F.col("kind") == k, F.col("places"))).alias(f"places{k}") for k in range(4)]
+    wanted = cut_lineage(repeated.groupBy("row").agg(
+        *lists, F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(0)).alias("n"), F.max(F.col("kind") >= 2).alias("heavy")))
+    total, heavy = wanted.agg(F.sum("n"), F.max("heavy")).first()
+    number = max(1, int((total or 0) // BUCKET_CONTEXTS) + 1)
+    held = texts.where("not copy and doc_id is not null").select("row", "doc_id", "text").join(wanted.drop("n"), "row")
     contexts = held.mapInArrow(_emit_contexts(number), "bucket long, context binary, owner long")
     factors = contexts.groupBy("bucket").applyInPandas(_previous_factors, "d1 long, d2 long, run_at array<int>, run_doc array<long>")
+    if heavy:
+        windows = held.where("heavy").mapInArrow(_emit_windows, "d1 long, d2 long, back int, window binary, owner long")
+        least = windows.groupBy("back", "window").agg(F.min("owner").alias("least"))
+        met = windows.drop("owner").join(least, ["back", "window"]).groupBy("d1", "d2").agg(F.collect_set(F.struct("back", "least")).alias("found"))
+        factors = factors.unionByName(met.mapInArrow(_factors_of_windows, "d1 long, d2 long, run_at array<int>, run_doc array<long>"))
     records = held.mapInArrow(_emit_records, "d1 long, d2 long, row long, doc_id long, place long")
     spans = records.join(factors, ["d1", "d2"]).select("row", "doc_id", "place", "run_at", "run_doc").mapInArrow(_spans, "row long, start long, end long")
     spans = cut_lineage(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")))

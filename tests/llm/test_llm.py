@@ -154,6 +154,32 @@ def test_suffix_dedup_edges(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_suffix_dedup_heavy_keys(spark, monkeypatch):
+    """A phrase in every document, between other words, and periodic stretches; with and without buckets for heavy keys."""
+    rng = np.random.default_rng(6)
+    phrase = "a phrase of more than fifty bytes that each document holds once; "
+    own = lambda: " ".join(f"w{x}" for x in rng.integers(0, 30, 12))
+    texts = [(i, (own() + " " + phrase + own()).encode()) for i in range(25)]
+    texts += [(25, b"z" * 300), (26, b"q" + b"z" * 240 + b"end"), (27, b"ab" * 120), (28, b"x" + b"ab" * 90), (29, b"abc" * 70 + texts[3][1])]
+    table = spark.createDataFrame([(i, t.decode()) for i, t in texts], "doc_id long, text string")
+    want = removed(texts)
+    for heavy in (2, 65_536):
+        monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+        got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table, with_text=True).collect()}
+        assert got == want
+
+
+def test_suffix_dedup_groups_are_bounded():
+    """No entry per position of a constant text; the places of a key met often leave the buckets."""
+    batch = pa.record_batch({"row": pa.array([7, 9], pa.int64()), "text": pa.array(["a" * 100_000, "b" + "a" * 50_000])})
+    packed = list(suffix_dedup._emit_anchors(1)([batch]))
+    assert sum(len(x) for b in packed for x in b.column("keys").to_pylist()) < 100
+    rows = pa.Table.from_batches(packed).to_pandas()
+    for heavy, kinds in ((1, {2, 3}), (1000, {0, 1})):
+        found = suffix_dedup._repeated(heavy)(rows)
+        assert set(found["kind"]) <= kinds and found["n"].sum() == 100_000 - 23 + 50_000 - 23
+
+
 def test_near_classes(spark, sf_dir, docs, nothing):
     rows = {r.doc_id: r.class_id for r in queries.QUERIES["op7_probminhash"](spark, sf_dir).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
