@@ -40,16 +40,17 @@ def with_normal(groups: DataFrame, mode: Sequence[float], cov: Sequence[Sequence
 def modes_table(spark: SparkSession, found: list[dict], keys: DataFrame) -> DataFrame:
     """The result of ``kappa_mode`` (one entry per group) as a table; ``keys`` gives the group columns their types."""
     rows = [
-        (*[f[c] for c in keys.columns], [float(x) for x in f["mode"]], np.linalg.cholesky(f["cov"]).tolist()) for f in found
+        (*[f[c] for c in keys.columns], f["status"],
+         *(([float(x) for x in f["mode"]], np.linalg.cholesky(f["cov"]).tolist()) if f["status"] == "ok" else (None, None))) for f in found
     ]
-    schema = T.StructType([*keys.schema.fields, *T.StructType.fromDDL("mode array<double>, root array<array<double>>").fields])
+    schema = T.StructType([*keys.schema.fields, *T.StructType.fromDDL("status string, mode array<double>, root array<array<double>>").fields])
     return spark.createDataFrame(rows, schema)
 
 
 def sample_log_kappa(normals: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` draws of the three log precisions for each row, from the normal approximation in ``mode`` and ``root``."""
-    keys = [c for c in normals.columns if c not in ("mode", "root")]
-    rows = normals.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    """``n`` draws of the three log precisions for each row, from the normal approximation in ``mode`` and ``root``; none without a mode."""
+    keys = [c for c in normals.columns if c not in ("mode", "root", "status")]
+    rows = normals.filter("mode is not null").withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n))))
     rows = rows.withColumns(
         {f"_z{k}": hash_normal(seed, *[F.col(c) for c in keys], F.col("sample"), F.lit(f"kappa{k}")) for k in range(3)}
     )

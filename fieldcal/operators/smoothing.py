@@ -26,8 +26,10 @@ from fieldcal.operators.reshape import PARAMETERS, stack_parameters
 from fieldcal.operators.spatial import roughness, with_grid
 from fieldcal.session import cut_lineage
 
-# The log-precision axis used for integration and for the exploratory grid.
+# The log-precision axis used for the exploratory grid, and to find the mode before integration.
 LOG_KAPPA_AXIS = tuple(range(-10, 21, 2))
+# Points of the axis of integration, and the fall of the log posterior from the mode to its ends: 4 standard deviations of a normal density.
+AXIS_POINTS, AXIS_FALL = 16, 8.0
 FIELD_COLUMNS = ["par", "i", "j", "n_i", "n_j", "value", "weight"]
 
 
@@ -221,27 +223,59 @@ def _normalised(log_post: np.ndarray) -> tuple[np.ndarray, float]:
     return mass / mass.sum(), float(top + np.log(mass.sum()))
 
 
+def integration_axis(value: np.ndarray, weight: np.ndarray, prior: Prior) -> np.ndarray:
+    """Even log-kappa axis of one field around the mode of its posterior, to where that has fallen by ``AXIS_FALL`` on each side.
+
+    The mode is looked for on the coarse axis, then on ever finer ones around the best point so far. A skew posterior gets a longer
+    side. The coarse axis comes back if no point of it is finite.
+    """
+    def at(points: np.ndarray) -> np.ndarray:
+        return _log_posterior(solve(value, weight, np.exp(points), variance=False), points, value.size, prior)
+
+    points = np.asarray(LOG_KAPPA_AXIS, dtype=float)
+    found = at(points)
+    if not np.isfinite(found.max()):
+        return points
+    for step in (0.5, 0.125, 0.03125):
+        points = points[int(found.argmax())] + step * np.arange(-4, 5)
+        found = at(points)
+    mode, top = points[int(found.argmax())], found.max()
+    ends = []
+    for side in (-1, 1):
+        far = 0.125 * 2.0 ** np.arange(9)
+        out = np.flatnonzero(at(mode + side * far) < top - AXIS_FALL)
+        k = int(out[0]) if len(out) else len(far) - 1
+        near = np.linspace(far[k - 1] if k else 0.0, far[k], 9)[1:]
+        out = np.flatnonzero(at(mode + side * near) < top - AXIS_FALL)
+        ends.append(mode + side * (near[out[0]] if len(out) else near[-1]))
+    return np.linspace(*ends, AXIS_POINTS)
+
+
 def smooth_integrated(
     est: DataFrame,
     groups: Sequence[str],
-    log_kappas: Sequence[float] = LOG_KAPPA_AXIS,
+    log_kappas: Sequence[float] | None = None,
     prior: Prior | None = None,
     per_task: int | None = None,
 ) -> DataFrame:
-    """Posterior mean and variance with the precision integrated out over an even log-kappa axis.
+    """Posterior mean and variance with the precision integrated out over an even log-kappa axis, by default that of ``integration_axis``.
 
     The axis points of a field are solved and mixed in one task, so what leaves it is one row per cell instead of one per
     cell and kappa. With few large fields, ``per_task`` cuts the axis into slices of that many points that run in
     parallel; each slice sends its mixture with its total mass, and the mixtures are merged by mass.
     A field without a positive weight, or without a finite point on the axis, has null in ``smooth`` and ``smooth_var``.
     """
-    groups, logs, prior = list(groups), [float(x) for x in log_kappas], prior or log_gamma_prior()
-    per_task = per_task or len(logs)
-    slices = [logs[k : k + per_task] for k in range(0, len(logs), per_task)]
+    groups, prior = list(groups), prior or log_gamma_prior()
+    given = None if log_kappas is None else np.asarray(log_kappas, dtype=float)
+    length = AXIS_POINTS if given is None else len(given)
+    per_task = per_task or length
+    starts = list(range(0, length, per_task))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         value, weight = _field(rows)
-        points = np.asarray(slices[int(rows["_slice"].iloc[0])])
+        start = starts[int(rows["_slice"].iloc[0])]
+        # every slice of a field finds the same axis
+        points = (integration_axis(value, weight, prior) if given is None else given)[start : start + per_task]
         found = solve(value, weight, np.exp(points))
         log_post = _log_posterior(found, points, value.size, prior)
         # round-off can let the factorisation of a field without weights through
@@ -264,10 +298,10 @@ def smooth_integrated(
         est, [*groups, "par"],
         "i int, j int, s int, value double, weight double, smooth double, smooth_var double, log_mass double",
     )
-    rows = est.select(*groups, *FIELD_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(len(slices) - 1))).alias("_slice"))
+    rows = est.select(*groups, *FIELD_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))).alias("_slice"))
     out = _by_field(rows, [*groups, "par", "_slice"]).applyInPandas(run, schema)
     out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight", "smooth", "smooth_var")})
-    if len(slices) == 1:
+    if len(starts) == 1:
         return out.drop("log_mass")
     # merge: a cell has one row per slice, so its array is as short as the axis
     parts = out.groupBy(*groups, "par", "i", "j", "s").agg(
@@ -286,15 +320,16 @@ def smooth_integrated(
 def kappa_marginal(
     est: DataFrame,
     groups: Sequence[str],
-    log_kappas: Sequence[float] = LOG_KAPPA_AXIS,
+    log_kappas: Sequence[float] | None = None,
     prior: Prior | None = None,
 ) -> DataFrame:
-    """Posterior of each precision on the axis: the weight of the point, and the density in kappa (trapezoid rule); both are null
+    """Posterior of each precision on the axis (by default that of ``integration_axis``): the weight of the point, and the density in kappa (trapezoid rule); both are null
     for a field without a positive weight or without a finite point."""
-    groups, logs, prior = list(groups), np.asarray(log_kappas, dtype=float), prior or log_gamma_prior()
+    groups, prior = list(groups), prior or log_gamma_prior()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         value, weight = _field(rows)
+        logs = integration_axis(value, weight, prior) if log_kappas is None else np.asarray(log_kappas, dtype=float)
         found = solve(value, weight, np.exp(logs), variance=False)
         share, _ = _normalised(_log_posterior(found, logs, value.size, prior))
         if not share.any() or not (weight > 0).any():
@@ -425,7 +460,9 @@ def kappa_mode(
     axis: Sequence[float] = LOG_KAPPA_AXIS,
     max_rounds: int = 40,
 ) -> list[dict]:
-    """Normal approximation of the log-kappa posterior of every group: [{groups..., mode, cov, gradient}].
+    """Normal approximation of the log-kappa posterior of every group: [{groups..., status, mode, cov, gradient}].
+
+    ``status`` is "ok", "no finite point" (none on the coarse grid) or "no interior maximum"; the rest is None unless it is "ok".
 
     Starts at the best point of a coarse grid and looks at ever finer cubes of points around the best so far; a cube whose best
     point lies on its surface is moved, not refined. Solves grow with the edge of the cube, not with its volume. Each round
@@ -437,7 +474,9 @@ def kappa_mode(
     lam = cut_lineage(lam) if lam is not None else None
     names = [f"lk_{p}" for p in PARAMETERS]
     coarse = kappa_log_posterior(est, moments, kappa_axis(spark, axis), groups, hyperprior, lam)
-    best = coarse.filter("log_post is not null").groupBy(*groups).agg(F.max_by(F.struct(*names), "log_post").alias("at")).collect()
+    best = coarse.filter("log_post is not null and not isnan(log_post)").groupBy(*groups).agg(
+        F.max_by(F.struct(*names), "log_post").alias("at")).filter("at is not null").collect()
+    every = [tuple(r) for r in est.select(*groups).distinct().collect()] if groups else [()]
     # group -> [centre, index of the current step, covariance, gradient]
     state = {tuple(r[g] for g in groups): [np.array(list(r["at"])), 0, None, None] for r in best}
     schema = T.StructType(
@@ -472,6 +511,9 @@ def kappa_mode(
             found[g][(r["_at0"], r["_at1"], r["_at2"])] = value if value is not None else -np.inf
             tops[g] = np.array(list(r["top"]))
         for g, s in active.items():
+            if g not in tops:  # no point of the cube is finite
+                s[1] = len(SEARCH_STEPS)
+                continue
             s[0] = tops[g]
             if len(found[g]) < 27:
                 continue
@@ -481,10 +523,12 @@ def kappa_mode(
                     s[2], s[3] = np.linalg.inv(-hessian), gradient
                     s[0] = s[0] + np.clip(s[2] @ gradient, -SEARCH_STEPS[s[1]], SEARCH_STEPS[s[1]])
             s[1] += 1
-    lost = [g for g, s in state.items() if s[2] is None]
-    if lost:
-        raise ValueError(f"no interior maximum of the precision posterior for {lost}")
-    return [{**dict(zip(groups, g)), "mode": s[0], "cov": s[2], "gradient": s[3]} for g, s in state.items()]
+    out = []
+    for g in every:
+        centre, _, cov, gradient = state.get(g, [None] * 4)
+        status = "no finite point" if centre is None else "no interior maximum" if cov is None else "ok"
+        out.append({**dict(zip(groups, g)), "status": status, "mode": None if cov is None else centre, "cov": cov, "gradient": gradient})
+    return out
 
 
 def seed_of(*parts) -> int:

@@ -195,20 +195,23 @@ def _mode(spark, sf_dir):
     est, moments, estimates = weekly_inputs(spark, sf_dir)
     lam = smoothing.lambda_table(estimates, "half_normal")
     found = smoothing.kappa_mode(est, moments, [], "half_normal", lam)[0]
-    return est, found["mode"], found["cov"]
+    return est, found
 
 
 @query("kappa_mode_laplace")
 def _(spark, sf_dir):
-    _est, mode, cov = _mode(spark, sf_dir)
-    rows = [(p, float(mode[k]), *[float(x) for x in cov[k]]) for k, p in enumerate(KAPPA)]
-    return spark.createDataFrame(rows, "par string, log_kappa double, cov_alpha double, cov_beta double, cov_tau double")
+    _est, found = _mode(spark, sf_dir)
+    numbers = lambda k: [float(found["mode"][k]), *map(float, found["cov"][k])] if found["status"] == "ok" else [None] * 4
+    rows = [(p, *numbers(k), found["status"]) for k, p in enumerate(KAPPA)]
+    return spark.createDataFrame(rows, "par string, log_kappa double, cov_alpha double, cov_beta double, cov_tau double, status string")
 
 
 @query("sample_fields")
 def _(spark, sf_dir):
-    est, mode, cov = _mode(spark, sf_dir)
-    draws = predict.sample_log_kappa(predict.with_normal(spark.range(1), mode, cov), 50, 7).drop("id")
+    est, found = _mode(spark, sf_dir)
+    if found["status"] != "ok":
+        raise ValueError(f"no draws without a mode: {found['status']}")
+    draws = predict.sample_log_kappa(predict.with_normal(spark.range(1), found["mode"], found["cov"]), 50, 7).drop("id")
     return smoothing.sample_fields(est, draws, [], 7)
 
 

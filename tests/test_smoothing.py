@@ -154,6 +154,46 @@ def test_integrated_equals_mixture_of_fixed(spark, est, fields):
     assert np.allclose([r.probability for r in weights], share)
 
 
+def test_default_axis_resolves_a_narrow_posterior(spark):
+    """24 x 57 cells, where the posterior of the log precision is far narrower than the coarse axis: against 601 points."""
+    rng = np.random.default_rng(8)
+    shape = (24, 57)
+    x, y = np.meshgrid(np.arange(shape[1]), np.arange(shape[0]))
+    value = np.sin(x / 6) + np.cos(y / 5) + rng.normal(0, 0.4, shape)
+    weight = rng.uniform(4, 9, shape)
+    rows = [("alpha", i + 1, j + 1, j * shape[1] + i + 1, shape[1], shape[0], float(value[j, i]), float(weight[j, i]))
+            for j in range(shape[0]) for i in range(shape[1])]
+    est = spark.createDataFrame(rows, "par string, i int, j int, s int, n_i int, n_j int, value double, weight double")
+    # the fine axis is solved in parts, as a solve holds all its points
+    lk = np.linspace(-4, 8, 601)
+    parts = [solve(value, weight, np.exp(k), variance=False) for k in np.split(lk[:600], 6)]
+    whole = {c: np.concatenate([np.asarray(f[c]) for f in parts]) for c in ("misfit", "roughness", "log_det")}
+    lk = lk[:600]
+    log_post = smoothing._log_posterior(whole, lk, value.size, smoothing.log_gamma_prior())
+    share = np.exp(log_post - log_post.max())
+    share /= share.sum()
+    centre = share @ lk
+    sd = np.sqrt(share @ (lk - centre) ** 2)
+    assert sd < 0.5
+    got = smoothing.kappa_marginal(est, []).orderBy("log_kappa").collect()
+    p, at = np.array([r.probability for r in got]), np.array([r.log_kappa for r in got])
+    assert len(got) >= 15 and p.sum() == pytest.approx(1.0)
+    assert p @ at == pytest.approx(centre, abs=0.01) and np.sqrt(p @ (at - p @ at) ** 2) == pytest.approx(sd, rel=0.02)
+    one = {r.s: (r.smooth, r.smooth_var) for r in smoothing.smooth_integrated(est, []).collect()}
+    cut = {r.s: (r.smooth, r.smooth_var) for r in smoothing.smooth_integrated(est, [], per_task=5).collect()}
+    assert all(np.allclose(one[s], cut[s]) for s in one) and len(one) == value.size
+
+
+def test_kappa_mode_keeps_every_group(spark, est, moments):
+    lost = est.filter("g = 1").withColumn("g", F.lit(2)).withColumn("weight", F.lit(0.0))
+    both = est.unionByName(lost)
+    found = smoothing.kappa_mode(both, moments, ["g"], None, axis=[-2.0, 0.0, 2.0, 4.0], max_rounds=1)
+    assert {f["g"]: f["status"] for f in found} == {1: "no interior maximum", 2: "no finite point"}
+    assert all(f["mode"] is None and f["cov"] is None for f in found)
+    table = predict.modes_table(spark, found, est.select("g"))
+    assert table.count() == 2 and predict.sample_log_kappa(table, 3, 1).count() == 0
+
+
 def test_missing_cells_are_filled(spark, est):
     gaps = est.filter("not (i = 2 and j = 3)")
     got = smoothing.smooth_integrated(gaps, ["g"], [0.0, 2.0])
