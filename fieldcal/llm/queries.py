@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, merkle_manifest, probminhash, site_quality, suffix_dedup, token_store
+from fieldcal.llm import bpe_transducer, content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, merkle_manifest, probminhash, site_quality, suffix_dedup, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -55,6 +55,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest.manifest(documents(spark, sf_dir))
 
 
+def op12_bpe_transducer(spark, sf_dir):
+    return bpe_transducer.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_learned_partitions": op2_learned_partitions,
@@ -67,6 +71,7 @@ QUERIES = {
     "op9_content_sort": op9_content_sort,
     "op10_cutting_stock": op10_cutting_stock,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe_transducer": op12_bpe_transducer,
 }
 ORACLES = {
     "op8_weighted_fair_queue": fair_queue.ORACLE,
