@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldcal.llm import bpe_transducer, content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, merkle_manifest, probminhash, site_quality, suffix_dedup, token_store
+from fieldcal.llm import bpe_transducer, content_sort, cutting_stock, fair_queue, language_model, learned_partitions, line_chunks, merkle_manifest, phrase_mining, probminhash, site_quality, suffix_dedup, token_store
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -59,6 +59,10 @@ def op12_bpe_transducer(spark, sf_dir):
     return bpe_transducer.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_phrase_mining(spark, sf_dir):
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_learned_partitions": op2_learned_partitions,
@@ -72,10 +76,12 @@ QUERIES = {
     "op10_cutting_stock": op10_cutting_stock,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_bpe_transducer": op12_bpe_transducer,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 ORACLES = {
     "op8_weighted_fair_queue": fair_queue.ORACLE,
     "op9_content_sort": content_sort.ORACLE,
+    "op13_phrase_mining": phrase_mining.ORACLE,
 }
 
 
