@@ -6,13 +6,14 @@ and lead time are ensemble members. The true slope of a cell is 0.5 + 0.05 j.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldcal.functions.expressions import wrap_longitude
 from fieldcal.operators.estimate import mean_by
 from fieldcal.operators.filters import filter_lead_week
 from fieldcal.operators.joins import anomaly
+from fieldcal.session import cut_lineage
 
 KEYS = ["j", "i", "long", "lat"]
 CELL_TIME = ["j", "i", "year", "lead_time"]
@@ -129,6 +130,37 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("x", "y").pivot("band", band_columns()).agg(F.first("fcst"))
 
 
+def packed(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
+    """(x, y, band_id, value) rows to one array per cell, null where a cell lacks a band. A cell holds its bands, not raw records."""
+    last = bands.agg(F.max("band_id")).scalar()
+    held = rows.groupBy("x", "y").agg(F.map_from_entries(F.collect_list(F.struct("band_id", value))).alias("held"))
+    places = held.withColumn("place", F.sequence(F.lit(1), last.cast("int")))
+    return places.select("x", "y", F.transform("place", lambda b: F.try_element_at("held", b)).alias("values"))
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Band numbers from 1 in the order of ``keys``: one row per band."""
+    return rows.select(*keys).distinct().withColumn("band_id", F.row_number().over(Window.orderBy(*keys)))
+
+
+def ensemble_bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Packed ensemble fields, a band for every start, lead time and member, and their metadata rows."""
+    order = Window.partitionBy(*CELL_TIME).orderBy(*MEMBER_ORDER)
+    rows = _with_coordinates(_raw_members(spark, sf_dir).withColumn("member", F.row_number().over(order)))
+    rows = cut_lineage(rows.select(F.col("raw_long").alias("x"), F.col("lat").alias("y"), "start_date", F.col("date").alias("veri_date"), "member", "fcst"))
+    keys = ["start_date", "veri_date", "member"]
+    bands = _numbered(rows, keys)
+    return packed(rows.join(bands, keys), bands, "fcst"), bands.select("band_id", "start_date", "veri_date")
+
+
+def analysis_bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Packed analysis fields in Kelvin, a band for every date and hour, and their metadata rows."""
+    rows = cut_lineage(analysis_raw(spark, sf_dir))
+    bands = _numbered(rows, ["date", "hour"])
+    meta = bands.select("band_id", F.col("date").alias("start_date"), F.col("date").alias("veri_date"))
+    return packed(rows.join(bands, ["date", "hour"]), bands, "t2m"), meta
+
+
 def hindcast_3w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Week-3 control hindcast: weekly mean per cell and year, with the forecast's anomaly in its cell."""
     weekly = mean_by(

@@ -134,7 +134,7 @@ UNION ALL SELECT 'posterior', 'beta', r6(avg((beta_smooth - (0.5 + 0.05 * j)) **
 """)
 def _(spark, sf_dir):
     cells = fx.daily(spark, sf_dir).select("long", "lat", "j").distinct()
-    cv = chain.cv_fixed_steps(chain.daily_columns(spark, sf_dir)).join(cells, ["long", "lat"]).select(
+    cv = chain.cv_smoothed(spark, sf_dir).join(cells, ["long", "lat"]).select(
         true_slope().alias("true"), F.col("beta_hat").alias("likelihood"), F.col("beta_smooth").alias("posterior"))
     rows = cv.unpivot(["true"], ["likelihood", "posterior"], "method", "estimate").withColumn("variable", F.lit("beta"))
     return verify.parameter_mse(rows)
@@ -181,7 +181,7 @@ def _(spark, sf_dir):
     f"SELECT long, lat, year, lead_time, '{p}' AS par, '{label}' AS type, r6({p}_{kind}) AS value FROM fx_cv"
     for p in reshape.PARAMETERS for kind, label in figures.METHOD_LABELS.items()))
 def _(spark, sf_dir):
-    return figures.method_compare_long(chain.cv_fixed_steps(chain.daily_columns(spark, sf_dir)), ["long", "lat", "year", "lead_time"])
+    return figures.method_compare_long(chain.cv_smoothed(spark, sf_dir), ["long", "lat", "year", "lead_time"])
 
 
 BOX = (-9.0, 0.0, 42.0, 54.0)
@@ -195,7 +195,7 @@ FROM fx_cv c JOIN (SELECT long, lat, avg(fcst) AS xbar FROM fx_daily WHERE lead_
 WHERE c.long BETWEEN -9 AND 0 AND c.lat BETWEEN 42 AND 54 AND c.year = 2000 AND c.lead_time = 6
 """)
 def _(spark, sf_dir):
-    return figures.regression_lines(chain.cv_fixed_steps(chain.daily_columns(spark, sf_dir)), fx.daily(spark, sf_dir), BOX, 2000, 6)
+    return figures.regression_lines(chain.cv_smoothed(spark, sf_dir), fx.daily(spark, sf_dir), BOX, 2000, 6)
 
 
 @query("likelihood_vs_posterior_sd", " UNION ALL ".join(
@@ -203,7 +203,7 @@ def _(spark, sf_dir):
     for p in reshape.PARAMETERS))
 def _(spark, sf_dir):
     keys = ["long", "lat", "year", "lead_time"]
-    cv = chain.cv_fixed_steps(chain.daily_columns(spark, sf_dir))
+    cv = chain.cv_smoothed(spark, sf_dir)
     rows = reshape.stack_parameters(cv, keys, ["var_{}_hat", "{}_smooth_var"]).withColumnsRenamed(
         {"par": "variable", "var_hat": "likelihood", "smooth_var": "posterior"})
     long_rows = rows.unpivot([*keys, "variable"], ["likelihood", "posterior"], "method", "variance")

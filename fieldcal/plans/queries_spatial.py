@@ -1,15 +1,16 @@
 """Queries for spatial algebra, smoothing, the precision's posterior, ensembles and predictions."""
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fieldcal.functions import expressions as E
-from fieldcal.operators import estimate, predict, reshape, smoothing, spatial, verify
+from fieldcal.operators import estimate, gradients, predict, reshape, smoothing, spatial, verify
 from fieldcal.operators.joins import leave_one_out
 from fieldcal.plans import fixtures as fx
 from fieldcal.plans.registry import query
-from fieldcal.plans.sql_views import KAPPA, SAMPLES, laplacian_sql, normal_sql
-from fieldcal.session import cut_lineage
+from fieldcal.plans.sql_views import KAPPA, SAMPLES, TOLERANCE, laplacian_sql, normal_sql
+from fieldcal.session import cut_lineage, scratch_path
 
 CELL_LEAD = ["long", "lat", "lead_time"]
 FOLD_LEAD = ["year", "lead_time"]
@@ -39,11 +40,27 @@ def loo_fields(daily, grid):
     return smoothing.estimates_on_grid(estimate.loo_mle(daily, CELL_LEAD), grid, FOLD_LEAD)
 
 
-def cv_fixed_steps(daily):
-    """Cross-validated parameters, smoothed by two fixed steps."""
+def converged(daily, grid):
+    """Leave-one-year-out fields smoothed until their residual is small."""
+    return gradients.smooth(loo_fields(daily, grid), KAPPA, [*FOLD_LEAD, "par"], TOLERANCE)
+
+
+_kept = {}
+
+
+def cv_smoothed(spark, sf_dir):
+    """Cross-validated parameters on converged smoothing. The table is stored once a session and folder; all scores start from it."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where in _kept:
+        try:
+            return spark.read.parquet(_kept[where])
+        except AnalysisException:  # the owner of the shared folder has cleared it
+            pass
+    daily = daily_columns(spark, sf_dir)
     grid = grid_of(daily)
-    smooth = spatial.smooth_fixed_steps(loo_fields(daily, grid), KAPPA, FOLD_LEAD, 2)
-    return smoothing.cv_table(smooth, grid, FOLD_LEAD)
+    _kept[where] = scratch_path(spark, "cv")
+    smoothing.cv_table(converged(daily, grid), grid, FOLD_LEAD).write.parquet(_kept[where])
+    return spark.read.parquet(_kept[where])
 
 
 def weekly_inputs(spark, sf_dir):
@@ -137,6 +154,12 @@ def _(spark, sf_dir):
     return spatial.smooth_fixed_steps(loo_fields(daily, grid_of(daily)), KAPPA, FOLD_LEAD, 2).drop("weight")
 
 
+@query("smooth_fields_cg", "SELECT fold AS year, lead_time, par, i, j, r6(y) AS value, r6(x) AS smooth, residual < 1e-6 AS solved FROM fx_cg")
+def _(spark, sf_dir):
+    daily = daily_columns(spark, sf_dir)
+    return converged(daily, grid_of(daily)).select(*FOLD_LEAD, "par", "i", "j", "value", "smooth", (F.col("residual") < 1e-6).alias("solved"))
+
+
 @query("smooth_fields")
 def _(spark, sf_dir):
     est = mle_fields(spark, sf_dir)
@@ -299,7 +322,7 @@ def predictions(spark, sf_dir):
     daily = daily_columns(spark, sf_dir)
     # the hindcast was aggregated to one row per cell, lead time and year, so a group is at most one row per year
     left = leave_one_out(daily, CELL_LEAD, {"fcst_anom": "fcst"}, {"ybar": "obs"}, bounded=True).drop("fcst")
-    return predict.predict(predict.join_cv_hindcast(left, cut_lineage(cv_fixed_steps(daily))))
+    return predict.predict(predict.join_cv_hindcast(left, cv_smoothed(spark, sf_dir)))
 
 
 @query("point_prediction", "SELECT long, lat, year, lead_time, r6(yhat) AS yhat, r6(ystar) AS ystar FROM fx_pred")

@@ -6,8 +6,9 @@ from pyspark.sql import types as T
 from fieldcal.functions import expressions as E
 from fieldcal.operators import estimate, filters, joins, reshape
 from fieldcal.plans import fixtures as fx
+from fieldcal.plans import workflows
 from fieldcal.plans.registry import query
-from fieldcal.session import scratch_path
+from fieldcal.session import cut_lineage, scratch_path
 from fieldcal.sources import metadata, tables
 
 FIELDS = "j, i, long, lat, year, lead_time"
@@ -42,11 +43,40 @@ def _(spark, sf_dir):
     return metadata.parse_band_metadata(spark, path)
 
 
-@query("scan_wide_bands", "SELECT x, y, r6(band1) AS band1, r6(band17) AS band17, r6(band49) AS band49 FROM fx_wide")
+@query("scan_wide_bands", "SELECT x, y, " + ", ".join(f"r6({b}) AS {b}" for b in fx.band_columns()) + " FROM fx_wide")
 def _(spark, sf_dir):
     path = scratch_path(spark, "wide")
     fx.wide(spark, sf_dir).write.parquet(path)
-    return tables.scan_wide_bands(spark, path, ["band1", "band17", "band49"])
+    return tables.scan_wide_bands(spark, path)
+
+
+def stored_bands(spark, bands):
+    """Packed bands and their metadata dump, written as files and read back."""
+    packed, meta = bands
+    path = scratch_path(spark, "packed")
+    packed.write.parquet(f"{path}/fields")
+    metadata.band_text(meta).write.text(f"{path}/text")
+    return spark.read.parquet(f"{path}/fields"), cut_lineage(metadata.parse_band_metadata(spark, f"{path}/text"))
+
+
+OBSERVED = """
+SELECT CASE WHEN x > 180 THEN x - 360 ELSE x END AS long, y AS lat, date, avg(t2m) - 273.15 AS obs FROM fx_analysis_raw GROUP BY x, y, date
+"""
+
+
+@query("ingest_analysis_wide", f"SELECT long, lat, date, r6(obs) AS obs FROM ({OBSERVED}) o")
+def _(spark, sf_dir):
+    return workflows.observations_packed(*stored_bands(spark, fx.analysis_bands(spark, sf_dir)))
+
+
+@query("ingest_ensemble_hindcast", f"""
+SELECT e.long, e.lat, e.date, e.year, e.lead_time, r6(o.obs) AS obs, r6(e.ens_mean) AS ens_mean, r6(e.ens_sd) AS ens_sd
+FROM fx_ens e JOIN ({OBSERVED}) o ON e.long = o.long AND e.lat = o.lat AND e.date = o.date
+""")
+def _(spark, sf_dir):
+    analysis, ensemble = fx.analysis_bands(spark, sf_dir), fx.ensemble_bands(spark, sf_dir)
+    hindcast = workflows.ingest_ensemble_packed(*stored_bands(spark, analysis), *stored_bands(spark, ensemble))
+    return hindcast.select("long", "lat", "date", "year", "lead_time", "obs", "ens_mean", "ens_sd")
 
 
 @query("daily_mean_by_year", "SELECT x, y, date, r6(avg(t2m)) AS t2m, CAST(year(date) AS INT) AS year "

@@ -117,10 +117,58 @@ FROM fx_s{_step - 1} s JOIN fx_twice{_step} r
   ON s.fold = r.fold AND s.lead_time = r.lead_time AND s.par = r.par AND s.i = r.i AND s.j = r.j
 """)
 
-view("fx_cv", "SELECT fold AS year, lead_time, long, lat, i, j, " + ", ".join(
+# ---- smoothing: conjugate gradients until the residual is small ----
+
+#: both sides go on until rounding alone separates them
+TOLERANCE = 1e-14
+
+
+def laplacian_by_windows(v: str) -> str:
+    """Laplacian of ``v`` on complete grids of fields ``f``, for use with the windows by_i and by_j."""
+    return (f"(i > 1)::INT * ({v} - coalesce(lag({v}) OVER by_i, 0)) + (i < n_i)::INT * ({v} - coalesce(lead({v}) OVER by_i, 0)) "
+            f"+ (j > 1)::INT * ({v} - coalesce(lag({v}) OVER by_j, 0)) + (j < n_j)::INT * ({v} - coalesce(lead({v}) OVER by_j, 0))")
+
+
+def gradients_sql(fields: str, tolerance: float = TOLERANCE) -> str:
+    """(f, i, j, x, steps, residual) with (k R + d) x = b, from (f, i, j, n_i, n_j, k, d, b) on complete grids."""
+    windows = "WINDOW by_i AS (PARTITION BY f, j ORDER BY i), by_j AS (PARTITION BY f, i ORDER BY j)"
+    degree = "((i > 1)::INT + (i < n_i)::INT + (j > 1)::INT + (j < n_j)::INT)"
+    return f"""
+WITH RECURSIVE cg AS (
+  SELECT f, i, j, n_i, n_j, k, d, b, 0.0::DOUBLE AS x, b AS r, 0.0::DOUBLE AS p, 0.0::DOUBLE AS s, NULL::DOUBLE AS g, NULL::DOUBLE AS a,
+    NULL::DOUBLE AS top, 0 AS steps, false AS done FROM {fields}
+  UNION ALL
+  SELECT f, i, j, n_i, n_j, k, d, b, CASE WHEN still THEN x ELSE x + alpha * (u + beta * p) END,
+    CASE WHEN still THEN r ELSE r - alpha * (w + beta * s) END, u + beta * p, w + beta * s, gamma, alpha, now, CASE WHEN still THEN steps ELSE steps + 1 END, still
+  FROM (SELECT *, coalesce(gamma / g, 0) AS beta, gamma / (delta - coalesce(gamma / g, 0) * coalesce(gamma / a, 0)) AS alpha,
+      coalesce(now <= {tolerance!r}, true) AS still
+    FROM (SELECT *, sum(r * u) OVER field AS gamma, sum(w * u) OVER field AS delta,
+        max(abs(r)) OVER field / nullif(max(abs(b)) OVER field, 0) AS now
+      FROM (SELECT *, k * ({laplacian_by_windows("lap")}) + d * u AS w
+        FROM (SELECT *, {laplacian_by_windows("u")} AS lap
+          FROM (SELECT *, r / (k * {degree} * ({degree} + 1) + d) AS u FROM cg WHERE NOT done) c0 {windows}) c1 {windows}) c2
+      WINDOW field AS (PARTITION BY f)) c3) c4)
+SELECT f, i, j, x, steps, top AS residual FROM cg WHERE done"""
+
+
+# every cell of the grid for every field; i and j are those of the grid, from 1
+view("fx_fields", """
+SELECT struct_pack(fold := fold, lead_time := lead_time, par := par) AS f, fold, lead_time, par, g.i, g.j, g.long, g.lat, n_i, n_j, q.k,
+  coalesce(e.d, 0) AS d, e.y, coalesce(e.d * e.y, 0) AS b
+FROM (SELECT fold, lead_time, par, max(k) AS k FROM fx_est WHERE y IS NOT NULL AND d > 0 GROUP BY fold, lead_time, par) q
+CROSS JOIN (SELECT *, max(i) OVER () AS n_i, max(j) OVER () AS n_j FROM fx_grid) g
+LEFT JOIN (SELECT fold, lead_time, par, long, lat, y, d FROM fx_est WHERE y IS NOT NULL AND d > 0) e USING (fold, lead_time, par, long, lat)
+""")
+view("fx_solved", gradients_sql("fx_fields"))
+view("fx_cg", """
+SELECT c.fold, c.lead_time, c.par, c.i, c.j, c.long, c.lat, c.y, nullif(c.d, 0) AS d, v.x, v.steps, v.residual
+FROM fx_fields c JOIN fx_solved v ON c.f = v.f AND c.i = v.i AND c.j = v.j
+""")
+
+view("fx_cv", "SELECT fold AS year, lead_time, long, lat, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, " + ", ".join(
     f"max(CASE WHEN par = '{p}' THEN y END) AS {p}_hat, max(CASE WHEN par = '{p}' THEN 1.0::DOUBLE / d END) AS var_{p}_hat, "
     f"max(CASE WHEN par = '{p}' THEN x END) AS {p}_smooth, max(CASE WHEN par = '{p}' THEN 1.0::DOUBLE / d END) AS {p}_smooth_var"
-    for p in KAPPA) + " FROM fx_s2 GROUP BY fold, lead_time, long, lat, i, j")
+    for p in KAPPA) + " FROM fx_cg GROUP BY fold, lead_time, long, lat, i, j")
 
 view("fx_left", """
 SELECT long, lat, year, lead_time, obs,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fieldcal.functions import expressions as E
 from fieldcal.operators import estimate, filters, joins, predict, reshape, smoothing, spatial, verify
 from fieldcal.session import cut_lineage
+from fieldcal.sources import tables
 
 CELL = ["long", "lat"]
 CELL_LEAD = ["long", "lat", "lead_time"]
@@ -34,6 +35,37 @@ def observations(analysis: DataFrame, dates: DataFrame | None = None) -> DataFra
     )
 
 
+def analysis_rows(packed: DataFrame, meta: DataFrame) -> DataFrame:
+    """Packed analysis bands, several to a date, to (x, y, date, t2m); ``start_date`` of the metadata is the day of a band."""
+    return tables.band_rows(packed, meta.select("band_id", F.col("start_date").alias("date")), "t2m")
+
+
+def observations_packed(packed: DataFrame, meta: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Packed sub-daily Kelvin bands to daily Celsius observations (long, lat, date, obs).
+
+    With ``dates`` the metadata is reduced first, so bands of other days fall out when they are exploded and are never averaged.
+    """
+    if dates is not None:
+        meta = meta.join(dates.select(F.col("date").alias("start_date")).distinct(), "start_date", "left_semi")
+    daily = analysis_rows(packed, meta).groupBy("x", "y", "date").agg(F.avg("t2m").alias("t2m"))
+    return daily.select(
+        E.wrap_longitude(F.col("x")).alias("long"), F.col("y").alias("lat"), "date", E.kelvin_to_celsius(F.col("t2m")).alias("obs"))
+
+
+def ingest_ensemble_packed(analysis: DataFrame, analysis_meta: DataFrame, ensemble: DataFrame, ensemble_meta: DataFrame) -> DataFrame:
+    """Ensemble hindcast from packed bands: (long, lat, date, year, lead_time, obs, ens_mean, ens_sd, members).
+
+    Both metadata tables are as ``parse_band_metadata`` gives them. Members that share cell, start and verifying date are summarised
+    before anything is joined.
+    """
+    members = tables.band_rows(ensemble, ensemble_meta.select("band_id", "start_date", F.col("veri_date").alias("date")), "fcst")
+    stats = estimate.ensemble_stats(
+        members.select(E.wrap_longitude(F.col("x")).alias("long"), F.col("y").alias("lat"), "start_date", "date", "fcst"),
+        ["long", "lat", "start_date", "date"])
+    obs = cut_lineage(observations_packed(analysis, analysis_meta, ensemble_meta.select(F.col("veri_date").alias("date"))))
+    return joins.build_hindcast(obs, stats).drop("start_date").withColumn("year", F.year("date"))
+
+
 def forecast_rows(wide: DataFrame, meta: DataFrame) -> DataFrame:
     """Wide bands and their metadata to (long, lat, start_date, date, fcst); members of an ensemble are repeated rows."""
     rows = reshape.melt(wide, ["x", "y"], "band", "fcst").filter("fcst is not null")

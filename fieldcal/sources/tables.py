@@ -61,6 +61,26 @@ def scan_wide_bands(spark: SparkSession, path: str, bands: Sequence[str] | None
     return wide.select("x", "y", *bands)
 
 
+def pack_bands(wide: DataFrame, bands: Sequence[str] | None = None) -> DataFrame:
+    """Wide field table to (x, y, values): all bands of a cell in one array, in the order of ``bands`` (by default band1, band2, ...).
+
+    Stored once in this form, a table of any number of bands is read, exploded and joined by a plan of the same size.
+    """
+    if bands is None:
+        bands = sorted((c for c in wide.columns if c.startswith("band")), key=lambda c: int(c.removeprefix("band")))
+    return wide.select("x", "y", F.array(*bands).alias("values"))
+
+
+def band_rows(packed: DataFrame, meta: DataFrame, value: str) -> DataFrame:
+    """(x, y, values) and band metadata to one row per cell and band, with the metadata's columns; places without a value go.
+
+    The place in the array, from 1, is the metadata's ``band_id``. Metadata is one row per band, the joined rows are cells times bands.
+    """
+    rows = packed.select("x", "y", F.posexplode("values").alias("_place", value)).where(F.col(value).isNotNull())
+    named = rows.select("x", "y", (F.col("_place") + 1).alias("band_id"), value)
+    return named.join(meta, "band_id").drop("band_id", "band")
+
+
 def write_fold_results(results: DataFrame, grid: DataFrame, path: str) -> None:
     """Per-fold results by year, keyed by cell index, with the coordinate grid stored once beside them."""
     write_table(results, f"{path}/folds")
