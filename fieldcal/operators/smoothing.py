@@ -226,31 +226,51 @@ def _normalised(log_post: np.ndarray) -> tuple[np.ndarray, float]:
 def integration_axis(value: np.ndarray, weight: np.ndarray, prior: Prior) -> np.ndarray:
     """Even log-kappa axis of one field around the mode of its posterior, to where that has fallen by ``AXIS_FALL`` on each side.
 
-    The mode is looked for on the coarse axis, then on ever finer ones around the best point so far. A skew posterior gets a longer
-    side. The coarse axis comes back if no point of it is finite.
+    The mode is looked for on the coarse axis, then on finer ones around the best point so far, then by a parabola. A skew posterior gets
+    a longer side. The coarse axis comes back if no point of it is finite.
     """
-    def at(points: np.ndarray) -> np.ndarray:
-        return _log_posterior(solve(value, weight, np.exp(points), variance=False), points, value.size, prior)
+    def at(*points: float) -> np.ndarray:
+        logs = np.array(points)
+        return _log_posterior(solve(value, weight, np.exp(logs), variance=False), logs, value.size, prior)
 
     points = np.asarray(LOG_KAPPA_AXIS, dtype=float)
-    found = at(points)
+    found = at(*points)
     if not np.isfinite(found.max()):
         return points
-    for step in (0.5, 0.125, 0.03125):
-        points = points[int(found.argmax())] + step * np.arange(-4, 5)
-        found = at(points)
-    mode, top = points[int(found.argmax())], found.max()
+    mode, top = points[found.argmax()], found.max()
+    for step in (0.5, 0.125):
+        around = mode + step * np.array([-3, -2, -1, 1, 2, 3])
+        points, found = np.insert(around, 3, mode), np.insert(at(*around), 3, top)
+        mode, top = points[found.argmax()], found.max()
+    best = int(found.argmax())
+    if 0 < best < len(points) - 1 and np.isfinite(found[best - 1 : best + 2]).all():
+        left, _, right = found[best - 1 : best + 2]
+        bend = left - 2 * top + right
+        if bend < 0:
+            mode, top = mode + step * (left - right) / (2 * bend), top - (left - right) ** 2 / (8 * bend)
     ends = []
     for side in (-1, 1):
-        far = 0.125 * 2.0 ** np.arange(9)
-        out = np.flatnonzero(at(mode + side * far) < top - AXIS_FALL)
-        k = int(out[0]) if len(out) else len(far) - 1
-        near = np.linspace(far[k - 1] if k else 0.0, far[k], 9)[1:]
-        out = np.flatnonzero(at(mode + side * near) < top - AXIS_FALL)
-        ends.append(mode + side * (near[out[0]] if len(out) else near[-1]))
+        near, far = 0.0, 0.125
+        while not (low := bool(at(mode + side * far)[0] < top - AXIS_FALL)) and far < 32:
+            near, far = far, 2 * far
+        for _ in range(3 if low else 0):
+            middle = (near + far) / 2
+            near, far = (near, middle) if at(mode + side * middle)[0] < top - AXIS_FALL else (middle, far)
+        ends.append(mode + side * far)
     return np.linspace(*ends, AXIS_POINTS)
 
 
+def integration_axes(fields: DataFrame, groups: Sequence[str], prior: Prior) -> DataFrame:
+    """(groups, par, _axis): the axis of every field, found once and stored."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[*groups, "par"]].iloc[:1].copy()
+        out["_axis"] = [integration_axis(*_field(rows), prior).tolist()]
+        return out
+
+    schema = _schema(fields, [*groups, "par"], "_axis array<double>")
+    return cut_lineage(_by_field(fields, [*groups, "par"]).applyInPandas(run, schema))
+
+
 def smooth_integrated(
     est: DataFrame,
     groups: Sequence[str],
@@ -262,7 +282,8 @@ def smooth_integrated(
 
     The axis points of a field are solved and mixed in one task, so what leaves it is one row per cell instead of one per
     cell and kappa. With few large fields, ``per_task`` cuts the axis into slices of that many points that run in
-    parallel; each slice sends its mixture with its total mass, and the mixtures are merged by mass.
+    parallel; each slice sends its mixture with its total mass, and the mixtures are merged by mass. The axis of a sliced field is found
+    once, in a pass of its own, and stored.
     A field without a positive weight, or without a finite point on the axis, has null in ``smooth`` and ``smooth_var``.
     """
     groups, prior = list(groups), prior or log_gamma_prior()
@@ -270,12 +291,21 @@ def smooth_integrated(
     length = AXIS_POINTS if given is None else len(given)
     per_task = per_task or length
     starts = list(range(0, length, per_task))
+    sliced = len(starts) > 1
+    fields = est.select(*groups, *FIELD_COLUMNS)
+    if sliced and given is None:
+        fields = fields.join(integration_axes(fields, groups, prior), [*groups, "par"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         value, weight = _field(rows)
         start = starts[int(rows["_slice"].iloc[0])]
-        # every slice of a field finds the same axis
-        points = (integration_axis(value, weight, prior) if given is None else given)[start : start + per_task]
+        if given is not None:
+            points = given
+        elif sliced:
+            points = np.asarray(rows["_axis"].iloc[0], dtype=float)
+        else:
+            points = integration_axis(value, weight, prior)
+        points = points[start : start + per_task]
         found = solve(value, weight, np.exp(points))
         log_post = _log_posterior(found, points, value.size, prior)
         # round-off can let the factorisation of a field without weights through
@@ -298,10 +328,10 @@ def smooth_integrated(
         est, [*groups, "par"],
         "i int, j int, s int, value double, weight double, smooth double, smooth_var double, log_mass double",
     )
-    rows = est.select(*groups, *FIELD_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))).alias("_slice"))
+    rows = fields.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))))
     out = _by_field(rows, [*groups, "par", "_slice"]).applyInPandas(run, schema)
     out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("value", "weight", "smooth", "smooth_var")})
-    if len(starts) == 1:
+    if not sliced:
         return out.drop("log_mass")
     # merge: a cell has one row per slice, so its array is as short as the axis
     parts = out.groupBy(*groups, "par", "i", "j", "s").agg(
