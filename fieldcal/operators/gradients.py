@@ -14,11 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fieldcal.operators.spatial import OFFSETS
+from fieldcal.functions.expressions import hash_normal
+from fieldcal.operators.spatial import OFFSETS, grid_laplacian
 from fieldcal.session import cut_lineage, scratch_path
 
 TOLERANCE = 1e-10
 MOST_STEPS = 400
+#: side of the square tiles of a grid that meet the scalars of their field together
+TILE = 64
 _CARRIED = ("n_i", "n_j", "k", "d", "b", "x", "r", "p", "s", "g", "a", "u", "top", "steps")
 
 
@@ -55,9 +58,12 @@ def solve(fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE,
 
     ``fields`` holds keys, i, j, n_i, n_j, k, d, b for every cell of every field. ``residual`` is the largest entry of b - A x beside
     that of b; a field is left at ``tolerance``, or after ``most_steps`` with the residual it has reached. A field whose weights are
-    all zero has no unique solution and must not be given.
+    all zero has no unique solution and must not be given. Keys may have any names but i, j, n_i, n_j, k, d, b, x, residual and steps.
     """
     spark = fields.sparkSession
+    # the state has short names of its own
+    given_keys, keys = list(keys), [f"_key{n}" for n in range(len(keys))]
+    fields = fields.withColumnsRenamed(dict(zip(given_keys, keys)))
     zero, none = F.lit(0.0), F.lit(None).cast("double")
     state = fields.select(
         *keys, "i", "j", *[F.col(c).cast("double").alias(c) for c in ("n_i", "n_j", "k", "d", "b")],
@@ -76,19 +82,26 @@ def solve(fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE,
     if step == most_steps:
         finished = finished.unionByName(stored.where("not done"))
     return finished.select(
-        *keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", F.col("top").alias("residual"),
+        *[F.col(key).alias(name) for key, name in zip(keys, given_keys)], F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", F.col("top").alias("residual"),
         F.col("steps").cast("int").alias("steps"))
 
 
 def _step(rows: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """One step of all fields, from the rows with u and w = A u; fields at rest keep x and are ``done``."""
+    """One step of all fields, from the rows with u and w = A u; fields at rest keep x and are ``done``.
+
+    The scalars of a field go to each tile of its grid. Joined by field alone, a large field would be shuffled into one task, and stay
+    there for the scatter, as rows dealt by field count as dealt by field and cell.
+    """
+    tiles = f"cast((floor(_n_i / {TILE}) + 1) * (floor(_n_j / {TILE}) + 1) as int)"
     sums = rows.groupBy(*keys).agg(
         F.sum(F.col("r") * F.col("u")).alias("gamma"), F.sum(F.col("w") * F.col("u")).alias("delta"),
-        F.max(F.abs("r")).alias("_rest"), F.max(F.abs("b")).alias("_scale"))
+        F.max(F.abs("r")).alias("_rest"), F.max(F.abs("b")).alias("_scale"), F.max("n_i").alias("_n_i"), F.max("n_j").alias("_n_j"),
+    ).withColumn("_tile", F.expr(f"explode(sequence(0, {tiles} - 1))"))
+    rows = rows.withColumn("_tile", F.expr(f"cast(floor(i / {TILE}) * (floor(n_j / {TILE}) + 1) + floor(j / {TILE}) as int)"))
     top = "_rest / nullif(_scale, 0.0D)"
     still = f"coalesce({top} <= {tolerance!r}D, true)"
     beta = "coalesce(gamma / g, 0.0D)"
-    now = rows.join(sums, list(keys)).selectExpr(
+    now = rows.join(sums, [*keys, "_tile"]).selectExpr(
         *keys, "i", "j", "n_i", "n_j", "k", "d", "b", "x", "r", f"u + {beta} * p AS p", f"w + {beta} * s AS s", "gamma AS g",
         f"gamma / (delta - coalesce({beta} * gamma / a, 0.0D)) AS a", f"{top} AS top", "steps", f"{still} AS done")
     return now.selectExpr(
@@ -104,8 +117,9 @@ def whole_fields(est: DataFrame, kappa: dict[str, float], keys: Sequence[str]) -
     by_par = F.create_map(*[F.lit(x) for pair in kappa.items() for x in pair])
     usable = est.where("value is not null and weight > 0").select(*keys, "i", "j", "n_i", "n_j", "value", "weight")
     shapes = usable.groupBy(*keys).agg(F.max("n_i").alias("n_i"), F.max("n_j").alias("n_j"))
-    cells = shapes.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_i").cast("int")))).withColumn(
-        "j", F.explode(F.sequence(F.lit(1), F.col("n_j").cast("int"))))
+    lines = shapes.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_i").cast("int"))))
+    # dealt by line, or the join would keep a field in one task
+    cells = lines.repartition(*keys, "i").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n_j").cast("int"))))
     return cells.join(usable.drop("n_i", "n_j"), [*keys, "i", "j"], "left").select(
         *keys, "i", "j", "n_i", "n_j", F.try_element_at(by_par, F.col("par")).cast("double").alias("k"),
         F.coalesce("weight", F.lit(0.0)).alias("d"), F.coalesce("value", F.lit(0.0)).alias("y"))
@@ -118,3 +132,34 @@ def smooth(est: DataFrame, kappa: dict[str, float], keys: Sequence[str], toleran
     shown = fields.select(
         *keys, "i", "j", F.when(F.col("d") > 0, F.col("y")).alias("value"), F.when(F.col("d") > 0, F.col("d")).alias("weight"))
     return shown.join(solved.withColumnRenamed("x", "smooth"), [*keys, "i", "j"])
+
+
+def perturbed(fields: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
+    """Right sides of ``n`` posterior draws of every field: ``fields`` once per ``sample`` with b = d y + sqrt(d) z1 + sqrt(k) T z2.
+
+    T is the grid Laplacian and R = T T, so b has mean D y and covariance D + kappa R, which makes (kappa R + D)^-1 b a draw from the
+    posterior. z1 and z2 are hash normals of seed, keys, cell and sample.
+    """
+    cell = [*[F.col(c) for c in keys], F.col("i"), F.col("j"), F.col("sample")]
+    rows = fields.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumns({
+        "z1": hash_normal(seed, *cell, F.lit("value")), "z2": hash_normal(seed, *cell, F.lit("structure"))})
+    spread = grid_laplacian(rows, "z2", [*keys, "sample"], "_tz", ["n_i", "n_j", "k", "d", "y", "z1"])
+    return spread.withColumn("b", F.expr("d * y + sqrt(d) * z1 + sqrt(k) * _tz")).drop("_tz", "z1")
+
+
+def sample(
+    est: DataFrame, kappa: dict[str, float], keys: Sequence[str], n: int, seed: int, tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS
+) -> DataFrame:
+    """``n`` posterior draws of every field at fixed precisions: (keys, sample, i, j, value, residual).
+
+    All draws of all fields are one system, solved together; nothing is factorised and no field has to fit a task.
+    """
+    fields = cut_lineage(whole_fields(est, kappa, keys))
+    solved = solve(perturbed(fields, keys, n, seed), [*keys, "sample"], tolerance, most_steps)
+    return solved.select(*keys, "sample", "i", "j", F.col("x").alias("value"), "residual")
+
+
+def moments_of_draws(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Posterior mean and variance of every cell over its draws, combined on the map side."""
+    return draws.groupBy(*keys, "i", "j").agg(
+        F.count("value").alias("draws"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))

@@ -9,7 +9,7 @@ from fieldcal.operators import estimate, gradients, predict, reshape, smoothing,
 from fieldcal.operators.joins import leave_one_out
 from fieldcal.plans import fixtures as fx
 from fieldcal.plans.registry import query
-from fieldcal.plans.sql_views import KAPPA, SAMPLES, TOLERANCE, laplacian_sql, normal_sql
+from fieldcal.plans.sql_views import DRAW_SEED, DRAW_TOLERANCE, DRAWS, KAPPA, SAMPLES, TOLERANCE, laplacian_sql, normal_sql
 from fieldcal.session import cut_lineage, scratch_path
 
 CELL_LEAD = ["long", "lat", "lead_time"]
@@ -48,21 +48,37 @@ def converged(daily, grid):
 _kept = {}
 
 
-def cv_smoothed(spark, sf_dir):
-    """Cross-validated parameters on converged smoothing. The table is stored once a session and folder; all scores start from it."""
-    where = (spark.sparkContext.applicationId, sf_dir)
+def kept(spark, sf_dir, name, make):
+    """A table that several queries start from, stored once a session and folder."""
+    where = (spark.sparkContext.applicationId, sf_dir, name)
     if where in _kept:
         try:
             return spark.read.parquet(_kept[where])
         except AnalysisException:  # the owner of the shared folder has cleared it
             pass
-    daily = daily_columns(spark, sf_dir)
-    grid = grid_of(daily)
-    _kept[where] = scratch_path(spark, "cv")
-    smoothing.cv_table(converged(daily, grid), grid, FOLD_LEAD).write.parquet(_kept[where])
+    _kept[where] = scratch_path(spark, name)
+    make().write.parquet(_kept[where])
     return spark.read.parquet(_kept[where])
 
 
+def cv_smoothed(spark, sf_dir):
+    """Cross-validated parameters on converged smoothing; all scores start from it."""
+    def make():
+        daily = daily_columns(spark, sf_dir)
+        grid = grid_of(daily)
+        return smoothing.cv_table(converged(daily, grid), grid, FOLD_LEAD)
+    return kept(spark, sf_dir, "cv", make)
+
+
+def weekly_draws(spark, sf_dir):
+    """Posterior draws of the week-3 fields, all solved together."""
+    def make():
+        weekly = weekly_columns(spark, sf_dir)
+        est = smoothing.estimates_on_grid(estimate.mle(weekly, ["long", "lat"], z="fcst_anom"), grid_of(weekly), [])
+        return gradients.sample(est, KAPPA, ["par"], DRAWS, DRAW_SEED, DRAW_TOLERANCE)
+    return kept(spark, sf_dir, "draws", make)
+
+
 def weekly_inputs(spark, sf_dir):
     """Week-3 fields, cell moments and hyperprior rates."""
     weekly = weekly_columns(spark, sf_dir)
@@ -238,6 +254,16 @@ def _(spark, sf_dir):
     return smoothing.sample_fields(est, draws, [], 7)
 
 
+@query("sample_fields_cg", "SELECT par, sample, i, j, r6(round(value, 4)) AS value FROM fx_drawn")
+def _(spark, sf_dir):
+    return weekly_draws(spark, sf_dir).select("par", "sample", "i", "j", F.round("value", 4).alias("value"))
+
+
+@query("posterior_moments_cg", "SELECT par, i, j, count(value) AS draws, r6(avg(value)) AS mean, r6(var_samp(value)) AS var FROM fx_drawn GROUP BY par, i, j")
+def _(spark, sf_dir):
+    return gradients.moments_of_draws(weekly_draws(spark, sf_dir), ["par"])
+
+
 # ---- draws and ensembles ----
 
 

@@ -210,6 +210,29 @@ def normal_sql(*keys: str) -> str:
 
 SAMPLES = 20
 
+# ---- posterior draws: perturbed right sides, solved together ----
+
+DRAWS = 500
+DRAW_SEED = 7
+DRAW_TOLERANCE = 1e-12
+
+view("fx_est3w", " UNION ALL ".join(
+    f"SELECT '{p}' AS par, long, lat, {p}_hat AS y, 1.0::DOUBLE / var_{p}_hat AS d, {k}::DOUBLE AS k FROM fx_mle3w WHERE {p}_hat IS NOT NULL AND var_{p}_hat > 0"
+    for p, k in KAPPA.items()))
+view("fx_perturbed", f"""
+SELECT f, par, sample, i, j, n_i, n_j, k, d, d * y + sqrt(d) * z1 + sqrt(k) * ({laplacian_by_windows("z2")}) AS b
+FROM (
+  SELECT struct_pack(par := q.par, sample := sample) AS f, q.par, sample, g.i, g.j, n_i, n_j, q.k, coalesce(e.d, 0) AS d, coalesce(e.y, 0) AS y,
+    {normal_sql(str(DRAW_SEED), "q.par", "g.i", "g.j", "sample", "'value'")} AS z1,
+    {normal_sql(str(DRAW_SEED), "q.par", "g.i", "g.j", "sample", "'structure'")} AS z2
+  FROM (SELECT par, max(k) AS k FROM fx_est3w GROUP BY par) q
+  CROSS JOIN (SELECT *, max(i) OVER () AS n_i, max(j) OVER () AS n_j FROM fx_grid) g
+  CROSS JOIN (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INT) AS sample) n
+  LEFT JOIN fx_est3w e ON e.par = q.par AND e.long = g.long AND e.lat = g.lat) c
+WINDOW by_i AS (PARTITION BY f, j ORDER BY i), by_j AS (PARTITION BY f, i ORDER BY j)
+""")
+view("fx_drawn", f"SELECT f.par AS par, f.sample AS sample, i, j, x AS value FROM ({gradients_sql('fx_perturbed', DRAW_TOLERANCE)}) v")
+
 view("fx_train3w", "SELECT f.fold, d.* FROM fx_3w d JOIN fx_folds f ON d.year <> f.fold")
 view("fx_loo3w", mle_sql("fx_train3w", "j, i, long, lat, fold"))
 view("fx_draws_long", " UNION ALL ".join(
