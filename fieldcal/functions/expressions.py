@@ -114,6 +114,13 @@ def hash_normal(seed: Column | int, *keys: Column) -> Column:
     return radius * F.cos(F.lit(2 * math.pi) * u2 / F.lit(4294967296.0))
 
 
+def hash_uniform(seed: Column | int, *keys: Column) -> Column:
+    """Uniform draw strictly between 0 and 1 that depends only on the seed and the keys."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    digest = F.md5(F.concat_ws("|", seed.cast("string"), *[k.cast("string") for k in keys]))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(4294967296.0)
+
+
 def step_bin(value: Column, lo: float, hi: float, steps: int) -> Column:
     """Index 0..steps-1 of the equal step holding the value; null outside [lo, hi]."""
     width = (hi - lo) / steps

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcal.functions.expressions import hash_normal
+from fieldcal.functions.expressions import hash_normal, hash_uniform
 from fieldcal.operators.joins import join_unique, leave_one_out
 from fieldcal.operators.reshape import PARAMETERS
 
@@ -61,6 +61,29 @@ def sample_log_kappa(normals: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.select(*keys, "sample", *[c.alias(name) for name, c in draw.items()])
 
 
+def sample_from_grid(
+    points: DataFrame, groups: Sequence[str], values: Sequence[str], n: int, seed: int, log_density: str = "log_post"
+) -> DataFrame:
+    """``n`` draws for each group from a log density evaluated on a grid, by inverse transform: (groups, sample, values).
+
+    Points in the order of ``values`` carry their cumulative share of the group's mass; a draw is the first point whose share reaches a
+    hash uniform. Draws and points are sorted together, so no pairs are formed; a group holds its grid and its draws. The density need
+    not be normalised; a point without a finite one has no mass, a group without any such point has no draws.
+    """
+    group = Window.partitionBy(*groups)
+    usable = points.where(f"{log_density} > double('-infinity') and {log_density} < double('infinity')")
+    mass = usable.withColumn("_mass", F.exp(F.col(log_density) - F.max(log_density).over(group)))
+    upto = F.sum("_mass").over(group.orderBy(*values).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_mass").over(group)
+    marks = mass.select(*groups, upto.alias("_at"), F.lit(None).cast("int").alias("sample"), F.struct(*values).alias("_point"))
+    names = usable.select(*groups).distinct() if groups else usable.limit(1).select()
+    asked = names.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    asked = asked.withColumn("_at", hash_uniform(seed, *[F.col(c) for c in groups], F.col("sample"), F.lit("uniform")))
+    both = marks.unionByName(asked.withColumn("_point", F.lit(None)))
+    ahead = group.orderBy("_at", F.col("sample").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("_point", F.first("_point", ignorenulls=True).over(ahead)).where("sample is not null")
+    return found.select(*groups, "sample", *[F.col("_point")[v].alias(v) for v in values])
+
+
 def sample_mle(fields: DataFrame, keys: Sequence[str], n: int, seed: str | int) -> DataFrame:
     """``n`` normal draws around each estimate: (keys, par, sample, value).
 

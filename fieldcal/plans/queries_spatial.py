@@ -9,7 +9,7 @@ from fieldcal.operators import estimate, gradients, predict, reshape, smoothing,
 from fieldcal.operators.joins import leave_one_out
 from fieldcal.plans import fixtures as fx
 from fieldcal.plans.registry import query
-from fieldcal.plans.sql_views import DRAW_SEED, DRAW_TOLERANCE, DRAWS, KAPPA, SAMPLES, TOLERANCE, laplacian_sql, normal_sql
+from fieldcal.plans.sql_views import DRAW_SEED, DRAW_TOLERANCE, DRAWS, KAPPA, SAMPLES, TOLERANCE, laplacian_sql, normal_sql, uniform_sql
 from fieldcal.session import cut_lineage, scratch_path
 
 CELL_LEAD = ["long", "lat", "lead_time"]
@@ -160,6 +160,30 @@ def _(spark, sf_dir):
         *[smoothing.log_hyperprior(F.col("log_kappa"), smoothing.hyper_lambda(F.col("var"), k), k).alias(k) for k in kinds])
 
 
+HALF_NORMAL = " UNION ALL ".join(f"""
+SELECT lead_time, '{p}' AS par, log_kappa, -1.0 * (var_samp({p}_hat) * {_Q}) ** 2 / 2.0 * exp(2.0 * log_kappa) AS log_density
+FROM fx_mle CROSS JOIN (SELECT CAST(unnest(range(-10, 21)) AS DOUBLE) AS log_kappa) x GROUP BY lead_time, log_kappa""" for p in KAPPA)
+
+
+@query("sample_kappa_prior", f"""
+SELECT lead_time, par, sample, min(log_kappa) AS log_kappa
+FROM (SELECT lead_time, par, log_kappa, sum(exp(log_density)) OVER w / sum(exp(log_density)) OVER (PARTITION BY lead_time, par) AS share
+  FROM ({HALF_NORMAL}) p WINDOW w AS (PARTITION BY lead_time, par ORDER BY log_kappa)) c
+JOIN (SELECT lead_time, par, sample, {uniform_sql('11', 'lead_time', 'par', 'sample', "'uniform'")} AS u
+  FROM (SELECT DISTINCT lead_time, par FROM ({HALF_NORMAL}) q) g
+  CROSS JOIN (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INT) AS sample) n) d USING (lead_time, par)
+WHERE share >= u GROUP BY lead_time, par, sample
+""")
+def _(spark, sf_dir):
+    """Draws of each log precision from its half-normal hyperprior on an even axis."""
+    variance = smoothing.parameter_variance(estimate.mle(daily_columns(spark, sf_dir), CELL_LEAD), ["lead_time"])
+    rows = variance.unpivot(["lead_time"], [f"var_{p}" for p in KAPPA], "name", "var")
+    rows = rows.withColumn("log_kappa", F.explode(F.array(*[F.lit(float(k)) for k in range(-10, 21)])))
+    density = smoothing.log_hyperprior(F.col("log_kappa"), smoothing.hyper_lambda(F.col("var"), "half_normal"), "half_normal")
+    points = cut_lineage(rows.select("lead_time", F.regexp_replace("name", "^var_", "").alias("par"), "log_kappa", density.alias("log_density")))
+    return predict.sample_from_grid(points, ["lead_time", "par"], ["log_kappa"], DRAWS, 11, "log_density")
+
+
 # ---- smoothing ----
 
 
@@ -230,6 +254,15 @@ def _(spark, sf_dir):
     return smoothing.kappa_log_posterior(est, moments, smoothing.kappa_axis(spark), [], "exploratory", lam)
 
 
+@query("sample_kappa_grid")
+def _(spark, sf_dir):
+    """Draws of the three log precisions from their evaluated joint posterior."""
+    est, moments, estimates = weekly_inputs(spark, sf_dir)
+    lam = smoothing.lambda_table(estimates, "half_normal")
+    points = cut_lineage(smoothing.kappa_log_posterior(est, moments, smoothing.kappa_axis(spark), [], "half_normal", lam))
+    return predict.sample_from_grid(points, [], [f"lk_{p}" for p in KAPPA], DRAWS, 11)
+
+
 def _mode(spark, sf_dir):
     est, moments, estimates = weekly_inputs(spark, sf_dir)
     lam = smoothing.lambda_table(estimates, "half_normal")

@@ -210,6 +210,11 @@ def normal_sql(*keys: str) -> str:
 
 SAMPLES = 20
 
+def uniform_sql(*keys: str) -> str:
+    text = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"((CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
+
+
 # ---- posterior draws: perturbed right sides, solved together ----
 
 DRAWS = 500
