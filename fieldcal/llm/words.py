@@ -92,14 +92,17 @@ class PieceEncoder:
     A single space or line feed between two characters that are not white space starts a new pre-token in these tokenizers, so the ids
     of a text are those of its pieces, each with the white space before it. A text in which a piece is empty or begins or ends with
     (other) white space is encoded in one go. ``keep`` bounds the pieces remembered between batches, not what is encoded: when it is
-    passed, pieces seen in one batch only are forgotten.
+    passed, pieces seen in one batch only are forgotten. Added tokens of the vocabulary, as ``<|endoftext|>``, are found as the library
+    does by default: a text that may hold one is encoded in one go.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: what is before the first letter of an added token, which no normaliser changes, or else all of it
+        self.marks = sorted({re.match(r"[^\w\s]*", t)[0] or t for t in added})
         self._tokenize = self.tokenizer.model.tokenize
         self.keep = keep
         self.known: dict[str, int] = {}
@@ -190,7 +193,11 @@ class PieceEncoder:
         self.hits[rows] += 1
         starts, sizes = self.starts[rows][index], self.sizes[rows][index]
         firsts = bounds[:-1]
-        whole = np.flatnonzero(np.add.reduceat(self.odd[rows][index], firsts, dtype=np.int64))
+        apart = np.add.reduceat(self.odd[rows][index], firsts, dtype=np.int64) > 0
+        for mark in self.marks:
+            found = pc.match_substring(texts, mark, ignore_case=mark.lower() != mark.upper())
+            apart |= found.to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(apart)
         # the first piece has no space before it; a text with an odd piece is encoded as a whole in its place
         for i in whole:
             sizes[firsts[i] : bounds[i + 1]] = 0

@@ -69,8 +69,8 @@ def test_fair_queue_edges(docs, nothing):
 def test_piece_encoder(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [t or "" for t in TEXTS] + ["<|endoftext|> x", "a\nb\n", "É.\nÀ,\nstraße's", "\x1c a", " lead", "trail \n"]
+    texts = [t or "" for t in TEXTS] + [
+        "<|endoftext|> x", "abc <|endoftext|> def", "a<|ENDOFTEXT|>b <|StartOfText|>", "x <| endoftext|> <|", "<|endoftext|><|endoftext|>\ny", "a\nb\n", "É.\nÀ,\nstraße's", "\x1c a", " lead", "trail \n"]
     encoder = words.PieceEncoder(path, keep=10)
     for _ in range(2):
         ids, bounds = encoder.encode(pa.array(texts, pa.large_string()))
