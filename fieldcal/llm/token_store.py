@@ -64,12 +64,14 @@ def _encode(path: str, end_id: int):
             if len(seen) > len(counts):
                 counts = np.pad(counts, (0, len(seen) - len(counts)))
             counts[: len(seen)] += seen
-            raw = [np.append(ids[a:b], np.uint32(end_id)).astype("<u4") for a, b in zip(bounds, bounds[1:])]
+            ended, ends = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
             # two bytes are enough for most vocabularies; the width is told by the length
-            blobs = [(x.astype("<u2") if x.max() <= 0xFFFF else x).tobytes() for x in raw]
+            ended = ended.astype("<u4" if ended.max(initial=0) > 0xFFFF else "<u2")
+            blobs = pa.Array.from_buffers(
+                pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * ended.itemsize).astype(np.int32)), pa.py_buffer(ended)])
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array([len(x) for x in raw], pa.int64()),
-                "ids": pa.array(blobs, pa.binary()), "token": pa.nulls(len(raw), pa.int64()), "n": pa.nulls(len(raw), pa.int64()),
+                "doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                "ids": blobs, "token": pa.nulls(len(blobs), pa.int64()), "n": pa.nulls(len(blobs), pa.int64()),
             })
         token = np.flatnonzero(counts)
         yield pa.record_batch({
