@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.llm.components import components
-from fieldcal.llm.words import ranges, slices, texts_of, words_of
+from fieldcal.llm.words import ranges, release, slices, texts_of, words_of
 from fieldcal.session import cut_lineage
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ SEED = 0x5EED
 LEADERS, GROWTH = 32, 16
 #: a tile has about so many leaders and members at most, or so many bytes of shingles of each (or a single longer text)
 TILE, TILE_BYTES = 512, 4 << 20
+#: text whose shingles a task holds at a time; a word takes about a dozen 8-byte numbers meanwhile
+SLICE = 1 << 20
 #: a pair with fewer equal registers than this share is not compared exactly; with 128 registers a pair at 0.8 falls below it with probability
 #: 8e-8, of the order of the 5e-8 with which it shares no band
 FLOOR = 0.6
@@ -120,7 +122,8 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 def _sign(bands: int):
     def run(batches):
-        for batch in slices(batches):
+        release()
+        for batch in slices(batches, limit=SLICE):
             n = batch.num_rows
             doc, value, weight = shingles(texts_of(batch))
             table = signatures(n, doc, value, weight) if len(doc) else np.full((n, REGISTERS), np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -142,7 +145,7 @@ def _sign(bands: int):
 def _verify(threshold: float):
     def run(batches):
         for batch in batches:
-            for part in slices([batch], "text_a"):
+            for part in slices([batch], "text_a", SLICE):
                 # a leader's text comes many times
                 both = pa.concat_arrays([texts_of(part, "text_a"), texts_of(part, "text_b")]).dictionary_encode()
                 doc, value, weight = shingles(both.dictionary)
@@ -175,7 +178,8 @@ def _linked(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: fl
 
 def _sets(batches):
     """Shingles of each text as 64-bit numbers in ascending order, each as often as it occurs."""
-    for batch in slices(batches):
+    release()
+    for batch in slices(batches, limit=SLICE):
         doc, value, weight = shingles(texts_of(batch))
         at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         yield pa.record_batch({

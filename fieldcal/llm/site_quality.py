@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcal.llm.words import slices, texts_of, words_of
+from fieldcal.llm.words import release, slices, texts_of, words_of
 from fieldcal.session import cut_lineage
 
 SAMPLE = 8000
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
 
 def _score(model):
     def run(batches):
+        release()
         m = model.value
         for batch in slices(batches):
             x, index, distinct, bounds = shape_features(texts_of(batch))

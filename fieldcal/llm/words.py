@@ -222,6 +222,13 @@ def _odd(piece: str) -> bool:
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def release() -> None:
+    """Drop what earlier tasks of this Python worker kept: workers are reused, and an operator that does not encode should not hold the
+    pieces another one learned. Freed buffers go back to the system."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder per Python worker and vocabulary file."""
     if path not in _encoders:

@@ -385,3 +385,14 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == docs.columns, name
     pieces = corpus_pipeline.run(spark, sf_dir)
     assert pieces.count() > 0 and pieces.agg({"length": "max"}).first()[0] <= 1024
+
+
+def test_slices_and_kept_pieces_do_not_change_signatures(monkeypatch):
+    texts = [f"a{k} b c d e f g h i{k % 3} " * (k % 7) for k in range(200)] + [None, ""]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    whole = pa.Table.from_batches(probminhash._sign(probminhash.BANDS)([batch]))
+    words.encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(words.texts_of(batch))
+    monkeypatch.setattr(probminhash, "SLICE", 100)
+    cut = pa.Table.from_batches(probminhash._sign(probminhash.BANDS)([batch]))
+    assert cut.equals(whole)
+    assert not words._encoders
