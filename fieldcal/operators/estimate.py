@@ -168,7 +168,17 @@ def loo_mle(
     if method != "downdate":
         raise ValueError("method must be downdate or join")
 
-    per_fold = complete_pairs(hindcast, "obs", z).groupBy(*keys, fold).agg(
+    labels = F.array(*[F.lit(f) for f in folds]) if folds is not None else fold_values(hindcast, fold)
+    return loo_from_moments(fold_moments(hindcast, keys, fold, z), keys, fold, labels, folds is not None)
+
+
+def fold_moments(df: DataFrame, keys: Sequence[str], fold: str = "year", z: str = "fcst") -> DataFrame:
+    """One moment row per group and fold: count k, means my and mz, population moments cyy, czz and cyz of the rows with both values.
+
+    The rows of different folds merge into those of their union (``merged_moments``) and can be taken out of it again
+    (``loo_from_moments``), so they can be kept in place of the hindcast. A fold without a complete pair has no row.
+    """
+    return complete_pairs(df, "obs", z).groupBy(*keys, fold).agg(
         F.count("obs").alias("k"),
         F.avg("obs").alias("my"),
         F.avg(z).alias("mz"),
@@ -176,8 +186,47 @@ def loo_mle(
         F.var_pop(z).alias("czz"),
         F.covar_pop("obs", z).alias("cyz"),
     ).filter("k > 0")  # a fold without a complete pair takes nothing away
-    labels = F.array(*[F.lit(f) for f in folds]) if folds is not None else fold_values(hindcast, fold)
 
+
+def merged_moments(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Moment rows of ``keys`` (as ``fold_moments``) from those of finer groups: folds, or folds and lead times.
+
+    A group holds one row per finer group (a few for each fold, however many rows of the hindcast they stand for), so it is gathered
+    and every mean is set against the merged one before it is squared: large means cost no digits, and there is one shuffle.
+    """
+    mean = lambda c: F.expr(f"sum(k * {c}) / sum(k)").alias(c)
+    parts = F.collect_list(F.struct(F.col("k").alias("pk"), *[F.col(c).alias(f"p{c}") for c in ("my", "mz", "cyy", "czz", "cyz")]))
+    held = state.groupBy(*keys).agg(F.sum("k").alias("k"), mean("my"), mean("mz"), parts.alias("parts"))
+    shifted = {"cyy": "(p.pmy - my) * (p.pmy - my)", "czz": "(p.pmz - mz) * (p.pmz - mz)", "cyz": "(p.pmy - my) * (p.pmz - mz)"}
+    return held.selectExpr(*keys, "k", "my", "mz", *[
+        f"aggregate(parts, 0.0D, (total, p) -> total + p.pk * (p.p{c} + {shift})) / k AS {c}" for c, shift in shifted.items()])
+
+
+def mle_from_moments(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``mle`` per group from kept moment rows."""
+    merged = merged_moments(state, keys).withColumnsRenamed({"k": "n", "my": "ybar", "cyy": "vyy", "czz": "vzz", "cyz": "vyz"})
+    return _with_estimates(merged).select(*keys, *ESTIMATES)
+
+
+def mos_from_moments(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``mos_coefficients`` per group from kept moment rows."""
+    k = F.col("k")
+    m = merged_moments(state, keys).withColumns({"sxx": k * F.col("czz"), "sxy": k * F.col("cyz"), "_syy": k * F.col("cyy")})
+    rest = F.col("_syy") - F.col("sxy") * F.col("sxy") / nonzero(F.col("sxx"))
+    return m.select(
+        *keys, F.col("my").alias("ybar"), F.col("mz").alias("xbar"), "sxx", "sxy", F.col("my").alias("beta0_hat"),
+        (F.col("sxy") / nonzero(F.col("sxx"))).alias("beta1_hat"), F.sqrt(F.greatest(rest, F.lit(0.0)) / nonzero(k)).alias("sigma_hat"),
+    )
+
+
+def loo_from_moments(
+    per_fold: DataFrame, keys: Sequence[str], fold: str = "year", labels: Column | None = None, only_labels: bool = False,
+) -> DataFrame:
+    """``loo_mle`` by subtraction from moment rows per group and fold. ``labels`` is an array of folds (by default those in the rows);
+    with ``only_labels`` other folds train but are not left out."""
+    keys = list(keys)
+    if labels is None:
+        labels = fold_values(per_fold, fold)
     totals = per_fold.groupBy(*keys).agg(
         F.expr("sum(k) AS n_all"),
         F.expr("sum(k * my) / sum(k) AS ybar_all"),
@@ -199,7 +248,7 @@ def loo_mle(
     sums = {c: f"aggregate(entries, 0.0D, (acc, e) -> acc + e.{c})" for c in ("tyy", "tzz", "tyz")}
     rows = entries.selectExpr(*keys, "n_all", "ybar_all", "labels", "entries", *[f"{e} AS all_{c}" for c, e in sums.items()])
     rows = rows.selectExpr(*[c for c in rows.columns if c != "entries"], "inline(entries)")
-    if folds is not None:
+    if only_labels:
         rows = rows.filter(F.array_contains("labels", F.col(fold)))
     own = {c: F.col(c) for c in ("k", "sy", "sz", "tyy", "tzz", "tyz")}
     rows = rows.withColumn("n", F.col("n_all") - own["k"]).filter("n > 0")

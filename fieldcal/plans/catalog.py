@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldcal.plans import queries_estimates, queries_scores, queries_spatial, queries_tables, sql_views  # noqa: F401
+from fieldcal.plans import queries_estimates, queries_scores, queries_spatial, queries_storage, queries_tables, sql_views  # noqa: F401
 from fieldcal.plans.registry import ORACLES, QUERIES, Query, complete_sql
 
 

@@ -167,3 +167,13 @@ def hindcast_3w(spark: SparkSession, sf_dir: str) -> DataFrame:
         hindcast_control(spark, sf_dir).transform(filter_lead_week(3)), [*KEYS, "year"], "obs", "fcst"
     )
     return anomaly(weekly, KEYS, bounded=True, fcst_anom="fcst")
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rows with planted faults: longitudes out of range, missing latitudes, repeated rows."""
+    misplaced = daily(spark, sf_dir).select(
+        F.when((F.col("j") + F.col("i") + F.col("year")) % 11 == 0, F.col("long") + 400).otherwise(F.col("long")).alias("long"),
+        F.when(~((F.col("i") == 2) & (F.col("year") == 1999) & (F.col("lead_time") == 12)), F.col("lat")).alias("lat"),
+        "year", "lead_time", "obs", "fcst")
+    misplaced = cut_lineage(misplaced)
+    return misplaced.unionByName(misplaced.where("lead_time = 9 and year % 3 = 0"))

@@ -265,3 +265,13 @@ FROM fx_params_{_method} p JOIN fx_z3w z ON p.i = z.i AND p.j = z.j AND p.fold =
 SELECT year, long, lat, avg(y_{_method}) AS y_{_method}_bar, max(y) AS obs,
   (avg(y_{_method}) - max(y)) ** 2 AS sqerr_{_method} FROM fx_ens_{_method} GROUP BY year, long, lat
 """)
+
+#: coordinates out of range, missing latitudes and repeated rows, planted
+view("fx_misplaced", """
+SELECT CASE WHEN (j + i + year) % 11 = 0 THEN long + 400 ELSE long END AS long,
+  CASE WHEN i = 2 AND year = 1999 AND lead_time = 12 THEN NULL ELSE lat END AS lat, year, lead_time, obs, fcst FROM fx_daily
+""")
+
+view("fx_faulty", "SELECT * FROM fx_misplaced UNION ALL SELECT * FROM fx_misplaced WHERE lead_time = 9 AND year % 3 = 0")
+
+view("fx_valid", "SELECT * FROM fx_faulty WHERE long BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90")
