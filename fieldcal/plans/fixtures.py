@@ -177,3 +177,9 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
         "year", "lead_time", "obs", "fcst")
     misplaced = cut_lineage(misplaced)
     return misplaced.unionByName(misplaced.where("lead_time = 9 and year % 3 = 0"))
+
+
+def worldwide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily forecasts on a grid over the globe, so that every region keeps some rows and leaves others."""
+    return daily(spark, sf_dir).select(
+        (F.lit(-157.5) + F.lit(45) * F.col("j")).alias("long"), (F.lit(-70.0) + F.lit(28) * F.col("i")).alias("lat"), "year", "lead_time", "fcst")

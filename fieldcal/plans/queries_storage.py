@@ -10,6 +10,7 @@ from fieldcal.plans.registry import ORACLES, query
 from fieldcal.session import cut_lineage, scratch_path
 from fieldcal.sources import tables
 from fieldcal.sources.checked import ScanChecks
+from fieldcal.sources.clustered import read_region, write_clustered
 from fieldcal.sources.colocated import CellTables, join_stored
 from fieldcal.sources.increments import YearStore
 
@@ -118,3 +119,22 @@ def _(spark, sf_dir):
         stored = store.store(fx.daily(spark, sf_dir).select(*CELL_LEAD, "year", "obs", "fcst"), sort=["lead_time", "year"])
         found = estimate.loo_mle(stored, ["cell", "long", "lat", "lead_time"])
         return cut_lineage(found.drop("cell"))
+
+
+# ---- layout for regions ----
+
+BOXES = {"africa": filters.REGIONS["africa"], "se_asia": filters.REGIONS["se_asia"], "europe": filters.REGIONS["europe"],
+         "edge": (112.5, 180.0, -90.0, -42.0), "nowhere": (0.0, 20.0, 0.0, 10.0)}
+
+
+@query("scan_clustered_regions", " UNION ALL ".join(
+    f"SELECT '{name}' AS region, long, lat, year, lead_time, r6(fcst) AS fcst FROM fx_global "
+    f"WHERE long BETWEEN {west} AND {east} AND lat BETWEEN {south} AND {north}" for name, (west, east, south, north) in BOXES.items()))
+def _(spark, sf_dir):
+    path = scratch_path(spark, "clustered")
+    write_clustered(fx.worldwide(spark, sf_dir), path, ["year", "lead_time"])
+    found = None
+    for name, box in BOXES.items():
+        rows = read_region(spark, path, box).select(F.lit(name).alias("region"), "long", "lat", "year", "lead_time", "fcst")
+        found = rows if found is None else found.unionByName(rows)
+    return found

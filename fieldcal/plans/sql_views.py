@@ -275,3 +275,5 @@ SELECT CASE WHEN (j + i + year) % 11 = 0 THEN long + 400 ELSE long END AS long,
 view("fx_faulty", "SELECT * FROM fx_misplaced UNION ALL SELECT * FROM fx_misplaced WHERE lead_time = 9 AND year % 3 = 0")
 
 view("fx_valid", "SELECT * FROM fx_faulty WHERE long BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90")
+
+view("fx_global", "SELECT CAST(-157.5 + 45 * j AS DOUBLE) AS long, CAST(-70 + 28 * i AS DOUBLE) AS lat, year, lead_time, fcst FROM fx_daily")

@@ -1,13 +1,17 @@
 """Checks in the scan, ingest by year, kept moments, tables stored by cell."""
 
 import math
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from fieldcal.operators import estimate
 from fieldcal.session import scratch_path
+from fieldcal.operators.filters import REGIONS
 from fieldcal.sources.checked import ScanChecks
+from fieldcal.sources.clustered import read_region, write_clustered, z_key, zones_of
 from fieldcal.sources.colocated import CellTables, cell_key, join_stored
 from fieldcal.sources.increments import YearStore, fingerprints
 from tests.test_tables import plan_of
@@ -132,3 +136,53 @@ def test_stored_tables_meet_without_a_shuffle(spark, hindcast):
 def test_cell_keys_differ(spark):
     cells = spark.sql("SELECT a / 4 AS long, b / 4 AS lat FROM (SELECT explode(sequence(-720, 720)) a), (SELECT explode(sequence(-360, 360)) b)")
     assert cells.select(cell_key(F.col("long"), F.col("lat"))).distinct().count() == 1441 * 721
+
+
+def _globe(spark):
+    return spark.sql("SELECT a * 1.5 AS long, b * 1.5 AS lat, c AS year FROM (SELECT explode(sequence(-120, 120)) a), "
+                     "(SELECT explode(sequence(-60, 60)) b), (SELECT explode(sequence(1, 3)) c)").selectExpr(
+        "CAST(long AS double) AS long", "CAST(lat AS double) AS lat", "year")
+
+
+@pytest.fixture(scope="module")
+def globe(spark):
+    path = scratch_path(spark, "clustered")
+    write_clustered(_globe(spark), path, ["year"])
+    return path
+
+
+@pytest.mark.parametrize("region", ["uk", "europe", (-180.0, 180.0, -90.0, 90.0), (178.0, 180.0, 88.0, 90.0), (11.25, 11.25, 0.0, 0.0)])
+def test_a_box_reads_its_zones_only(spark, globe, region):
+    path = globe
+    box = REGIONS[region] if isinstance(region, str) else region
+    west, east, south, north = box
+    rows = read_region(spark, path, region)
+    expected = _globe(spark).where(F.col("long").between(west, east) & F.col("lat").between(south, north))
+    assert rows.exceptAll(expected).count() == expected.exceptAll(rows).count() == 0
+    read = {r[0] for r in spark.read.parquet(path).where(F.col("zone").isin(zones_of(box))).select(F.input_file_name()).distinct().collect()}
+    files = list(Path(path).rglob("*.parquet"))
+    assert len(read) <= len(files) and (region != "uk" or len(read) < len(files) / 20)
+    assert "PartitionFilters: [zone" in plan_of(rows).replace("isnotnull(zone", "zone")
+    assert "GreaterThanOrEqual(lat" in plan_of(rows)
+
+
+def test_rows_without_a_place_and_out_of_range(spark):
+    rows = [(None, 1.0), (math.nan, 1.0), (200.0, 95.0), (180.0, 90.0), (-180.0, -90.0), (3.0, None)]
+    df = spark.createDataFrame(rows, "long double, lat double")
+    path = scratch_path(spark, "clustered")
+    write_clustered(df, path)
+    assert spark.read.parquet(path).count() == 6
+    assert {tuple(r) for r in read_region(spark, path, (-180.0, 180.0, -90.0, 90.0)).collect()} == {(180.0, 90.0), (-180.0, -90.0)}
+
+
+def test_row_groups_are_compact(globe):
+    """Rows sorted by the key: a file's coordinates span far less than the table's."""
+    for file in Path(globe).rglob("*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        bounds = [group.column(k).statistics for k in range(group.num_columns) if group.column(k).path_in_schema == "long"]
+        assert bounds[0].max - bounds[0].min <= 11.25
+
+
+def test_keys_interleave(spark):
+    df = spark.createDataFrame([(-180.0, -90.0), (0.0, -90.0), (-180.0, 0.0), (179.9, 89.9)], "long double, lat double")
+    assert [r[0] for r in df.select(z_key(F.col("long"), F.col("lat"), 1)).collect()] == [0, 1, 2, 3]
