@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldcal.llm.columns import apart
 from fieldcal.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,6 +144,10 @@ def _last_turn(queue: DataFrame, repeats: int) -> Column | None:
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """The mixed corpus: each document as many times as the queue takes it, with the columns of ``docs``."""
+    return apart(docs, lambda rows: _mixed_rows(rows, weights, repeats, seed))
+
+
+def _mixed_rows(docs: DataFrame, weights, repeats: int, seed: str) -> DataFrame:
     names = docs.columns
     queue = fair_queue(docs, weights, repeats, seed).select(
         F.col("doc_id").alias("__q_id"), F.col("source").alias("__q_source"), F.col("digest").alias("__q_digest"),

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldcal.llm.columns import apart
 from fieldcal.llm.words import slices, texts_of
 from fieldcal.session import cut_lineage
 
@@ -86,7 +87,12 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated chunks, with ``line_spans`` (removed runs of lines, null where nothing was removed)."""
+    """``docs`` without the repeated chunks, with ``line_spans`` (removed runs of lines, null where nothing was removed), which takes the
+    place of a given column of that name."""
+    return apart(docs, _without_repeated)
+
+
+def _without_repeated(docs: DataFrame) -> DataFrame:
     spans = removed_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin"), F.col("spans").alias("line_spans"))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__twin"))
     joined = docs.join(spans, match, "left").drop("__id", "__twin")

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldcal.llm.columns import apart
 from fieldcal.llm.components import components
 from fieldcal.llm.words import ranges, release, slices, texts_of, words_of
 from fieldcal.session import cut_lineage
@@ -345,4 +346,4 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     classes = near_classes(docs, threshold)
     dropped = cut_lineage(classes.groupBy("doc_id").agg(F.min("class_id").alias("__class")).where("doc_id != __class").select(
         F.col("doc_id").alias("__id")))
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    return apart(docs, lambda rows: rows.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldcal.llm.columns import apart
 from fieldcal.llm.words import release, slices, texts_of, words_of
 from fieldcal.session import cut_lineage
 
@@ -195,7 +196,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
-    return judge(docs, labels).where(F.col("__unfit") < REJECT).select(*docs.columns)
+    return apart(docs, lambda rows: judge(rows, labels).where(F.col("__unfit") < REJECT).select(*rows.columns))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldcal.llm import (
@@ -396,3 +397,23 @@ def test_slices_and_kept_pieces_do_not_change_signatures(monkeypatch):
     cut = pa.Table.from_batches(probminhash._sign(probminhash.BANDS)([batch]))
     assert cut.equals(whole)
     assert not words._encoders
+
+
+CLASHING = ["host_rate", "path_rate", "global_rate", "__evidence", "__unfit", "s_source", "line_spans", "__id", "__kept", "__twin",
+            "__digest", "__turn", "__q_id", "__class", "class_id", "rep", "size", "ticket", "Host_Rate2", "__extra_0"]
+
+
+def test_extra_columns_may_have_any_name(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    crowded = plain.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in CLASHING])
+    for stage in (
+        lambda rows: site_quality.filter_documents(rows, labels), line_chunks.remove_repeated_chunks, probminhash.drop_near_duplicates,
+        fair_queue.mix_sources,
+    ):
+        bare, full = stage(plain), stage(crowded)
+        kept = [c for c in full.columns if c not in bare.columns]
+        assert kept == [c for c in CLASHING if c not in bare.columns]
+        key = lambda r: repr(r)
+        assert sorted(map(key, full.select(*bare.columns).collect())) == sorted(map(key, bare.collect()))
+        assert all(r[n] in (None, f"{n}:{r.doc_id}") for r in full.collect() for n in kept)
