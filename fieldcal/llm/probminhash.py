@@ -9,7 +9,8 @@ connected components.
 Within a band's bucket up to ``ALL_PAIRS`` texts are all paired. A larger bucket works in rounds: some of its texts, taken from outside the
 class that is largest in the bucket, meet every text of the bucket that is not yet in their class; links found merge classes before the next
 round. It is done when all texts outside its largest class have had their turn, so two texts of a bucket either share a class or have been
-compared: no link is lost. Leaders and members meet as tiles of bounded size, in which whole shingle sets are compared; a tile returns only the
+compared: no link is lost. Buckets with the same largest class share their leaders and members, so that a text is shipped once for all bands in
+which it meets that class. Leaders and members meet as tiles of bounded size, in which whole shingle sets are compared; a tile returns only the
 links that join classes it still saw apart, so neither copies nor texts that are merely alike become one row per pair.
 
 Defined results: a null text counts as empty; a text of 1 to ``SHINGLE`` words has all its words as its one shingle, and all texts without words are
@@ -257,35 +258,39 @@ def _large_links(large: DataFrame, texts: DataFrame, threshold: float) -> tuple[
     take = LEADERS
     while True:
         placed = _placed(large, classes)
-        main = placed.groupBy("band", "class_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes")).groupBy("band").agg(
-            F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n"),
-            F.sum("all_bytes").alias("all_bytes"))
+        main = placed.groupBy("band", "class_id").agg(F.count("*").alias("n")).groupBy("band").agg(
+            F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.count("*").alias("classes"))
         # a bucket of one class is done
-        placed = cut_lineage(placed.join(main.where("classes > 1"), "band"))
-        waiting = placed.where("class_id != main").select("band", "rep", "bytes")
+        placed = cut_lineage(placed.join(main.where("classes > 1").select("band", "main"), "band"))
+        waiting = placed.where("class_id != main").select("band", "main", "rep", "bytes")
         if asked is not None:
             waiting = waiting.join(asked, ["band", "rep"], "left_anti")
         waiting = cut_lineage(waiting)
-        turns = cut_lineage(waiting.groupBy("band").agg(F.count("*").alias("waiting"), F.sum("bytes").alias("waiting_bytes")))
+        turns = cut_lineage(waiting.select("main", "rep", "bytes").distinct().groupBy("main").agg(
+            F.count("*").alias("waiting"), F.sum("bytes").alias("waiting_bytes")))
         if turns.isEmpty():
             return links, classes
-        # a share of the waiting by hash: no order within a bucket is needed, and buckets choose the same texts
+        # buckets with the same largest class meet as one region, so a text of many of them is shipped once
+        inside = cut_lineage(placed.join(waiting.select("band").distinct(), "band", "left_semi").select("main", "rep", "bytes", "class_id").distinct())
+        whole = inside.groupBy("main").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"))
+        # a share of the waiting by hash: no order within a region is needed, and regions choose the same texts
         share = F.least(F.lit(1.0), F.lit(take) / F.col("waiting"))
         drawn = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30)
-        leaders = cut_lineage(waiting.join(turns, "band").where(drawn < share).select("band", "rep"))
+        leaders = cut_lineage(waiting.join(turns, "main").where(drawn < share).select("band", "main", "rep"))
         tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES, F.lit(1.0))).cast("int")
         at = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        sized = placed.join(turns, "band").select(
-            "band", "rep", "class_id", tiles(F.col("n"), F.col("all_bytes")).alias("rows"),
+        sized = inside.join(turns.join(whole, "main"), "main").select(
+            "main", "rep", "class_id", tiles(F.col("n"), F.col("all_bytes")).alias("rows"),
             tiles(share * F.col("waiting"), share * F.col("waiting_bytes")).alias("columns"))
-        members = sized.select("band", "rep", "class_id", F.lit(False).alias("lead"), at(1, "rows").alias("row"), every("columns").alias("column"))
-        led = sized.join(leaders, ["band", "rep"]).select(
-            "band", "rep", "class_id", F.lit(True).alias("lead"), at(2, "columns").alias("column"), every("rows").alias("row"))
-        fresh = cut_lineage(members.unionByName(led).join(sets, "rep").groupBy("band", "row", "column").applyInArrow(
+        members = sized.select("main", "rep", "class_id", F.lit(False).alias("lead"), at(1, "rows").alias("row"), every("columns").alias("column"))
+        led = sized.join(leaders.select("main", "rep").distinct(), ["main", "rep"]).select(
+            "main", "rep", "class_id", F.lit(True).alias("lead"), at(2, "columns").alias("column"), every("rows").alias("row"))
+        fresh = cut_lineage(members.unionByName(led).join(sets, "rep").groupBy("main", "row", "column").applyInArrow(
             _meet(threshold), "a long, b long, similarity double"))
         links = fresh if links is None else links.unionByName(fresh)
         classes = _merged(classes, fresh)
+        leaders = leaders.select("band", "rep")
         asked = leaders if asked is None else asked.unionByName(leaders)
         take *= GROWTH
 
