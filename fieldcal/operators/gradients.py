@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldcal.functions.expressions import hash_normal
@@ -40,17 +40,26 @@ def diagonal() -> str:
     return f"k * {_degree('i', 'j')} * ({_degree('i', 'j')} + 1.0D) + d"
 
 
-def _with_product(state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``w`` = (kappa R + D) u; rows that are ``done`` send nothing."""
+def with_product(state: DataFrame, keys: Sequence[str], carried: Sequence[str] = _CARRIED) -> DataFrame:
+    """``w`` = (kappa R + D) u; rows that are ``done`` send nothing. ``carried`` columns (with k, d and u) pass through."""
     reach = ", ".join(f"struct({di} AS di, {dj} AS dj, {kind} AS kind)" for di, dj, kind in REACH)
     spread = state.selectExpr("*", f"{_degree('i', 'j')} AS _own", f"inline(array({reach}))").where("kind = 0 or not done")
     spread = spread.selectExpr("*", "i + di AS _i", "j + dj AS _j")
     weight = f"CASE kind WHEN 0 THEN _own * (_own + 1.0D) WHEN 1 THEN -(_own + {_degree('_i', '_j')}) WHEN 2 THEN 2.0D ELSE 1.0D END"
     sent = spread.selectExpr(
-        *keys, "_i AS i", "_j AS j", f"k * u * {weight} AS _sent", *[f"if(kind = 0, {c}, NULL) AS _{c}" for c in ("done", *_CARRIED)])
+        *keys, "_i AS i", "_j AS j", f"k * u * {weight} AS _sent", *[f"if(kind = 0, {c}, NULL) AS _{c}" for c in ("done", *carried)])
     summed = sent.groupBy(*keys, "i", "j").agg(
-        F.max("_done").alias("done"), F.sum("_sent").alias("_sum"), *[F.max(f"_{c}").alias(c) for c in _CARRIED])
-    return summed.where("done is not null").selectExpr(*keys, "i", "j", "done", *_CARRIED, "_sum + d * u AS w")
+        F.max("_done").alias("done"), F.sum("_sent").alias("_sum"), *[F.max(f"_{c}").alias(c) for c in carried])
+    return summed.where("done is not null").selectExpr(*keys, "i", "j", "done", *carried, "_sum + d * u AS w")
+
+
+def every_tile() -> Column:
+    """All tiles of a grid of _n_i by _n_j cells, one row each."""
+    return F.expr(f"explode(sequence(0, cast((floor(_n_i / {TILE}) + 1) * (floor(_n_j / {TILE}) + 1) as int) - 1))")
+
+
+def tile_of_cell() -> Column:
+    return F.expr(f"cast(floor(i / {TILE}) * (floor(n_j / {TILE}) + 1) + floor(j / {TILE}) as int)")
 
 
 def solve(fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS) -> DataFrame:
@@ -71,7 +80,7 @@ def solve(fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE,
     paths = []
     for step in range(most_steps + 1):
         path, watch = scratch_path(spark, "gradients"), Observation()
-        given = _with_product(state.withColumn("u", F.expr(f"r / ({diagonal()})")), keys)
+        given = with_product(state.withColumn("u", F.expr(f"r / ({diagonal()})")), keys)
         given.observe(watch, F.count_if(~F.col("done")).alias("open")).write.parquet(path)
         paths.append(path)
         stored = spark.read.schema(given.schema).parquet(path)
@@ -92,12 +101,11 @@ def _step(rows: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
     The scalars of a field go to each tile of its grid. Joined by field alone, a large field would be shuffled into one task, and stay
     there for the scatter, as rows dealt by field count as dealt by field and cell.
     """
-    tiles = f"cast((floor(_n_i / {TILE}) + 1) * (floor(_n_j / {TILE}) + 1) as int)"
     sums = rows.groupBy(*keys).agg(
         F.sum(F.col("r") * F.col("u")).alias("gamma"), F.sum(F.col("w") * F.col("u")).alias("delta"),
         F.max(F.abs("r")).alias("_rest"), F.max(F.abs("b")).alias("_scale"), F.max("n_i").alias("_n_i"), F.max("n_j").alias("_n_j"),
-    ).withColumn("_tile", F.expr(f"explode(sequence(0, {tiles} - 1))"))
-    rows = rows.withColumn("_tile", F.expr(f"cast(floor(i / {TILE}) * (floor(n_j / {TILE}) + 1) + floor(j / {TILE}) as int)"))
+    ).withColumn("_tile", every_tile())
+    rows = rows.withColumn("_tile", tile_of_cell())
     top = "_rest / nullif(_scale, 0.0D)"
     still = f"coalesce({top} <= {tolerance!r}D, true)"
     beta = "coalesce(gamma / g, 0.0D)"

@@ -5,11 +5,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fieldcal.functions import expressions as E
-from fieldcal.operators import estimate, gradients, predict, reshape, smoothing, spatial, verify
+from fieldcal.operators import determinant, estimate, gradients, predict, reshape, smoothing, spatial, verify
 from fieldcal.operators.joins import leave_one_out
 from fieldcal.plans import fixtures as fx
 from fieldcal.plans.registry import query
-from fieldcal.plans.sql_views import DRAW_SEED, DRAW_TOLERANCE, DRAWS, KAPPA, SAMPLES, TOLERANCE, laplacian_sql, normal_sql, uniform_sql
+from fieldcal.plans.sql_views import DRAW_SEED, DRAW_TOLERANCE, DRAWS, KAPPA, PROBES, SAMPLES, STEPS, TOLERANCE, laplacian_sql, normal_sql, uniform_sql
 from fieldcal.session import cut_lineage, scratch_path
 
 CELL_LEAD = ["long", "lat", "lead_time"]
@@ -200,6 +200,20 @@ def _(spark, sf_dir):
     return converged(daily, grid_of(daily)).select(*FOLD_LEAD, "par", "i", "j", "value", "smooth", (F.col("residual") < 1e-6).alias("solved"))
 
 
+@query("lanczos_coefficients", "SELECT f.lead_time AS lead_time, f.par AS par, f.probe AS probe, step, r6(round(alpha, 4)) AS alpha, r6(round(beta, 4)) AS beta FROM fx_lanczos")
+def _(spark, sf_dir):
+    fields = cut_lineage(gradients.whole_fields(mle_fields(spark, sf_dir), KAPPA, ["lead_time", "par"]))
+    # a difference in rounding grows fivefold a step, to 3e-9 at the last
+    rows = determinant.lanczos(fields, ["lead_time", "par"], PROBES, STEPS, 5)
+    return rows.withColumns({c: F.round(c, 4) for c in ("alpha", "beta")})
+
+
+@query("log_determinant")
+def _(spark, sf_dir):
+    """Of kappa R + D for every lead time and parameter."""
+    return determinant.of_estimates(mle_fields(spark, sf_dir), KAPPA, ["lead_time", "par"])
+
+
 @query("smooth_fields")
 def _(spark, sf_dir):
     est = mle_fields(spark, sf_dir)

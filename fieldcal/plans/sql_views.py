@@ -151,6 +151,29 @@ WITH RECURSIVE cg AS (
 SELECT f, i, j, x, steps, top AS residual FROM cg WHERE done"""
 
 
+#: probes and steps of the determinants
+PROBES, STEPS = 8, 10
+
+
+def lanczos_sql(fields: str, steps: int = STEPS) -> str:
+    """(f, step, alpha, beta) from (f, i, j, n_i, n_j, k, d, sign) on complete grids."""
+    windows = "WINDOW by_i AS (PARTITION BY f, j ORDER BY i), by_j AS (PARTITION BY f, i ORDER BY j)"
+    degree = "((i > 1)::INT + (i < n_i)::INT + (j > 1)::INT + (j < n_j)::INT)"
+    return f"""
+WITH RECURSIVE lz AS (
+  SELECT f, i, j, n_i, n_j, k, d, sqrt(k * {degree} * ({degree} + 1) + d) AS root, sign / sqrt(n_i * n_j) AS q, 0.0::DOUBLE AS before,
+    NULL::DOUBLE AS alpha, 0.0::DOUBLE AS beta, 0 AS step FROM {fields}
+  UNION ALL
+  SELECT f, i, j, n_i, n_j, k, d, root, (v - a * q) / nullif(b, 0), q, a, b, step + 1
+  FROM (SELECT *, CASE WHEN vv - a * a > 1e-12 * vv THEN sqrt(vv - a * a) ELSE 0 END AS b
+    FROM (SELECT *, sum(q * v) OVER field AS a, sum(v * v) OVER field AS vv
+      FROM (SELECT *, (k * ({laplacian_by_windows("lap")}) + d * u) / root - beta * before AS v
+        FROM (SELECT *, {laplacian_by_windows("u")} AS lap
+          FROM (SELECT *, q / root AS u FROM lz WHERE step < {steps} AND q IS NOT NULL) c0 {windows}) c1 {windows}) c2
+      WINDOW field AS (PARTITION BY f)) c3) c4)
+SELECT f, step, max(alpha) AS alpha, max(beta) AS beta FROM lz WHERE step > 0 GROUP BY f, step"""
+
+
 # every cell of the grid for every field; i and j are those of the grid, from 1
 view("fx_fields", """
 SELECT struct_pack(fold := fold, lead_time := lead_time, par := par) AS f, fold, lead_time, par, g.i, g.j, g.long, g.lat, n_i, n_j, q.k,
@@ -277,3 +300,16 @@ view("fx_faulty", "SELECT * FROM fx_misplaced UNION ALL SELECT * FROM fx_misplac
 view("fx_valid", "SELECT * FROM fx_faulty WHERE long BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90")
 
 view("fx_global", "SELECT CAST(-157.5 + 45 * j AS DOUBLE) AS long, CAST(-70 + 28 * i AS DOUBLE) AS lat, year, lead_time, fcst FROM fx_daily")
+
+view("fx_mle_est", " UNION ALL ".join(
+    f"SELECT lead_time, '{p}' AS par, long, lat, 1.0::DOUBLE / var_{p}_hat AS d, {k}::DOUBLE AS k FROM fx_mle WHERE {p}_hat IS NOT NULL AND var_{p}_hat > 0"
+    for p, k in KAPPA.items()))
+view("fx_probes", f"""
+SELECT struct_pack(lead_time := q.lead_time, par := q.par, probe := probe) AS f, g.i, g.j, n_i, n_j, q.k, coalesce(e.d, 0) AS d,
+  CASE WHEN {uniform_sql('5', 'q.lead_time', 'q.par', 'g.i', 'g.j', 'probe', "'probe'")} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign
+FROM (SELECT lead_time, par, max(k) AS k FROM fx_mle_est GROUP BY lead_time, par) q
+CROSS JOIN (SELECT *, max(i) OVER () AS n_i, max(j) OVER () AS n_j FROM fx_grid) g
+CROSS JOIN (SELECT CAST(unnest(range(1, {PROBES + 1})) AS INT) AS probe) n
+LEFT JOIN fx_mle_est e ON e.lead_time = q.lead_time AND e.par = q.par AND e.long = g.long AND e.lat = g.lat
+""")
+view("fx_lanczos", lanczos_sql("fx_probes"))

@@ -72,8 +72,8 @@ def test_a_field_spreads_over_tasks(spark, est, monkeypatch):
         zero, none = F.lit(0.0), F.lit(None).cast("double")
         state = fields.withColumns({"b": F.col("d") * F.col("y"), "x": zero, "p": zero, "s": zero, "g": none, "a": none, "top": none, "steps": zero})
         state = state.withColumns({"r": F.col("b"), "done": F.lit(False)})
-        first = gradients._with_product(state.withColumn("u", F.col("b")), keys)
-        second = gradients._with_product(gradients._step(cut_lineage(first), keys, 1e-10).withColumn("u", F.col("r")), keys)
+        first = gradients.with_product(state.withColumn("u", F.col("b")), keys)
+        second = gradients.with_product(gradients._step(cut_lineage(first), keys, 1e-10).withColumn("u", F.col("r")), keys)
         for part in (fields, first, second):
             rows = part.withColumn("task", F.spark_partition_id()).collect()
             assert len({r.task for r in rows}) > 1 and len({(r.i, r.j) for r in rows}) == len(rows) == N_I * N_J
