@@ -3,7 +3,8 @@
 With S the inverse root of the diagonal, ln det(kappa R + D) = sum ln diagonal + trace ln(S (kappa R + D) S). The trace is n times the mean, over
 probes of random signs, of z' ln(.) z / n, and each of those is a Gauss rule from the tridiagonal matrix of a few Lanczos steps. A step is one
 scatter, one small aggregation and one join of two scalars per field and probe, as in the conjugate gradients, so nothing of a field has to
-fit a task and nothing is factorised; what reaches Python are two short arrays per field and probe.
+fit a task and nothing is factorised; what reaches Python are two short arrays per field and probe. Vectors are not made orthogonal again: late coefficients depend on rounding, the
+rule hardly does.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from fieldcal.functions.expressions import hash_uniform
 from fieldcal.operators.gradients import diagonal, every_tile, tile_of_cell, whole_fields, with_product
 from fieldcal.session import cut_lineage
 
-PROBES = 32
+PROBES = 64
 STEPS = 24
 #: share of the squared length of a step's vector below which nothing new is left in it
 EXHAUSTED = 1e-12

@@ -203,7 +203,6 @@ def _(spark, sf_dir):
 @query("lanczos_coefficients", "SELECT f.lead_time AS lead_time, f.par AS par, f.probe AS probe, step, r6(round(alpha, 4)) AS alpha, r6(round(beta, 4)) AS beta FROM fx_lanczos")
 def _(spark, sf_dir):
     fields = cut_lineage(gradients.whole_fields(mle_fields(spark, sf_dir), KAPPA, ["lead_time", "par"]))
-    # a difference in rounding grows fivefold a step, to 3e-9 at the last
     rows = determinant.lanczos(fields, ["lead_time", "par"], PROBES, STEPS, 5)
     return rows.withColumns({c: F.round(c, 4) for c in ("alpha", "beta")})
 
