@@ -18,6 +18,8 @@ from fieldcal.session import cut_lineage
 KEYS = ["j", "i", "long", "lat"]
 CELL_TIME = ["j", "i", "year", "lead_time"]
 BANDS = 49
+#: bands that are looked up among each other, and metadata rows that are made together
+STRETCH, CHUNK = 64, 4096
 MEMBER_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
@@ -131,11 +133,22 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
-    """(x, y, band_id, value) rows to one array per cell, null where a cell lacks a band. A cell holds its bands, not raw records."""
-    last = bands.agg(F.max("band_id")).scalar()
-    held = rows.groupBy("x", "y").agg(F.map_from_entries(F.collect_list(F.struct("band_id", value))).alias("held"))
-    places = held.withColumn("place", F.sequence(F.lit(1), last.cast("int")))
-    return places.select("x", "y", F.transform("place", lambda b: F.try_element_at("held", b)).alias("values"))
+    """(x, y, band_id, value) rows to one array per cell, null where a cell lacks a band. A cell holds its bands, not raw records.
+
+    A band is looked up among those of its stretch of ``STRETCH`` bands, so the work grows with the bands and not with their square. Every
+    cell has every stretch, empty ones too.
+    """
+    last = bands.agg(F.max("band_id")).scalar().cast("int")
+    stretch = F.floor((F.col("band_id") - 1) / STRETCH).cast("int")
+    every = rows.select("x", "y").distinct().withColumn("band_id", F.explode(F.sequence(F.lit(1), last, F.lit(STRETCH))))
+    entries = rows.select("x", "y", stretch.alias("stretch"), F.struct("band_id", value).alias("entry"))
+    entries = entries.unionByName(every.select("x", "y", stretch.alias("stretch")), allowMissingColumns=True)
+    held = entries.groupBy("x", "y", "stretch").agg(F.map_from_entries(F.collect_list("entry")).alias("held"))
+    first = F.col("stretch") * STRETCH
+    places = held.withColumn("place", F.sequence(first + 1, F.least(first + STRETCH, last)))
+    parts = places.select("x", "y", "stretch", F.transform("place", lambda b: F.try_element_at("held", b)).alias("part"))
+    whole = parts.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("stretch", "part"))).alias("parts"))
+    return whole.select("x", "y", F.flatten("parts.part").alias("values"))
 
 
 def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,9 +161,16 @@ def ensemble_bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     order = Window.partitionBy(*CELL_TIME).orderBy(*MEMBER_ORDER)
     rows = _with_coordinates(_raw_members(spark, sf_dir).withColumn("member", F.row_number().over(order)))
     rows = cut_lineage(rows.select(F.col("raw_long").alias("x"), F.col("lat").alias("y"), "start_date", F.col("date").alias("veri_date"), "member", "fcst"))
-    keys = ["start_date", "veri_date", "member"]
-    bands = _numbered(rows, keys)
-    return packed(rows.join(bands, keys), bands, "fcst"), bands.select("band_id", "start_date", "veri_date")
+    # members count from 1 without a gap, so a band's number is its member after the bands of all earlier dates
+    dates = ["start_date", "veri_date"]
+    before = Window.orderBy(*dates).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut_lineage(rows.groupBy(*dates).agg(F.max("member").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    chunks = counts.withColumn("first", F.explode(F.sequence(F.lit(1), "n", F.lit(CHUNK))))
+    chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *dates, "first")
+    bands = chunks.withColumn("member", F.explode(F.sequence("first", F.least(F.col("first") + (CHUNK - 1), "n"))))
+    number = (F.col("before") + F.col("member")).cast("int").alias("band_id")
+    numbered = rows.join(F.broadcast(counts), dates).select("x", "y", number, "fcst")
+    return packed(numbered, counts.select((F.col("before") + F.col("n")).alias("band_id")), "fcst"), bands.select(number, *dates)
 
 
 def analysis_bands(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

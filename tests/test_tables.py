@@ -1,13 +1,14 @@
 """Sources, sinks, expressions, filters and their plans."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldcal.functions import expressions as E
 from fieldcal.operators import filters, reshape
-from fieldcal.plans import registry
+from fieldcal.plans import fixtures, registry
 from fieldcal.plans.queries_tables import HINDCAST_SCHEMA
 from fieldcal.session import scratch_path
 from fieldcal.sources import metadata, tables
@@ -95,3 +96,27 @@ def test_grid_is_complete(spark):
 
 def test_rounding_text():
     assert registry.complete_sql("SELECT r6(f(a, r6(b))) AS x") == "SELECT (round(f(a, (round(b, 6) + 0.0)), 6) + 0.0) AS x"
+
+
+def test_packing_many_bands(spark):
+    """Each band was looked up among all bands of its cell, so 60,000 bands took minutes."""
+    n = 60000
+    bands = spark.range(1, n + 1, 1, 4).select(F.col("id").cast("int").alias("band_id"))
+    rows = bands.select(
+        F.explode(F.array(F.lit(0.0), F.lit(3.0), F.lit(None).cast("double"))).alias("x"), F.lit(1.0).alias("y"), "band_id",
+        F.col("band_id").cast("double").alias("v")).where("x is null or (x = 0 and band_id % 7 = 0) or (x = 3 and band_id between 1000 and 1001)")
+    start = time.time()
+    found = {r.x: r["values"] for r in fixtures.packed(rows, bands, "v").collect()}
+    assert time.time() - start < 60
+    assert found == {
+        0.0: [float(k) if k % 7 == 0 else None for k in range(1, n + 1)], 3.0: [float(k) if k in (1000, 1001) else None for k in range(1, n + 1)],
+        None: [float(k) for k in range(1, n + 1)]}
+
+
+def test_bands_of_the_ensemble_are_numbered_in_order(spark, sf_dir):
+    fields, meta = fixtures.ensemble_bands(spark, sf_dir)
+    rows = meta.orderBy("band_id").collect()
+    assert [r.band_id for r in rows] == list(range(1, len(rows) + 1))
+    dates = [(r.start_date, r.veri_date) for r in rows]
+    assert dates == sorted(dates)
+    assert fields.where(F.size("values") != len(rows)).isEmpty()
