@@ -5,14 +5,20 @@ Laplacians, by arithmetic on the index), summed per cell with map-side combining
 of a step come from the same pass (the recurrence keeps A p beside p), so a step is one scatter, one small aggregation, one join of the
 per-field scalars, and one stored table. Nothing of a field has to fit a task. The system is preconditioned by its diagonal, and a
 field leaves the iteration once its residual is small, so later steps touch the slow fields only.
+
+A complete field of at most ``WITHIN`` cells takes the same steps inside one task, all such fields side by side: stored tables for each step
+would cost more than its arithmetic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldcal.functions.expressions import hash_normal
 from fieldcal.operators.spatial import OFFSETS, grid_laplacian
@@ -22,6 +28,8 @@ TOLERANCE = 1e-10
 MOST_STEPS = 400
 #: side of the square tiles of a grid that meet the scalars of their field together
 TILE = 64
+#: cells of a field that is solved inside a task
+WITHIN = TILE * TILE
 _CARRIED = ("n_i", "n_j", "k", "d", "b", "x", "r", "p", "s", "g", "a", "u", "top", "steps")
 
 
@@ -62,21 +70,101 @@ def tile_of_cell() -> Column:
     return F.expr(f"cast(floor(i / {TILE}) * (floor(n_j / {TILE}) + 1) + floor(j / {TILE}) as int)")
 
 
-def solve(fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS) -> DataFrame:
+def _laplacian(v: np.ndarray) -> np.ndarray:
+    """Grid Laplacian: a cell times the number of its neighbours, less the neighbours."""
+    out = np.zeros_like(v)
+    for axis in (0, 1):
+        rise = np.diff(v, axis=axis)
+        before, after = [slice(None)] * 2, [slice(None)] * 2
+        before[axis], after[axis] = slice(None, -1), slice(1, None)
+        out[tuple(before)] -= rise
+        out[tuple(after)] += rise
+    return out
+
+
+def solve_grid(k: np.ndarray, d: np.ndarray, b: np.ndarray, tolerance: float, most_steps: int) -> tuple[np.ndarray, float | None, int]:
+    """The steps of ``solve`` on one field given as arrays over its grid: x, residual, steps."""
+    neighbours = np.full(b.shape, 4.0)
+    neighbours[0] -= 1
+    neighbours[-1] -= 1
+    neighbours[:, 0] -= 1
+    neighbours[:, -1] -= 1
+    scaling = k * neighbours * (neighbours + 1.0) + d
+    x, r, p, s = np.zeros_like(b), b.copy(), np.zeros_like(b), np.zeros_like(b)
+    gamma_before = alpha = residual = None
+    scale = np.abs(b).max()
+    for step in range(most_steps):
+        residual = float(np.abs(r).max() / scale) if scale != 0 else None
+        if residual is None or residual <= tolerance:
+            return x, residual, step
+        u = r / scaling
+        w = _laplacian(_laplacian(k * u)) + d * u
+        gamma, delta = (r * u).sum(), (w * u).sum()
+        beta = 0.0 if gamma_before is None else gamma / gamma_before
+        alpha = gamma / (delta - (0.0 if alpha is None else beta * gamma / alpha))
+        p, s = u + beta * p, w + beta * s
+        x, r = x + alpha * p, r - alpha * s
+        gamma_before = gamma
+    return x, residual, most_steps
+
+
+def _solve_within(keys: Sequence[str], schema: T.StructType, tolerance: float, most_steps: int):
+    def run(field: pa.Table) -> pa.Table:
+        i, j = (field.column(c).to_numpy().astype(np.int64) - 1 for c in ("i", "j"))
+        grid = np.empty((3, int(field.column("n_i")[0].as_py()), int(field.column("n_j")[0].as_py())))
+        for plane, name in zip(grid, ("k", "d", "b")):
+            plane[i, j] = field.column(name).to_numpy()
+        x, residual, steps = solve_grid(*grid, tolerance, most_steps)
+        n = field.num_rows
+        solved = [(x[i, j], pa.float64()), (np.full(n, np.nan if residual is None else residual), pa.float64()), (np.full(n, steps), pa.int32())]
+        solved = [pa.array(values, kind) for values, kind in solved]
+        if residual is None:
+            solved[1] = pa.nulls(n, pa.float64())
+        return pa.table([*[field.column(c) for c in keys], pa.array(i + 1, pa.int32()), pa.array(j + 1, pa.int32()), *solved], names=schema.names)
+    return run
+
+
+def solve(
+    fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE, most_steps: int = MOST_STEPS, within: int | None = None
+) -> DataFrame:
     """Solutions of (k R + d) x = b: (keys, i, j, x, residual, steps).
 
     ``fields`` holds keys, i, j, n_i, n_j, k, d, b for every cell of every field. ``residual`` is the largest entry of b - A x beside
     that of b; a field is left at ``tolerance``, or after ``most_steps`` with the residual it has reached. A field whose weights are
     all zero has no unique solution and must not be given. Keys may have any names but i, j, n_i, n_j, k, d, b, x, residual and steps.
+    Complete fields of at most ``within`` cells (``WITHIN`` by default) are solved inside tasks, all others by table.
     """
-    spark = fields.sparkSession
     # the state has short names of its own
     given_keys, keys = list(keys), [f"_key{n}" for n in range(len(keys))]
     fields = fields.withColumnsRenamed(dict(zip(given_keys, keys)))
+    fields = cut_lineage(fields.select(*keys, "i", "j", *[F.col(c).cast("double").alias(c) for c in ("n_i", "n_j", "k", "d", "b")]))
+    cells = F.count("*")
+    complete = [cells == F.max("n_i") * F.max("n_j"), cells == F.count_distinct("i", "j")]
+    complete += [F.min(c) >= 1 for c in ("i", "j")] + [F.max(c) <= F.min(f"n_{c}") for c in ("i", "j")]
+    complete += [F.min(c) == F.max(c) for c in ("n_i", "n_j")] + [cells == F.count(c) for c in ("k", "d", "b")]
+    fits = cells <= (WITHIN if within is None else within)
+    for rule in complete:
+        fits &= rule
+    # a join by the keys leaves out fields with a null key, as the steps by table do
+    sizes = cut_lineage(fields.groupBy(*keys).agg(F.coalesce(fits, F.lit(False)).alias("fits")))
+    schema = T.StructType([
+        *[fields.schema[c] for c in keys], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("x", T.DoubleType()),
+        T.StructField("residual", T.DoubleType()), T.StructField("steps", T.IntegerType())])
+    small = fields.join(sizes.where("fits").drop("fits"), keys)
+    solved = small.groupBy(*keys).applyInArrow(_solve_within(keys, schema, tolerance, most_steps), schema)
+    solved = cut_lineage(solved)
+    large = sizes.where("not fits").drop("fits")
+    if not large.isEmpty():
+        solved = solved.unionByName(_solve_by_table(fields.join(large, keys), keys, tolerance, most_steps))
+    return solved.withColumnsRenamed(dict(zip(keys, given_keys)))
+
+
+def _solve_by_table(fields: DataFrame, keys: Sequence[str], tolerance: float, most_steps: int) -> DataFrame:
+    """``solve`` for fields of any size, a stored table a step."""
+    spark = fields.sparkSession
     zero, none = F.lit(0.0), F.lit(None).cast("double")
-    state = fields.select(
-        *keys, "i", "j", *[F.col(c).cast("double").alias(c) for c in ("n_i", "n_j", "k", "d", "b")],
-    ).withColumns({"x": zero, "r": F.col("b"), "p": zero, "s": zero, "g": none, "a": none, "top": none, "steps": zero, "done": F.lit(False)})
+    state = fields.withColumns(
+        {"x": zero, "r": F.col("b"), "p": zero, "s": zero, "g": none, "a": none, "top": none, "steps": zero, "done": F.lit(False)})
     paths = []
     for step in range(most_steps + 1):
         path, watch = scratch_path(spark, "gradients"), Observation()
@@ -91,7 +179,7 @@ def solve(fields: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE,
     if step == most_steps:
         finished = finished.unionByName(stored.where("not done"))
     return finished.select(
-        *[F.col(key).alias(name) for key, name in zip(keys, given_keys)], F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", F.col("top").alias("residual"),
+        *keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "x", F.col("top").alias("residual"),
         F.col("steps").cast("int").alias("steps"))
 
 

@@ -113,3 +113,32 @@ def test_draws_have_the_posterior_moments(spark, est, truth):
     fields = gradients.whole_fields(some, KAPPA, keys)
     whole, dealt = (gradients.perturbed(f, keys, 5, 3).select("sample", "i", "j", F.round("b", 9).alias("b")) for f in (fields, fields.repartition(7)))
     assert whole.exceptAll(dealt).count() == 0  # draws do not depend on the partitioning
+
+
+def test_small_fields_take_no_table_a_step(spark, est, truth, monkeypatch):
+    """Same solutions, residuals and steps as by table; a field with a missing or a repeated cell goes by table."""
+    keys = ["g", "par"]
+    fields = gradients.whole_fields(est, KAPPA, keys).withColumn("b", F.col("d") * F.col("y")).cache()
+    by_table = {(*r[:4],): r for r in gradients.solve(fields, keys, within=0).collect()}
+    odd = fields.where("g = 1 and par = 'alpha' and not (i = 2 and j = 2)").withColumn("g", F.lit(7))
+    odd = cut_lineage(odd)
+    of_odd = {(r.i, r.j): r.x for r in gradients.solve(odd, keys, within=0).collect()}
+    asked, once = [], gradients._solve_by_table
+    monkeypatch.setattr(gradients, "_solve_by_table", lambda rows, *rest: asked.append(rows.select("_key0").distinct().collect()) or once(rows, *rest))
+    found = gradients.solve(fields.unionByName(odd), keys).collect()
+    assert [r[0] for r in asked[0]] == [7] and len(asked) == 1
+    assert {(r.i, r.j): r.x for r in found if r.g == 7} == pytest.approx(of_odd)
+    own = [r for r in found if r.g != 7]
+    assert len(own) == len(by_table) == 4 * N_I * N_J
+    for r in own:
+        same = by_table[(*r[:4],)]
+        assert r.x == pytest.approx(same.x, abs=1e-8) and r.residual <= gradients.TOLERANCE and abs(r.steps - same.steps) <= 1
+    gradients.solve(fields, keys).collect()
+    assert len(asked) == 1
+
+
+def test_fields_without_right_side_rest_at_zero(spark):
+    cells = spark.range(4).selectExpr("1 AS f", "cast(id % 2 + 1 AS int) AS i", "cast(floor(id / 2) + 1 AS int) AS j", "2 AS n_i", "2 AS n_j",
+                                      "1.0D AS k", "1.0D AS d", "0.0D AS b")
+    rows = gradients.solve(cells, ["f"]).collect()
+    assert [(r.x, r.residual, r.steps) for r in rows] == [(0.0, None, 0)] * 4
