@@ -257,7 +257,7 @@ def _large_links(large: DataFrame, texts: DataFrame, threshold: float) -> tuple[
     links = classes = asked = None
     take = LEADERS
     while True:
-        placed = _placed(large, classes)
+        placed = cut_lineage(_placed(large, classes))
         main = placed.groupBy("band", "class_id").agg(F.count("*").alias("n")).groupBy("band").agg(
             F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main"), F.count("*").alias("classes"))
         # a bucket of one class is done
@@ -270,8 +270,11 @@ def _large_links(large: DataFrame, texts: DataFrame, threshold: float) -> tuple[
             F.count("*").alias("waiting"), F.sum("bytes").alias("waiting_bytes")))
         if turns.isEmpty():
             return links, classes
+        # a bucket without waiting texts is done for good, as classes only merge
+        placed = cut_lineage(placed.join(waiting.select("band").distinct(), "band", "left_semi"))
+        large = placed.select("band", "rep", "bytes")
         # buckets with the same largest class meet as one region, so a text of many of them is shipped once
-        inside = cut_lineage(placed.join(waiting.select("band").distinct(), "band", "left_semi").select("main", "rep", "bytes", "class_id").distinct())
+        inside = cut_lineage(placed.select("main", "rep", "bytes", "class_id").distinct())
         whole = inside.groupBy("main").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"))
         # a share of the waiting by hash: no order within a region is needed, and regions choose the same texts
         share = F.least(F.lit(1.0), F.lit(take) / F.col("waiting"))

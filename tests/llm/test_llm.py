@@ -249,6 +249,21 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert [classes[i] for i in range(len(texts))] == _roots(len(texts), alike)
 
 
+def test_closed_buckets_leave_the_rounds(spark, monkeypatch):
+    """Every round joined the classes to all rows of all large buckets, twice."""
+    monkeypatch.setattr(probminhash, "LEADERS", 3)
+    monkeypatch.setattr(probminhash, "GROWTH", 4)
+    texts = [*_variants(30, [f"a{i}" for i in range(80)], 0.0, 3), *(" ".join(f"own{k} {i}" for k in range(20)) for i in range(20))]
+    docs = spark.createDataFrame([(i, t if i >= 30 else f"{t} {i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    large = docs.select(F.when(F.col("doc_id") < 30, 1).otherwise(2).cast("long").alias("band"), F.col("doc_id").alias("rep"))
+    seen, once = [], probminhash._placed
+    monkeypatch.setattr(probminhash, "_placed", lambda entries, classes: seen.append(entries.groupBy("band").count().collect()) or once(entries, classes))
+    _, classes = probminhash._large_links(large, docs, 0.8)
+    assert {r.class_id for r in classes.collect()} == {0}
+    assert [sorted(map(tuple, r)) for r in seen[:2]] == [[(1, 30), (2, 20)], [(1, 30), (2, 20)]]
+    assert all([tuple(x) for x in r] == [(2, 20)] for r in seen[2:-1]) and len(seen) > 2
+
+
 def test_signature_estimates_similarity():
     texts = pa.array([PROSE, PROSE + " some more words at the end of it", "x " * 12, "x " * 9 + "y y"], pa.large_string())
     doc, value, weight = probminhash.shingles(texts)
