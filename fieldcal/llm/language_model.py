@@ -34,7 +34,7 @@ TEMPLATES = 3
 ROUNDS = 3
 RATE = 0.5
 PRIOR = 20.0
-BATCH = 1 << 13
+BATCH = 1 << 11
 FAN_IN = 64
 #: cannot be a word, since it is white space
 END = "\n"
@@ -60,25 +60,48 @@ def features(index: np.ndarray, distinct: list[str], bounds: np.ndarray) -> np.n
     """For every token the buckets of its features, one row per template."""
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in distinct), np.uint64, len(distinct))
     hashed = np.append(hashed, np.uint64(1))  # before the text
-    n = np.diff(bounds)
-    place = np.arange(len(index)) - np.repeat(bounds[:-1], n)
-    before = [np.full(len(index), len(distinct), np.int64) for _ in range(2)]
-    for back in (1, 2):
-        inside = place >= back
-        before[back - 1][inside] = index[np.flatnonzero(inside) - back]
-    one, two = hashed[before[0]], hashed[before[1]]
-    both = mix(one) + two * np.uint64(0x9E3779B97F4A7C15)
-    return np.stack([(mix(v + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.uint16) for k, v in enumerate((one, two, both))])
-
-
-def class_powers(weights: np.ndarray, bias: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponents of the classes, their powers, and the powers' sum. Steps are clipped, so sums stay far from the limits of a float."""
-    z = weights[0].take(found[0], axis=0)
+    one = np.insert(index[:-1], 0, len(distinct)) if len(index) else index
+    one[bounds[:-1]] = len(distinct)  # every text has a token
+    two = np.insert(one[:-1], 0, len(distinct)) if len(index) else index
+    two[bounds[:-1]] = len(distinct)
+    mixed = mix(hashed)
+    both = mixed[one] + (hashed * np.uint64(0x9E3779B97F4A7C15))[two]
+    bucket = lambda x: (x % np.uint64(BUCKETS)).astype(np.uint16)
+    return np.stack([bucket(mixed)[one], bucket(mix(hashed + np.uint64(1)))[two], bucket(mix(both + np.uint64(2)))])
+
+
+def factors(weights: np.ndarray, bias: np.ndarray) -> list[np.ndarray]:
+    """Powers of every bucket's weights, whose product over the templates is the power of a class. Steps are clipped, so products stay far
+    from the limits of a float."""
+    return [np.exp(weights[k] + bias if k == 0 else weights[k]) for k in range(TEMPLATES)]
+
+
+def class_powers(powers: list[np.ndarray], found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the classes and their sum, for a batch of contexts."""
+    e = powers[0].take(found[0], axis=0)
     for k in range(1, TEMPLATES):
-        z += weights[k].take(found[k], axis=0)
-    z += bias
-    e = np.exp(z)
-    return z, e, e.sum(axis=1)
+        e *= powers[k].take(found[k], axis=0)
+    return e, e @ np.ones(CLASSES, e.dtype)
+
+
+def add_expected(powers: list[np.ndarray], found: np.ndarray, total: np.ndarray) -> None:
+    """Add the expected class counts of every feature bucket. A context that occurs several times is computed once. Each template takes
+    the contexts in the order of its own buckets, so that a bucket is summed over a stretch of rows just computed."""
+    context = (found[0].astype(np.int64) * BUCKETS + found[1]) * BUCKETS + found[2]
+    context, times = np.unique(context, return_counts=True)
+    rest, last = np.divmod(context, BUCKETS)
+    found = np.stack([*np.divmod(rest, BUCKETS), last]).astype(np.uint16)
+    times = times.astype(np.float32)
+    for k in range(TEMPLATES):
+        order = np.argsort(found[k], kind="stable")
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            part = found[:, some]
+            p, total_power = class_powers(powers, part)
+            share = times[some] / total_power
+            bounds = np.flatnonzero(np.diff(part[k], prepend=-1, append=BUCKETS).astype(bool))
+            for bucket, start, end in zip(part[k][bounds[:-1]].tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                total[k, bucket] += share[start:end] @ p[start:end]
 
 
 def _count(batches):
@@ -109,19 +132,9 @@ def _expected(model):
     """Expected class counts of every feature bucket under the current weights."""
     def run(batches):
         m = model.value
-        total = np.zeros((TEMPLATES, BUCKETS, CLASSES))
+        powers, total = factors(m["weights"], m["bias"]), np.zeros((TEMPLATES, BUCKETS, CLASSES))
         for batch in slices(batches):
-            index, distinct, bounds = tokens(texts_of(batch))
-            found = features(index, distinct, bounds)
-            for at in range(0, len(index), BATCH):
-                part = found[:, at : at + BATCH]
-                _, p, total_power = class_powers(m["weights"], m["bias"], part)
-                p /= total_power[:, None]
-                for k in range(TEMPLATES):
-                    order = np.argsort(part[k], kind="stable")
-                    bucket = part[k][order]
-                    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                    total[k][bucket[starts]] += np.add.reduceat(p.take(order, axis=0), starts, axis=0)
+            add_expected(powers, features(*tokens(texts_of(batch))), total)
         yield from _blocks(total)
     return run
 
@@ -207,6 +220,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict, DataFrame]:
 def _score(model):
     def run(batches):
         m = model.value
+        powers = factors(m["weights"], m["bias"])
         task, row = TaskContext.get().partitionId(), 0
         with np.errstate(divide="ignore"):
             in_class = np.log10(m["class_mass"])
@@ -218,9 +232,10 @@ def _score(model):
             word = np.where(tail, 0.0, np.log10(np.maximum(count, 1)) - np.where(tail, 0.0, in_class[kind]))
             base, classes = np.log10(count + 1)[index], kind[index]
             score = word[index]
+            exponent = sum(m["weights"][k][found[k], classes] for k in range(TEMPLATES)) + m["bias"][classes]
             for at in range(0, len(index), BATCH):
-                z, _, total_power = class_powers(m["weights"], m["bias"], found[:, at : at + BATCH])
-                score[at : at + BATCH] += (z[np.arange(len(z)), classes[at : at + BATCH]] - np.log(total_power)) / math.log(10)
+                _, total_power = class_powers(powers, found[:, at : at + BATCH])
+                score[at : at + BATCH] += (exponent[at : at + BATCH] - np.log(total_power)) / math.log(10)
             known = (~tail)[index]
             n = np.diff(bounds)
             doc = np.repeat(np.arange(len(n)), n)

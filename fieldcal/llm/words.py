@@ -29,6 +29,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
 
 
+def listed(values: pa.Array) -> list:
+    """The values as Python objects, made in one go: ``to_pylist`` makes an Arrow scalar of each first."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def slices(batches, name: str = "text", limit: int = SLICE_BYTES):
     """Record batches cut so that each holds about ``limit`` bytes of text, or a single longer row."""
     for batch in batches:
@@ -76,7 +81,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str
     flat = parts.flatten()
     base = offsets[0] if len(offsets) else 0
     encoded = flat.dictionary_encode()
-    distinct = encoded.dictionary.to_pylist()
+    distinct = listed(encoded.dictionary)
     index = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = offsets - base
     if "" in distinct:  # white space at either end of a text gives an empty part

@@ -432,3 +432,25 @@ def test_extra_columns_may_have_any_name(spark, docs, sf_dir):
         key = lambda r: repr(r)
         assert sorted(map(key, full.select(*bare.columns).collect())) == sorted(map(key, bare.collect()))
         assert all(r[n] in (None, f"{n}:{r.doc_id}") for r in full.collect() for n in kept)
+
+
+def test_expected_counts_take_each_context_once(monkeypatch):
+    """Against one context at a time; rows of powers follow the different contexts and not the tokens."""
+    texts = pa.array(["a b a b a b c", "", "B a " * 400, "c\tä b  a"], pa.large_string())
+    found = language_model.features(*language_model.tokens(texts))
+    rng = np.random.default_rng(3)
+    shape = (language_model.TEMPLATES, language_model.BUCKETS, language_model.CLASSES)
+    weights, bias = rng.normal(0, 1, shape).astype(np.float32), rng.normal(0, 1, language_model.CLASSES).astype(np.float32)
+    bias[7] = -np.inf
+    plain = np.zeros(shape)
+    for context in found.T:
+        p = np.exp(bias + sum(weights[k, b].astype(float) for k, b in enumerate(context)))
+        for k, b in enumerate(context):
+            plain[k, b] += p / p.sum()
+    rows, powers_of = [], language_model.class_powers
+    monkeypatch.setattr(language_model, "BATCH", 3)
+    monkeypatch.setattr(language_model, "class_powers", lambda powers, part: rows.append(part.shape[1]) or powers_of(powers, part))
+    total = np.zeros(shape)
+    language_model.add_expected(language_model.factors(weights, bias), found, total)
+    assert np.allclose(total, plain, rtol=1e-5, atol=1e-6)
+    assert sum(rows) == language_model.TEMPLATES * len(set(map(tuple, found.T.tolist()))) < found.shape[1]
