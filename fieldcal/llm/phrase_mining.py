@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldcal.llm.words import slices, texts_of
+from fieldcal.llm.words import listed, slices, texts_of
 from fieldcal.session import cut_lineage
 
 LEAST = 30
@@ -33,7 +33,7 @@ LONGEST = 4
 COVER = 80
 TOP = 2000
 BLOCK_BYTES = 8 << 20
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 21
 UNKNOWN = "und"
 #: places and words of the frequent words of a block, places and phrases of its frequent phrases of the present length
 RELATION = "block long, lang string, word_places binary, words binary, places binary, phrases binary"
@@ -55,15 +55,25 @@ def _table() -> np.ndarray:
 TABLE = _table()
 
 
+def squeeze(raw: bytes) -> bytes:
+    """``raw`` by zstd, if that is shorter: shuffles compress without entropy coding, which leaves most of a byte plane as it is."""
+    small = pa.compress(raw, codec="zstd", asbytes=True) if raw else raw
+    return b"\1" + len(raw).to_bytes(8, "little") + small if len(small) + 8 < len(raw) else b"\0" + raw
+
+
+def expand(raw: bytes) -> bytes:
+    return pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True) if raw[0] else raw[1:]
+
+
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:
     """Integers as byte planes, ascending ones as differences: high bytes are then mostly zeros, which compress to nothing."""
     values = np.diff(values, prepend=values.dtype.type(0)) if ascending else values
     width = values.dtype.itemsize
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes()
+    return squeeze(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpack(raw: bytes, kind, ascending: bool = False) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(expand(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     values = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
     return np.cumsum(values, dtype=kind) if ascending else values
 
@@ -86,7 +96,7 @@ def words_and_places(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarr
     bounds = np.column_stack([first, last]).reshape(-1)
     spans = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
     encoded = spans.take(pa.array(np.arange(0, len(spans), 2))).dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32), encoded.dictionary.to_pylist(), places
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32), listed(encoded.dictionary), places
 
 
 def _read(batches):
@@ -112,7 +122,7 @@ def _grouped(row: dict, shard: np.ndarray, keys, own: np.ndarray | None, counts:
     for name, at in zip(found, np.split(order, starts[1:])):
         yield {
             "block": row["block"], "lang": row["lang"], "shard": int(name),
-            "keys": b"\n".join([keys[i] for i in at]) if own is not None else pack(keys[at], True),
+            "keys": squeeze(b"\n".join([keys[i] for i in at])) if own is not None else pack(keys[at], True),
             "own": None if own is None else pack(own[at], True), "counts": pack(counts[at]),
         }
 
@@ -161,9 +171,9 @@ def _count(least: int):
         rows = table.to_pylist()
         worded = rows[0]["own"] is not None
         if worded:
-            lists = [r["keys"].split(b"\n") for r in rows]
+            lists = [expand(r["keys"]).split(b"\n") for r in rows]
             encoded = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
-            keys, which = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
+            keys, which = listed(encoded.dictionary), encoded.indices.to_numpy(zero_copy_only=False)
         else:
             lists = [unpack(r["keys"], np.int64, True) for r in rows]
             keys, which = np.unique(np.concatenate(lists), return_inverse=True)
@@ -176,7 +186,7 @@ def _count(least: int):
         same = {"lang": rows[0]["lang"], "shard": rows[0]["shard"]}
         out = [same | {
             "size": len(frequent), "counts": pack(totals[frequent]),
-            "keys": b"\n".join([keys[i] for i in frequent]) if worded else pack(keys[frequent], True),
+            "keys": squeeze(b"\n".join([keys[i] for i in frequent])) if worded else pack(keys[frequent], True),
         }] if len(frequent) else []
         ends = np.cumsum([len(x) for x in lists])
         for row, end, own in zip(rows, ends, lists):
@@ -210,7 +220,7 @@ def counted(groups: DataFrame, least: int) -> DataFrame:
 def _words(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            words = row["keys"].decode().split("\n")
+            words = expand(row["keys"]).decode().split("\n")
             yield pa.record_batch({
                 "lang": pa.array([row["lang"]] * len(words), pa.string()), "id": pa.array(row["base"] + np.arange(len(words))),
                 "word": pa.array(words, pa.string()), "a": pa.array(unpack(row["counts"], np.int64)),

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -253,3 +254,13 @@ def test_phrases_of_nothing(nothing, docs):
 def test_phrases_query(spark, sf_dir):
     rows = queries.documents(spark, sf_dir).collect()
     assert sorted(map(tuple, queries.op13_phrase_mining(spark, sf_dir).collect())) == brute_phrases(rows, 30, 4, 80, 2000)
+
+
+def test_packed_arrays_are_entropy_coded():
+    """Frequent numbers cost few bits, and short arrays no more than a byte besides their own."""
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, 50_000), 60_000).astype(np.int32)
+    for values, ascending in ((ids, False), (np.cumsum(ids % 3 + 1, dtype=np.int32), True), (ids[:0], False), (ids[:3], False), (np.sort(ids).astype(np.int64), True)):
+        packed = phrase_mining.pack(values, ascending)
+        assert np.array_equal(phrase_mining.unpack(packed, values.dtype, ascending), values) and len(packed) <= values.nbytes + 1
+    assert len(phrase_mining.pack(ids)) < 1.2 * len(ids)
