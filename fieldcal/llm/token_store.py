@@ -20,38 +20,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldcal.llm.words import encoder, slices, texts_of
+from fieldcal.llm.words import encoder, ranges, slices, texts_of
 from fieldcal.session import cut_lineage, scratch_path
 
 END_ID = 1
+#: bytes of ids packed or unpacked at a time
+BATCH_BYTES = 2 << 20
 #: sizes in bytes of the four ids of a control byte
 SIZES = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
+def pack_all(ranks: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes with their bounds and data bytes with theirs, of documents whose ranks lie one after the other."""
+    ranks, n = ranks.astype("<u4"), np.diff(bounds)
+    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ends = np.concatenate([[0], np.cumsum(-(-n // 4))])
+    padded = np.zeros((int(ends[-1]), 4), np.uint8)
+    padded.reshape(-1)[ranges(4 * ends[:-1], n)] = code
+    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
+    used = np.arange(4, dtype=np.uint8) <= code[:, None]
+    return control, ends, ranks.view(np.uint8).reshape(-1, 4)[used], np.concatenate([[0], np.cumsum(code + np.int64(1))])[bounds]
+
+
+def unpack_all(control: np.ndarray, ends: np.ndarray, data: np.ndarray, data_ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranks of documents one after the other."""
+    sizes = SIZES[control].reshape(-1)[ranges(4 * ends[:-1], n)]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    if not np.array_equal(upto[np.concatenate([[0], np.cumsum(n)])], data_ends):
+        raise ValueError("data bytes do not match the control bytes")
+    starts = upto[:-1]
+    ranks = data[starts].astype(np.uint32)
+    for k in range(1, 4):
+        some = np.flatnonzero(sizes > k)
+        ranks[some] |= data[starts[some] + k].astype(np.uint32) << np.uint32(8 * k)
+    return ranks
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of one document's ranks."""
-    ranks = ranks.astype("<u4")
-    code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
-    padded[: len(code)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) <= code[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control, _, data, _ = pack_all(ranks, np.array([0, len(ranks)]))
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks of one document."""
-    sizes = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(sizes)
-    if (ends[-1] if n else 0) != len(data):
-        raise ValueError("data bytes do not match the control bytes")
-    starts = ends - sizes
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
-    ranks = raw[starts].astype(np.uint32)
-    for k in range(1, 4):
-        some = sizes > k
-        ranks[some] |= raw[starts[some] + k].astype(np.uint32) << np.uint32(8 * k)
-    return ranks
+    one = lambda raw: (np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return unpack_all(*one(control), *one(data), np.array([n]))
+
+
+def _flat(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the bounds of its values."""
+    blobs = blobs.cast(pa.large_binary())
+    ends = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _blobs(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _stored_ids(blobs: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ids of all rows; a row has two bytes an id, or four."""
+    raw, bounds = _flat(blobs)
+    wide = np.diff(bounds) != 2 * n
+    if wide.any() and not wide.all():
+        return np.concatenate([raw[a:b].view("<u4" if w else "<u2") for a, b, w in zip(bounds[:-1], bounds[1:], wide)])
+    return raw.view("<u4" if wide.any() else "<u2")
 
 
 def _encode(path: str, end_id: int):
@@ -67,8 +101,7 @@ def _encode(path: str, end_id: int):
             ended, ends = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
             # two bytes are enough for most vocabularies; the width is told by the length
             ended = ended.astype("<u4" if ended.max(initial=0) > 0xFFFF else "<u2")
-            blobs = pa.Array.from_buffers(
-                pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * ended.itemsize).astype(np.int32)), pa.py_buffer(ended)])
+            blobs = _blobs(ended, ends * ended.itemsize)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()),
                 "ids": blobs, "token": pa.nulls(len(blobs), pa.int64()), "n": pa.nulls(len(blobs), pa.int64()),
@@ -84,19 +117,15 @@ def _encode(path: str, end_id: int):
 def _recode(ranks):
     def run(batches):
         shard, place, start = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            control, data = [], []
+        for batch in slices(batches, "ids", BATCH_BYTES):
             n = batch.column("n_tokens").to_numpy()
-            for blob, size in zip(batch.column("ids"), n):
-                blob = blob.as_py()
-                c, d = pack(ranks.value[np.frombuffer(blob, "<u2" if len(blob) == 2 * size else "<u4")])
-                control.append(c)
-                data.append(d)
             ends = np.cumsum(n)
+            packed = pack_all(ranks.value[_stored_ids(batch.column("ids"), n)], np.concatenate([[0], ends]))
+            control, data = _blobs(*packed[:2]), _blobs(*packed[2:])
             yield pa.record_batch({
                 "shard": pa.array(np.full(len(n), shard, np.int32)), "place": pa.array(np.arange(place, place + len(n))),
                 "doc_id": batch.column("doc_id"), "start": pa.array(start + ends - n), "n_tokens": batch.column("n_tokens"),
-                "control": pa.array(control, pa.binary()), "data": pa.array(data, pa.binary()),
+                "control": control, "data": data,
             })
             place += len(n)
             start += int(ends[-1]) if len(n) else 0
@@ -134,17 +163,16 @@ def read_store(spark: SparkSession, path: str, digest_only: bool = False) -> Dat
     tokens = spark.sparkContext.broadcast(token_of)
 
     def decode(batches):
-        for batch in batches:
-            ids = [
-                tokens.value[unpack(c.as_py(), d.as_py(), n.as_py())].astype("<u4")
-                for c, d, n in zip(batch.column("control"), batch.column("data"), batch.column("n_tokens"))
-            ]
+        for batch in slices(batches, "data", BATCH_BYTES):
+            n = batch.column("n_tokens").to_numpy()
+            ids = tokens.value[unpack_all(*_flat(batch.column("control")), *_flat(batch.column("data")), n)].astype("<u4")
+            bounds = np.concatenate([[0], np.cumsum(n)])
             out = {
                 "doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": batch.column("n_tokens"),
-                "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.int64()),
             }
             if not digest_only:
-                out["ids"] = pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
+                out["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int64()))
             yield pa.record_batch(out)
 
     shards = spark.read.parquet(f"{path}/shards")  # one row per shard

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 6 << 20
-PLAIN = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+#: the marks have no part in a contraction or an added token
+PLAIN = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-!#$%&*+./,:;=?@^~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -92,7 +93,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, list[str
 
 
 class PieceEncoder:
-    """Encodes whole texts with a tokenizer by encoding each distinct piece once.
+    """Encodes whole texts with a tokenizer by encoding each distinct piece once, and the word in a plain piece once.
 
     A single space or line feed between two characters that are not white space starts a new pre-token in these tokenizers, so the ids
     of a text are those of its pieces, each with the white space before it. A text in which a piece is empty or begins or ends with
@@ -119,32 +120,36 @@ class PieceEncoder:
         self._set_plain()
 
     def _set_plain(self) -> None:
-        """Plain pieces (letters, then perhaps a full stop or comma) go to the BPE model itself, which saves the alignment work of a
-        full encoding. Only when that gives the same ids on probes for one of the two byte-level layouts."""
-        self.plain = None
-        probes = ["abc", "Straße", "ÉTÉ.", "señor,", "x", "THE", "ing.", "naïveté", "Øre,", "\nThe", "\nétat.", "\nx,"]
+        """Plain pieces (letters, then perhaps marks) go to the BPE model itself, which saves the alignment work of a full encoding.
+        Only when that gives the same ids on probes for one of the two byte-level layouts."""
+        probes = ["abc", "Straße", "ÉTÉ.", "señor,", "x", "THE", "ing.", "naïveté", "Øre,", "\nThe", "\nétat.", "\nx,", "abc%%%", "ÉTÉ,###",
+                  "\nNo?!", "a-", "x.***", "b&&&", "c$$$", *(f"ab{m}c{m}{m}".replace("c", "") for m in "-!#$%&*+./,:;=?@^~")]
         for space, lower in (("\u0120", False), ("", True)):
             self.plain = (space, lower)
-            if [self._plain_ids(p) for p in probes] == self._ids([_spaced(p) for p in probes]):
+            self.cores: dict[str, list[int]] = {}
+            if [self._plain_ids(*PLAIN.fullmatch(p).groups()) for p in probes] == self._ids([_spaced(p) for p in probes]):
                 return
         self.plain = None
 
-    def _plain_ids(self, piece: str) -> list[int]:
+    def _plain_ids(self, before: str, word: str, marks: str) -> list[int]:
         space, lower = self.plain
-        end = piece[-1] if piece[-1] in ".," else ""
-        word = piece[:-1] if end else piece
-        before = []
-        if word[0] == "\n":
-            word = word[1:]
-            if space:
-                space, before = "", self._tokenize(BYTE_LETTERS[10])
         if lower:
             word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in (before + self._tokenize(space + word))]
-        if end:
-            ids += [t.id for t in self._tokenize(end)]
+        if before and space:
+            return self._core(BYTE_LETTERS[10]) + self._core(word) + (self._core(marks) if marks else [])
+        ids = self._core(space + word)
+        return ids + self._core(marks) if marks else ids
+
+    def _core(self, word: str) -> list[int]:
+        """Ids of a word or of marks; with the same word in other cases or before other marks, they are known already."""
+        ids = self.cores.get(word)
+        if ids is None:
+            letters = word
+            if not word.isascii():
+                space, _ = self.plain
+                skip = len(space) if space and word.startswith(space) else 0
+                letters = word if word == BYTE_LETTERS[10] else word[:skip] + word[skip:].encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = self.cores[word] = [t.id for t in self._tokenize(letters)]
         return ids
 
     def _forget(self) -> None:
@@ -163,13 +168,15 @@ class PieceEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [self.plain is not None and PLAIN.fullmatch(p) is not None for p in pieces]
+        if len(self.cores) > self.keep // 2:
+            self.cores.clear()
+        plain = [PLAIN.fullmatch(p) if self.plain else None for p in pieces]
         rest = [p for p, simple in zip(pieces, plain) if not simple]
         full = []
         for at in range(0, len(rest), 8192):
             full += self._ids([_spaced(p) for p in rest[at : at + 8192]])
         others = iter(full)
-        lists = [self._plain_ids(p) if simple else next(others) for p, simple in zip(pieces, plain)]
+        lists = [self._plain_ids(*simple.groups()) if simple else next(others) for p, simple in zip(pieces, plain)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         row = len(self.known)
         self.known.update(zip(pieces, range(row, row + len(pieces))))
@@ -187,9 +194,9 @@ class PieceEncoder:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         flat = parts.flatten()
-        heads = flat.take(pa.array(bounds[:-1])).to_pylist()
+        heads = listed(flat.take(pa.array(bounds[:-1])))
         encoded = flat.dictionary_encode()
-        pieces = encoded.dictionary.to_pylist()
+        pieces = listed(encoded.dictionary)
         index = encoded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > self.keep:
             self._forget()

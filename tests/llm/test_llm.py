@@ -454,3 +454,32 @@ def test_expected_counts_take_each_context_once(monkeypatch):
     language_model.add_expected(language_model.factors(weights, bias), found, total)
     assert np.allclose(total, plain, rtol=1e-5, atol=1e-6)
     assert sum(rows) == language_model.TEMPLATES * len(set(map(tuple, found.T.tolist()))) < found.shape[1]
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_plain_pieces_are_tokenized_once(vocabulary):
+    """Case, marks behind a word and the line before it change no tokens of the word; ids are those of the library."""
+    path = public_tokenizers.path(vocabulary)
+    encoder, library = words.PieceEncoder(path), Tokenizer.from_file(path)
+    texts = ["Straße straße, straße%%% straße?! straße.", "x\nstraße\nstraße,### straße's straße_ straße<| a-b straße...straße", "Åre-- x&&& no!\nNo?"]
+    calls, tokenize = [], encoder._tokenize
+    encoder._tokenize = lambda w: calls.append(w) or tokenize(w)
+    encoder.cores.clear()
+    ids, bounds = encoder.encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == len(set(calls))
+
+
+def test_token_store_packs_rows_together():
+    """Rows packed at once are those packed one by one, for ranks of 1 to 4 bytes; ids of two and of four bytes may meet in a batch."""
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32) for n in (1, 2, 3, 4, 5, 8, 0, 1000)]
+    n = np.array([len(r) for r in rows])
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    control, ends, data, data_ends = token_store.pack_all(np.concatenate(rows), bounds)
+    for k, row in enumerate(rows):
+        one = control[ends[k] : ends[k + 1]].tobytes(), data[data_ends[k] : data_ends[k + 1]].tobytes()
+        assert one == token_store.pack(row) and token_store.unpack(*one, len(row)).tolist() == row.tolist()
+    assert token_store.unpack_all(control, ends, data, data_ends, n).tolist() == np.concatenate(rows).tolist()
+    blobs = [np.array([7, 9], "<u2").tobytes(), np.array([70000], "<u4").tobytes(), np.array([5], "<u2").tobytes()]
+    assert token_store._stored_ids(pa.array([b"", *blobs], pa.binary())[1:], np.array([2, 1, 1])).tolist() == [7, 9, 70000, 5]
