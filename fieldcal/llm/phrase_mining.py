@@ -1,11 +1,15 @@
 """Phrase collocations by set-oriented mining over sorted occurrence relations.
 
-Occurrences of length k are a relation of (block, place, phrase), persisted in order of place; a block is some texts of one language,
-read together, in which every word has a place, and a gap of one place parts pieces. Length 1 are the frequent words. Length k + 1
-comes from merge-joining length k with itself one place further and with the words k places further. The groups (phrase, last word) are
-counted within the block, then over all blocks; infrequent groups fall away, and the others are semi-joined to the blocks before the
-next length is extended. Groups travel by shard of their hash, as one row of packed arrays for each block and shard; the number of
-shards grows with the words of the corpus, so a task counts a bounded share of the groups, and a frequent group is one entry a block.
+Occurrences of length k are a relation of (block, place, phrase), in order of place; a block is some texts of one language, read
+together, in which every word has a place, and a gap of one place parts pieces. Length 1 are the frequent words. Length k + 1 comes
+from merge-joining length k with itself one place further, which gives the last word. The groups (phrase, last word) are counted within
+the block, then over all blocks; infrequent groups fall away, and the others are semi-joined to the blocks before the next length is
+extended.
+
+Blocks are stored once, in buckets, and never shuffled: a block gets one bit for each group that it sent and the numbers of the frequent
+ones, of all lengths so far, and builds the relation from them again. Groups travel by shard of their hash, as one row of packed arrays
+for each block and shard; the shards of a language grow with its occurrences of that length, so a task counts a bounded share of the
+groups, and a frequent group is one entry a block.
 
 Frequent words and phrases get dense numbers below 2^31, so a group is one 64-bit integer, exactly. Scores take the counts of both
 parts of each cut, which are frequent if the whole is; products are decimals.
@@ -16,31 +20,32 @@ language without candidates has no rows; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcal.llm.words import listed, slices, texts_of
-from fieldcal.session import cut_lineage
+from fieldcal.session import cut_lineage, scratch_path
 
 LEAST = 30
 LONGEST = 4
 COVER = 80
 TOP = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 SHARD_WORDS = 1 << 21
+CHUNK_BITS = 12
 UNKNOWN = "und"
-#: places and words of the frequent words of a block, places and phrases of its frequent phrases of the present length
-RELATION = "block long, lang string, word_places binary, words binary, places binary, phrases binary"
-#: groups of a block in one shard; keys are words or pairs, own the block's numbers of the words
-GROUPS = "block long, lang string, shard int, keys binary, own binary, counts binary"
-#: frequent groups of a shard: all of them with their counts where block is null, else those of a block and their places among them
-COUNTED = "block long, lang string, shard int, size long, keys binary, own binary, numbers binary, counts binary"
+#: groups of a block in one shard of its language's shards, ascending; keys are words or pairs
+GROUPS = "block long, lang string, shard int, shards int, keys binary, counts binary"
+#: frequent groups of a shard: all of them with their counts where block is null, else which of the groups of a block they are, and their numbers
+COUNTED = "block long, lang string, shard int, shards int, size long, total long, keys binary, counts binary, flags binary, numbers binary"
 
 
 def _table() -> np.ndarray:
@@ -78,8 +83,24 @@ def unpack(raw: bytes, kind, ascending: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if ascending else values
 
 
+def pack_pairs(pairs: np.ndarray) -> bytes:
+    """Ascending pairs: differences of the first parts, and of the last ones where the first is the same."""
+    first, last = pairs >> 32, pairs & 0xFFFFFFFF
+    step = np.diff(first, prepend=0)
+    return pack(np.concatenate([step, np.where(step == 0, np.diff(last, prepend=0), last)]))
+
+
+def unpack_pairs(raw: bytes) -> np.ndarray:
+    step, rest = unpack(raw, np.int64).reshape(2, -1)
+    upto = np.cumsum(rest)
+    starts = np.flatnonzero(step != 0)
+    before = np.zeros(len(step), np.int64)
+    before[starts] = np.diff((upto - rest)[starts], prepend=0)
+    return (np.cumsum(step) << 32) | (upto - np.cumsum(before))
+
+
 def words_and_places(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Index into the distinct words of every word, the distinct words, and the place of every word."""
+    """Index into the distinct words of every word, the distinct words in ascending order, and the place of every word."""
     texts = pa.concat_arrays([texts])
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -96,7 +117,10 @@ def words_and_places(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarr
     bounds = np.column_stack([first, last]).reshape(-1)
     spans = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
     encoded = spans.take(pa.array(np.arange(0, len(spans), 2))).dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32), listed(encoded.dictionary), places
+    order = pc.sort_indices(encoded.dictionary)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    return rank[encoded.indices.to_numpy(zero_copy_only=False)], listed(encoded.dictionary.take(order)), places
 
 
 def _read(batches):
@@ -115,97 +139,135 @@ def _read(batches):
             number += 1
 
 
-def _grouped(row: dict, shard: np.ndarray, keys, own: np.ndarray | None, counts: np.ndarray):
-    """One row for each shard that a block has groups in. ``keys`` are a list of words or ascending pairs."""
+def _by_shard(shard: np.ndarray):
+    """Every shard that a block has groups in, and which ones."""
     order = np.argsort(shard, kind="stable")
     found, starts = np.unique(shard[order], return_index=True)
-    for name, at in zip(found, np.split(order, starts[1:])):
-        yield {
-            "block": row["block"], "lang": row["lang"], "shard": int(name),
-            "keys": squeeze(b"\n".join([keys[i] for i in at])) if own is not None else pack(keys[at], True),
-            "own": None if own is None else pack(own[at], True), "counts": pack(counts[at]),
-        }
+    return zip(found.tolist(), np.split(order, starts[1:]))
 
 
-def _batch(rows: list[dict], like: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(name, kinds[kind]) for name, kind in map(str.split, like.split(", "))]))
-
-
-def _word_groups(shards: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words = row["distinct"].split(b"\n") if row["distinct"] else []
-                shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
-                yield _batch(list(_grouped(row, shard, words, np.arange(len(words), dtype=np.int32), unpack(row["counts"], np.int64))), GROUPS)
-    return run
+def _word_shards(words: list[bytes], shards: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
 
 
-def merge_join(places: np.ndarray, phrases: np.ndarray, word_places: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of length k that another one follows a place further, with the word k places further: places and groups."""
-    follows = np.flatnonzero(np.diff(places) == 1)
-    start = places[follows]
-    last = np.searchsorted(word_places, start + k)
-    return start, (phrases[follows].astype(np.int64) << 32) | words[last]
+def _pair_shards(pairs: np.ndarray, shards: int) -> np.ndarray:
+    """Pairs of one first part with near last ones stay together: they differ little, however many shards there are."""
+    return ((pairs >> CHUNK_BITS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % shards
 
 
-def _joined(row: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
-    columns = [unpack(row[c], np.int32, c.endswith("places")) for c in ("places", "phrases", "word_places", "words")]
-    return merge_join(*columns, k)
+def _batch(rows: list[dict], like: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(name, kinds[kind]) for name, kind in map(str.split, like.split(", "))]))
 
 
-def _pair_groups(k: int, shards: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                pairs, counts = np.unique(_joined(row, k)[1], return_counts=True)
-                shard = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % shards
-                yield _batch(list(_grouped(row, shard, pairs, None, counts.astype(np.int64))), GROUPS)
+def _word_groups(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            words = row["distinct"].split(b"\n") if row["distinct"] else []
+            counts = unpack(row["counts"], np.int64)
+            rows = [{
+                "block": row["block"], "lang": row["lang"], "shard": shard, "shards": row["shards"],
+                "keys": squeeze(b"\n".join([words[i] for i in at])), "counts": pack(counts[at]),
+            } for shard, at in _by_shard(_word_shards(words, row["shards"]))]
+            yield _batch(rows, GROUPS)
+
+
+def _numbers(shard: np.ndarray, frequent: list[dict]) -> np.ndarray:
+    """Global numbers of the groups of a block, -1 for those that are not frequent."""
+    numbers = np.full(len(shard), -1, np.int32)
+    own = dict(_by_shard(shard))
+    for row in frequent:
+        at = own[row["shard"]]
+        flags = np.unpackbits(np.frombuffer(expand(row["flags"]), np.uint8), count=len(at))
+        numbers[at[flags == 1]] = unpack(row["numbers"], np.int32, True) + row["base"]
+    return numbers
+
+
+def merge_join(places: np.ndarray, phrases: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences that another one follows a place further, with the last word of that one: places and groups."""
+    follows = np.flatnonzero(np.diff(places) == 1)
+    return places[follows], (phrases[follows].astype(np.int64) << 32) | last[follows + 1]
+
+
+def longer(row: dict, lists: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and groups of the next length in a block, from its words and its frequent groups of every length so far."""
+    words = row["distinct"].split(b"\n") if row["distinct"] else []
+    number = _numbers(_word_shards(words, lists[0][0]["shards"]), lists[0])
+    phrases, places = number[unpack(row["words"], np.int32)], unpack(row["places"], np.int32, True)
+    kept = phrases >= 0
+    places, phrases = places[kept], phrases[kept]
+    places, pairs = merge_join(places, phrases, phrases)
+    for frequent in lists[1:]:
+        groups, which = np.unique(pairs, return_inverse=True)
+        phrases = _numbers(_pair_shards(groups, frequent[0]["shards"]), frequent)[which]
+        kept = phrases >= 0
+        places, pairs = merge_join(places[kept], phrases[kept], (pairs[kept] & 0xFFFFFFFF).astype(np.int32))
+    return places, pairs
+
+
+def _pair_groups(k: int):
+    """Groups of length k + 1 of a block, by the shards of its language."""
+    def run(key, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+        lists, out = [[] for _ in range(k)], []
+        for item in frequent.to_pylist():
+            lists[item["length"] - 1].append(item)
+        # a block without frequent groups of some length has no longer ones
+        for row in blocks.to_pylist() if all(lists) else []:
+            pairs, counts = np.unique(longer(row, lists)[1], return_counts=True)
+            shards = lists[-1][0]["next"]
+            out += [{
+                "block": row["block"], "lang": row["lang"], "shard": shard, "shards": shards, "keys": pack_pairs(pairs[at]), "counts": pack(counts[at].astype(np.int64)),
+            } for shard, at in _by_shard(_pair_shards(pairs, shards))]
+        return pa.Table.from_batches([_batch(out, GROUPS)])
     return run
 
 
-def _count(least: int):
-    """Total of every group of a shard; the frequent ones, and where each block has them."""
+def _count(least: int, worded: bool):
+    """Total of every group of a shard; the frequent ones by number, and which of the groups of each block they are."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        worded = rows[0]["own"] is not None
         if worded:
             lists = [expand(r["keys"]).split(b"\n") for r in rows]
+            sizes = [len(x) for x in lists]
             encoded = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
-            keys, which = listed(encoded.dictionary), encoded.indices.to_numpy(zero_copy_only=False)
+            order = pc.sort_indices(encoded.dictionary)
+            rank = np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            keys, which = listed(encoded.dictionary.take(order)), rank[encoded.indices.to_numpy(zero_copy_only=False)]
         else:
-            lists = [unpack(r["keys"], np.int64, True) for r in rows]
+            lists = [unpack_pairs(r["keys"]) for r in rows]
+            sizes = [len(x) for x in lists]
             keys, which = np.unique(np.concatenate(lists), return_inverse=True)
+        del lists
         counts = np.concatenate([unpack(r["counts"], np.int64) for r in rows])
         totals = np.zeros(len(keys), np.int64)
         np.add.at(totals, which, counts)
         frequent = np.flatnonzero(totals >= least)
         number = np.full(len(keys), -1, np.int32)
         number[frequent] = np.arange(len(frequent), dtype=np.int32)
-        same = {"lang": rows[0]["lang"], "shard": rows[0]["shard"]}
+        same = {name: rows[0][name] for name in ("lang", "shard", "shards")}
         out = [same | {
-            "size": len(frequent), "counts": pack(totals[frequent]),
-            "keys": squeeze(b"\n".join([keys[i] for i in frequent])) if worded else pack(keys[frequent], True),
+            "size": len(frequent), "total": int(totals[frequent].sum()), "counts": pack(totals[frequent]),
+            "keys": squeeze(b"\n".join([keys[i] for i in frequent])) if worded else pack_pairs(keys[frequent]),
         }] if len(frequent) else []
-        ends = np.cumsum([len(x) for x in lists])
-        for row, end, own in zip(rows, ends, lists):
-            numbers = number[which[end - len(own) : end]]
+        for row, end, size in zip(rows, np.cumsum(sizes), sizes):
+            numbers = number[which[end - size : end]]
             kept = numbers >= 0
             if kept.any():
-                out.append(same | {
-                    "block": row["block"], "numbers": pack(numbers[kept]),
-                    "own": pack(unpack(row["own"], np.int32, True)[kept], True) if worded else None,
-                    "keys": None if worded else pack(own[kept], True),
-                })
+                out.append(same | {"block": row["block"], "flags": squeeze(np.packbits(kept).tobytes()), "numbers": pack(numbers[kept], True)})
         return pa.Table.from_batches([_batch(out, COUNTED)])
     return run
 
 
-def counted(groups: DataFrame, least: int) -> DataFrame:
-    """Frequent groups of every shard, stored, with ``base``: what to add to the numbers of the shard."""
-    found = cut_lineage(groups.groupBy("lang", "shard").applyInArrow(_count(least), COUNTED))
-    heads = found.where("block is null").select("lang", "shard", "size")
+def shards_of(words) -> Column:
+    """Shards of a language for so many occurrences."""
+    return F.greatest(F.lit(1), F.ceil(words / SHARD_WORDS)).cast("int")
+
+
+def counted(groups: DataFrame, least: int, worded: bool = False) -> DataFrame:
+    """Frequent groups of every shard, stored, with ``base``: what to add to the numbers of the shard, and ``next``: shards of the next length."""
+    found = cut_lineage(groups.groupBy("lang", "shard").applyInArrow(_count(least, worded), COUNTED))
+    heads = found.where("block is null").select("lang", "shard", "size", "total")
     placed = cut_lineage(heads.repartitionByRange("lang", "shard").withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part").orderBy("lang", "shard").rowsBetween(Window.unboundedPreceding, 0)
     parts = placed.groupBy("part").agg(F.sum("size").alias("total"))  # one row per partition
@@ -213,7 +275,8 @@ def counted(groups: DataFrame, least: int) -> DataFrame:
     bases = cut_lineage(
         placed.withColumn("upto", F.sum("size").over(within))
         .join(parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before")), "part")
-        .select("lang", "shard", (F.col("before") + F.col("upto") - F.col("size")).alias("base")))
+        .join(heads.groupBy("lang").agg(shards_of(F.sum("total")).alias("next")), "lang")
+        .select("lang", "shard", "next", (F.col("before") + F.col("upto") - F.col("size")).alias("base")))
     return found.join(bases, ["lang", "shard"])
 
 
@@ -230,75 +293,48 @@ def _words(batches):
 def _pairs(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            pairs = unpack(row["keys"], np.int64, True)
+            pairs = unpack_pairs(row["keys"])
             yield pa.record_batch({
                 "id": pa.array(row["base"] + np.arange(len(pairs))), "first": pa.array(pairs >> 32), "last": pa.array(pairs & 0xFFFFFFFF),
                 "a": pa.array(unpack(row["counts"], np.int64)),
             })
 
 
-def _first_relation(key, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
-    """Length 1: the frequent words of a block by their global numbers."""
-    rows = []
-    for row in blocks.to_pylist():
-        own, places = unpack(row["words"], np.int32), unpack(row["places"], np.int32, True)
-        number = np.full(int(own.max()) + 1 if len(own) else 0, -1, np.int32)
-        for group in frequent.to_pylist():
-            number[unpack(group["own"], np.int32, True)] = unpack(group["numbers"], np.int32) + group["base"]
-        ids = number[own]
-        kept = ids >= 0
-        places, words = pack(places[kept], True), pack(ids[kept])
-        rows.append({"block": row["block"], "lang": row["lang"], "word_places": places, "words": words, "places": places, "phrases": words})
-    return pa.Table.from_batches([_batch(rows, RELATION)])
-
-
-def _next_relation(k: int):
-    """Length k + 1: occurrences whose group is frequent, and the words that a longer phrase can still hold."""
-    def run(key, blocks: pa.Table, frequent: pa.Table) -> pa.Table:
-        rows = []
-        for row in blocks.to_pylist():
-            places, pairs = _joined(row, k)
-            groups = frequent.to_pylist()
-            known = np.concatenate([np.zeros(0, np.int64), *(unpack(g["keys"], np.int64, True) for g in groups)])
-            ids = np.concatenate([np.zeros(0, np.int64), *(unpack(g["numbers"], np.int32) + g["base"] for g in groups)])
-            order = np.argsort(known)
-            known, ids = known[order], ids[order].astype(np.int32)
-            at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
-            kept = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
-            places = places[kept]
-            word_places, words = unpack(row["word_places"], np.int32, True), unpack(row["words"], np.int32)
-            within = np.searchsorted(places, word_places, side="right") > np.searchsorted(places, word_places - k, side="left")
-            rows.append({
-                "block": row["block"], "lang": row["lang"], "word_places": pack(word_places[within], True), "words": pack(words[within]),
-                "places": pack(places, True), "phrases": pack(ids[at[kept]] if len(known) else np.zeros(0, np.int32)),
-            })
-        return pa.Table.from_batches([_batch(rows, RELATION)])
-    return run
+@contextmanager
+def by_block(df: DataFrame):
+    """``df`` stored in buckets of its blocks: what is sent to the blocks goes to where they lie. The table leaves the catalog at the end, its
+    files stay in the shared folder."""
+    spark = df.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Words of each language (lang, n), and its frequent phrases of up to ``longest`` words (lang, words, a)."""
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    read = cut_lineage(rows.mapInArrow(_read, "block long, lang string, n long, distinct binary, counts binary, places binary, words binary"))
-    totals = cut_lineage(read.groupBy("lang").agg(F.sum("n").alias("n")))
-    shards = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS)
-    groups = counted(read.select("block", "lang", "distinct", "counts").mapInArrow(_word_groups(shards), GROUPS), least)
-    vocabulary = cut_lineage(groups.where("block is null").select("lang", "base", "keys", "counts").mapInArrow(_words, "lang string, id long, word string, a long"))
-    frequent = groups.where("block is not null").select("block", "own", "numbers", "base")
-    blocks = read.select("block", "lang", "words", "places").groupBy("block")
-    relation = cut_lineage(blocks.cogroup(frequent.groupBy("block")).applyInArrow(_first_relation, RELATION))
-    shorter = vocabulary.select("lang", F.array("word").alias("words"), "id", "a")
-    found = shorter.select("lang", "words", "a")
-    for k in range(1, longest):
-        groups = counted(relation.mapInArrow(_pair_groups(k, shards), GROUPS), least)
-        pairs = groups.where("block is null").select("base", "keys", "counts").mapInArrow(_pairs, "id long, first long, last long, a long")
-        heads = shorter.select(F.col("id").alias("first"), "lang", F.col("words").alias("head"))
-        tails = vocabulary.select(F.col("id").alias("last"), "word")
-        shorter = cut_lineage(pairs.join(heads, "first").join(tails, "last").select("lang", F.concat("head", F.array("word")).alias("words"), "id", "a"))
-        found = found.unionByName(shorter.select("lang", "words", "a"))
-        if k + 1 < longest:
-            frequent = groups.where("block is not null").select("block", "keys", "numbers", "base")
-            relation = cut_lineage(relation.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_next_relation(k), RELATION))
+    with by_block(rows.mapInArrow(_read, "block long, lang string, n long, distinct binary, counts binary, places binary, words binary")) as read:
+        totals = cut_lineage(read.groupBy("lang").agg(F.sum("n").alias("n")))
+        sized = read.select("block", "lang", "distinct", "counts").join(totals.select("lang", shards_of(F.col("n")).alias("shards")), "lang")
+        groups = counted(sized.mapInArrow(_word_groups, GROUPS), least, worded=True)
+        vocabulary = cut_lineage(groups.where("block is null").select("lang", "base", "keys", "counts").mapInArrow(_words, "lang string, id long, word string, a long"))
+        blocks = read.select("block", "lang", "distinct", "words", "places").groupBy("block")
+        sent = None
+        shorter = vocabulary.select("lang", F.array("word").alias("words"), "id", "a")
+        found = shorter.select("lang", "words", "a")
+        for k in range(1, longest):
+            lists = groups.where("block is not null").select("block", F.lit(k).alias("length"), "shard", "shards", "next", "base", "flags", "numbers")
+            sent = lists if sent is None else sent.unionByName(lists)
+            groups = counted(blocks.cogroup(sent.groupBy("block")).applyInArrow(_pair_groups(k), GROUPS), least)
+            pairs = groups.where("block is null").select("base", "keys", "counts").mapInArrow(_pairs, "id long, first long, last long, a long")
+            heads = shorter.select(F.col("id").alias("first"), "lang", F.col("words").alias("head"))
+            tails = vocabulary.select(F.col("id").alias("last"), "word")
+            shorter = cut_lineage(pairs.join(heads, "first").join(tails, "last").select("lang", F.concat("head", F.array("word")).alias("words"), "id", "a"))
+            found = found.unionByName(shorter.select("lang", "words", "a"))
     return totals, found
 
 

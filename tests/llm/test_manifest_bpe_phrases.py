@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldcal.llm import bpe_transducer, merkle_manifest, phrase_mining, queries
@@ -264,3 +265,43 @@ def test_packed_arrays_are_entropy_coded():
         packed = phrase_mining.pack(values, ascending)
         assert np.array_equal(phrase_mining.unpack(packed, values.dtype, ascending), values) and len(packed) <= values.nbytes + 1
     assert len(phrase_mining.pack(ids)) < 1.2 * len(ids)
+
+
+def test_pairs_cost_less_than_whole_numbers():
+    """Pairs of frequent first words, and of first words with the number 0."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50_000):
+        pairs = np.unique(((np.minimum(rng.zipf(1.3, n), 60_000).astype(np.int64) - 1) << 32) | rng.integers(0, 50_000, n))
+        assert np.array_equal(phrase_mining.unpack_pairs(phrase_mining.pack_pairs(pairs)), pairs)
+    assert len(phrase_mining.pack_pairs(pairs)) < 0.97 * len(phrase_mining.pack(pairs, True))
+
+
+def test_blocks_are_not_shuffled(docs, monkeypatch):
+    """What the blocks of a length need comes to where they are stored: one side of each cogroup is dealt out by block, and not both."""
+    plans, store = [], phrase_mining.cut_lineage
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(phrase_mining, "cut_lineage", stored)
+    phrase_mining.mine(docs, 2)
+    grouped = [plan for plan in plans if "FlatMapCoGroupsInArrow" in plan]
+    assert [plan.count("Exchange hashpartitioning(block") for plan in grouped] == [1, 1, 1]
+
+
+def test_shards_follow_the_language(spark, monkeypatch):
+    """A small language is not cut into as many shards as a large one, which gave a row for each block and shard."""
+    monkeypatch.setattr(phrase_mining, "SHARD_WORDS", 100)
+    sent, count = [], phrase_mining.counted
+
+    def counted(groups, *others, **named):
+        sent.append({r.lang: r.n for r in groups.groupBy("lang").agg(F.count_distinct("shard").alias("n")).collect()})
+        return count(groups, *others, **named)
+
+    monkeypatch.setattr(phrase_mining, "counted", counted)
+    words = [f"w{i % 97}" for i in range(4000)]
+    rows = [(1, " ".join(words), "en"), (2, " ".join(words[:60]) + " a b a b", "fr")]
+    _, found = phrase_mining.mine(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 2)
+    assert [n["fr"] for n in sent[:2]] == [1, 1] and all(n["en"] > 20 for n in sent)
+    assert {tuple(r.words): r.a for r in found.where("lang = 'fr'").collect()} == {("a",): 2, ("b",): 2, ("a", "b"): 2}
